@@ -10,7 +10,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import byte_bpe, decontaminate, language_id, quality
+from vecloom.llm import byte_bpe, decontaminate, jaccard_join, language_id, quality
 from vecloom.llm.common import shared_folder, table
 from vecloom.llm.queries import remainder
 
@@ -31,6 +31,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.identify(docs, samples).filter((F.col("lang_pred") != language_id.UNKNOWN) & ~strange).select(docs.columns)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves one document, that of the least doc_id, of each group of near duplicates."""
+    return jaccard_join.drop_near_duplicates(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -43,7 +48,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("quality", quality_stage), ("language", language_stage), ("decontamination", decontamination_stage), ("byte_bpe", bpe_stage)]
+STAGES = [("quality", quality_stage), ("language", language_stage), ("near_duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("byte_bpe", bpe_stage)]
 #: Trained classifiers and component ids have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 

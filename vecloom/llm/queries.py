@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, decontaminate, html_extract, language_id, quality, sstable, token_count, url_filter
+from . import ann, byte_bpe, decontaminate, html_extract, jaccard_join, language_id, quality, sstable, token_count, url_filter
 from .common import cut, shared_folder, table
 
 END_ID = 1
@@ -32,6 +32,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     samples = language_id.sample_languages(docs, remainder("doc_id", 3) != 1)
@@ -68,7 +73,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = [op1_decontamination, op2_url_filters, op3_html_extraction, op5_language_id, op6_token_counts, op7_quality_classifier, op8_sstable_output, op9_byte_bpe, op10_nearest_neighbours]
+    ops = [op1_decontamination, op2_url_filters, op3_html_extraction, op4_jaccard_join, op5_language_id, op6_token_counts, op7_quality_classifier, op8_sstable_output, op9_byte_bpe, op10_nearest_neighbours]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
