@@ -1,15 +1,558 @@
-"""All queries of the engine, and SQL that gives the same rows."""
+"""All queries of the engine, and SQL that gives the same rows.
+
+Points are the embeddings table, centroids its ten rows of least id. Real numbers are rounded,
+as sums over rows have no fixed order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecloom.functions import numerics as N
+from vecloom.functions import vectors as V
+from vecloom.operators import clustering as C
+from vecloom.operators import exclusion as E
+from vecloom.operators import products as M
+from vecloom.plans import runs as R
+from vecloom.sources import vectors as S
+
+K, D, DIGITS = 10, 64, 6
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str = "") -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), V.doubles(F.col("embedding")).alias("x"))
+
+
+def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = points(spark, sf_dir)
+    return p, C.initial_centroids(p, K)
+
+
+def shifted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = points(spark, sf_dir)
+    p = p.withColumn("x", V.add(F.col("x"), E.shift_of(p)))
+    return p, C.initial_centroids(p, K)
+
+
+def r(col, digits: int = DIGITS):
+    return F.round(col, digits)
+
+
+# SQL fragments -----------------------------------------------------------------------------
+def total(x: str) -> str:
+    return f"list_reduce(list_prepend(0.0::DOUBLE, {x}), lambda p, q: p + q)"
+
+
+def dot(a: str, b: str) -> str:
+    return total(f"list_transform({a}, lambda v, n: v * {b}[n])")
+
+
+def direct(a: str, b: str) -> str:
+    return total(f"list_transform({a}, lambda v, n: (v - {b}[n]) * (v - {b}[n]))")
+
+
+def rounding(v: str, bits: int, least: int) -> str:
+    q = f"pow(2.0::DOUBLE, greatest(floor(log2(abs({v}))), {least}) - {bits})"
+    return f"(CASE WHEN {v} = 0 THEN {v} ELSE round_even({v} / {q}, 0) * {q} END)"
+
+
+def fp16_sql(v: str) -> str:
+    return f"(CASE WHEN abs({v}) >= 65520 THEN sign({v}) * 'inf'::DOUBLE ELSE {rounding(v, 10, -14)} END)"
+
+
+def bf16_sql(v: str) -> str:
+    return rounding(v, 7, -126)
+
+
+PTS = "pts AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
+CEN = "cen AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS cid, x AS c FROM (SELECT * FROM pts ORDER BY id LIMIT 10))"
+SHIFT = "raw AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), top AS (SELECT max(list_max(list_transform(x, lambda v: abs(v)))) AS m FROM raw), pts AS (SELECT id, list_transform(x, lambda v: v + m) AS x FROM raw, top)"
+PAIR = f"pair AS (SELECT id, cid, x, c, {dot('c', 'c')} - 2 * {dot('x', 'c')} AS s FROM pts, cen)"
+NEAR = "near AS (SELECT id, cid, x, s FROM pair QUALIFY row_number() OVER (PARTITION BY id ORDER BY s, cid) = 1)"
+
+
+@query(f"WITH {PTS}, {CEN}, {PAIR}, {NEAR} SELECT id AS vec_id, cid, round(s, 6) AS dist FROM near")
+def nn_assign(spark, d):
+    return C.assign(*both(spark, d)).select(F.col("id").alias("vec_id"), "cid", r("dist").alias("dist"))
+
+
+@query(f"WITH {PTS} SELECT id, round({dot('x', 'x')}, 6) AS n2 FROM pts")
+def vec_norm2(spark, d):
+    return points(spark, d).select("id", r(V.norm2(F.col("x"))).alias("n2"))
+
+
+@query(f"WITH {PTS}, {CEN} SELECT id, cid, round({dot('x', 'c')}, 6) AS g FROM pts, cen")
+def vec_dot(spark, d):
+    p, c = both(spark, d)
+    return C.with_centroids(p, c).select("id", F.explode(F.transform("cs", lambda s: F.struct(s["cid"].alias("cid"), V.dot(F.col("x"), s["c"]).alias("g")))).alias("t")).select("id", "t.cid", r("t.g").alias("g"))
+
+
+@query(f"WITH {PTS}, {CEN} SELECT id, cid, round({direct('x', 'c')}, 6) AS d2 FROM pts, cen")
+def direct_dist(spark, d):
+    p, c = both(spark, d)
+    return C.with_centroids(p, c).select("id", F.explode(F.transform("cs", lambda s: F.struct(s["cid"].alias("cid"), V.direct_distance(F.col("x"), s["c"]).alias("d2")))).alias("t")).select("id", "t.cid", r("t.d2").alias("d2"))
+
+
+@query(f"WITH {PTS}, {CEN} SELECT id, cid, round({dot('x', 'x')} + {dot('c', 'c')} - 2 * {dot('x', 'c')}, 6) + 0.0 AS d2 FROM pts, cen")
+def expanded_dist(spark, d):
+    p, c = both(spark, d)
+    return C.with_centroids(p, c).select("id", F.explode(F.transform("cs", lambda s: F.struct(s["cid"].alias("cid"), V.expanded_distance(V.norm2(F.col("x")), s["n2"], V.dot(F.col("x"), s["c"])).alias("d2")))).alias("t")).select("id", "t.cid", (r("t.d2") + F.lit(0.0)).alias("d2"))
+
+
+@query(f"WITH {SHIFT} SELECT id, round(list_min(x), 6) + 0.0 AS lo, round({total('x')}, 6) AS s FROM pts")
+def shift_nonneg(spark, d):
+    return shifted(spark, d)[0].select("id", (r(F.array_min("x")) + F.lit(0.0)).alias("lo"), r(V.total(F.col("x"))).alias("s"))
+
+
+_FEATURES = "SELECT l_orderkey, l_linenumber, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS f, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM lineitem"
+
+
+@query(f"WITH t AS ({_FEATURES}), s AS (SELECT f, avg(v) AS m, stddev_pop(v) AS sd FROM t GROUP BY f) SELECT l_orderkey, l_linenumber, f, round((v - m) / CASE WHEN sd > 1e-12 THEN sd ELSE 1 END, 5) + 0.0 AS z FROM t JOIN s USING (f)")
+def zscore(spark, d):
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(*names).alias("x"))
+    z = V.standardised(rows, "x").select("l_orderkey", "l_linenumber", F.posexplode("x").alias("pos", "v"))
+    return z.select("l_orderkey", "l_linenumber", F.element_at(F.array(*map(F.lit, names)), F.col("pos") + 1).alias("f"), (r("v", 5) + F.lit(0.0)).alias("z"))
+
+
+@query(f"WITH {SHIFT} SELECT id, round(list_max(list_transform(x, lambda v: v / greatest(sqrt({dot('x', 'x')}), 1e-12))), 6) AS top FROM pts")
+def l2_normalise(spark, d):
+    return shifted(spark, d)[0].select("id", r(F.array_max(V.normalise(F.col("x")))).alias("top"))
+
+
+@query(f"WITH {PTS} SELECT id FROM pts ORDER BY md5(id::VARCHAR), id LIMIT 100")
+def subsample_hash(spark, d):
+    return C.subsample(points(spark, d), 100).select("id")
+
+
+@query(f"WITH {PTS}, {CEN} SELECT cid, round(c[1], 6) AS c0, round({dot('c', 'c')}, 6) AS n2 FROM cen")
+def init_centroids(spark, d):
+    return both(spark, d)[1].select("cid", r(F.element_at("c", 1)).alias("c0"), r(V.norm2(F.col("c"))).alias("n2"))
+
+
+_MEANS = "SELECT cid, n, avg(x[n]) AS m FROM near, range(1, 65) t(n) GROUP BY cid, n"
+
+
+@query(f"WITH {PTS}, {CEN}, {PAIR}, {NEAR} SELECT cid, (n - 1)::INTEGER AS pos, round(m, 6) + 0.0 AS v FROM ({_MEANS})")
+def centroid_update(spark, d):
+    p, c = both(spark, d)
+    return C.update(C.assign(p, c), c).select("cid", F.posexplode("c").alias("pos", "v")).select("cid", "pos", (r("v") + F.lit(0.0)).alias("v"))
+
+
+@query(f"WITH {PTS}, {CEN}, {PAIR}, {NEAR}, used AS (SELECT cid FROM near GROUP BY cid) SELECT cid, 0.0::DOUBLE AS moved FROM (SELECT unnest([100, 101]) AS cid)")
+def empty_cluster_update(spark, d):
+    p, c = both(spark, d)
+    far = spark.createDataFrame([(100, [50.0] * D), (101, [-50.0] * D)], "cid int, c array<double>")
+    every = c.unionByName(far)
+    return C.update(C.assign(p, every), every).filter("cid >= 100").select("cid", F.col("moved2").alias("moved"))
+
+
+@query(f"WITH {PTS}, {CEN}, {PAIR}, {NEAR}, m AS ({_MEANS}) SELECT round(sum((x[n] - m.m) * (x[n] - m.m)), 5) AS inertia FROM near JOIN m USING (cid)")
+def inertia(spark, d):
+    p, c = both(spark, d)
+    near = C.assign(p, c)
+    return C.inertia(near, C.update(near, c)).select(r("inertia", 5).alias("inertia"))
+
+
+def _step(n: int) -> str:
+    return f"""mean{n} AS (SELECT cid, list(m ORDER BY n) AS c FROM (SELECT cid, n, avg(x[n]) AS m FROM near{n - 1}, range(1, 65) t(n) GROUP BY cid, n) GROUP BY cid),
+cen{n} AS (SELECT o.cid, coalesce(k.c, o.c) AS c FROM cen{n - 1} o LEFT JOIN mean{n} k USING (cid)),
+near{n} AS (SELECT id, cid, x FROM (SELECT id, cid, x, {dot("c", "c")} - 2 * {dot("x", "c")} AS s FROM pts, cen{n}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY s, cid) = 1)"""
+
+
+_LLOYD = f"WITH {PTS}, {CEN}, {PAIR}, {NEAR}, cen0 AS (SELECT * FROM cen), near0 AS (SELECT id, cid, x FROM near), {_step(1)}, {_step(2)}, {_step(3)}"
+
+
+@query(f"{_LLOYD} SELECT a.id, a.cid FROM near2 a")
+def lloyd_3iter(spark, d):
+    assigned, _, _ = C.lloyd(*both(spark, d), C.Params(max_iter=3))
+    return assigned.select("id", "cid")
+
+
+@query(f"{_LLOYD} SELECT count(*) FILTER (WHERE a.cid <> b.cid) AS changed, count(*) AS n FROM near0 a JOIN near2 b USING (id)")
+def label_diff(spark, d):
+    p, c = both(spark, d)
+    first = C.assign(p, c).select("id", F.col("cid").alias("a"))
+    last, _, _ = C.lloyd(p, c, C.Params(max_iter=3))
+    return first.join(last.select("id", "cid"), "id").agg(F.count_if(F.col("a") != F.col("cid")).alias("changed"), F.count("*").alias("n"))
+
+
+@query(f"{_LLOYD} SELECT round(sqrt(sum({direct('a.c', 'b.c')})), 6) AS shift FROM cen0 a JOIN cen1 b USING (cid)")
+def frobenius_shift(spark, d):
+    p, c = both(spark, d)
+    return C.update(C.assign(p, c), c).agg(r(F.sqrt(F.sum("moved2"))).alias("shift"))
+
+
+@query(f"WITH {PTS}, {CEN}, {PAIR}, {NEAR} SELECT cid AS la, label AS lb, count(*) AS n FROM near JOIN embeddings ON vec_id = id GROUP BY ALL")
+def contingency(spark, d):
+    truth = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("lb"))
+    return C.contingency(C.assign(*both(spark, d)).select("id", F.col("cid").alias("la")), truth)
+
+
+@query()
+def label_agreement(spark, d):
+    return spark.createDataFrame([(C.agreement(contingency(spark, d)),)], "agreement double")
+
+
+@query()
+def mllib_kmeans(spark, d):
+    """The outside implementation: its inertia, for comparison."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = points(spark, d).select("id", array_to_vector("x").alias("features"))
+    model = KMeans(k=K, seed=1, maxIter=20, tol=1e-4).fit(rows)
+    return spark.createDataFrame([(K, float(model.summary.trainingCost))], "k int, inertia double")
+
+
+_EVENTS = "SELECT event_id, value AS v FROM events WHERE value IS NOT NULL"
+
+
+def events(spark, d):
+    return table(spark, d, "events").select("event_id", F.col("value").alias("v")).filter("v IS NOT NULL")
+
+
+@query(f"SELECT event_id, {fp16_sql('v')} AS h FROM ({_EVENTS})")
+def fp16_round(spark, d):
+    return events(spark, d).select("event_id", N.fp16(F.col("v")).alias("h"))
+
+
+@query(f"SELECT event_id, {bf16_sql('v')} AS h FROM ({_EVENTS})")
+def bf16_round(spark, d):
+    return events(spark, d).select("event_id", N.bf16(F.col("v")).alias("h"))
+
+
+def _split_sql(f, words: int) -> str:
+    inner = "SELECT event_id, v AS r0 FROM (SELECT event_id, v::FLOAT::DOUBLE AS v FROM (" + _EVENTS + "))"
+    for n in range(words):
+        inner = f"SELECT *, {f(f'r{n}')} AS b{n}, r{n} - b{n} AS r{n + 1} FROM ({inner})"
+    return f"SELECT event_id, {', '.join(f'b{n}' for n in range(words))}, r{words} AS rest FROM ({inner})"
+
+
+def _split(df, words, rounding):
+    parts = N.split(F.col("x"), words, rounding)
+    rest = F.col("x")
+    for p in parts:
+        rest = rest - p
+    return df.withColumn("x", F.col("v").cast("float").cast("double")).select("event_id", *(p.alias(f"b{n}") for n, p in enumerate(parts)), rest.alias("rest"))
+
+
+@query(_split_sql(bf16_sql, 3))
+def bf16_split3(spark, d):
+    return _split(events(spark, d), 3, N.bf16)
+
+
+@query(_split_sql(fp16_sql, 2))
+def fp16_split2(spark, d):
+    return _split(events(spark, d), 2, N.fp16)
+
+
+_TOP = f"(SELECT max(abs(v)) AS top FROM ({_EVENTS}))"
+_SCALE = "(CASE WHEN top > 0 THEN pow(2.0::DOUBLE, floor(log2(4096.0 / top))) ELSE 1.0 END)"
+
+
+def scaled(spark, d):
+    rows = events(spark, d)
+    top = rows.agg(F.max(F.abs("v")).alias("top")).select(N.autoscale(F.col("top")).alias("scale"))
+    return rows.join(F.broadcast(top))
+
+
+@query(f"SELECT {_SCALE} AS scale FROM {_TOP}")
+def autoscale(spark, d):
+    return scaled(spark, d).select("scale").distinct()
+
+
+_SPLIT_SCALED = f"SELECT event_id, s, b0, s - b0 AS r, {fp16_sql('(s - b0)')} AS b1 FROM (SELECT event_id, s, {fp16_sql('s')} AS b0 FROM (SELECT event_id, v * {_SCALE} AS s FROM ({_EVENTS}), {_TOP}))"
+
+
+@query(f"SELECT event_id, b0, b1 FROM ({_SPLIT_SCALED})")
+def fp16_split_scaled(spark, d):
+    parts = N.split(F.col("v") * F.col("scale"), 2, N.fp16)
+    return scaled(spark, d).select("event_id", parts[0].alias("b0"), parts[1].alias("b1"))
+
+
+@query(f"SELECT CASE WHEN isinf(b1) THEN 'overflow' WHEN (b1 = 0 AND r <> 0) OR (b1 <> 0 AND abs(b1) < pow(2.0, -14)) THEN 'subnormal' ELSE 'ok' END AS class, count(*) AS n FROM ({_SPLIT_SCALED}) GROUP BY ALL")
+def word_class(spark, d):
+    s = F.col("v") * F.col("scale")
+    parts = N.split(s, 2, N.fp16)
+    return scaled(spark, d).select(N.word_class(parts[1], s - parts[0]).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+
+
+def sides(spark, d):
+    rows = points(spark, d)
+    return M.entries(rows.filter("id < 16").withColumnRenamed("id", "i")), M.entries(rows.filter("id >= 16 AND id < 32").select((F.col("id") - 16).alias("i"), "x"))
+
+
+AB = f"{PTS}, a AS (SELECT id AS i, n AS l, x[n] AS v FROM pts, range(1, 65) t(n) WHERE id < 16), b AS (SELECT id - 16 AS j, n AS l, x[n] AS w FROM pts, range(1, 65) t(n) WHERE id >= 16 AND id < 32)"
+
+
+@query(f"WITH {AB} SELECT i, j, round(sum(v * w), 6) + 0.0 AS v FROM a JOIN b USING (l) GROUP BY i, j")
+def gemm_coo(spark, d):
+    return M.product(*sides(spark, d)).select("i", "j", (r("v") + F.lit(0.0)).alias("v"))
+
+
+def _planes_sql(f, words: int, scale: str = "1") -> str:
+    def one(source: str, key: str, value: str) -> str:
+        inner = f"SELECT {key}, l, {value} * {scale} AS r0 FROM {source}"
+        for n in range(words):
+            inner = f"SELECT *, {f(f'r{n}')} AS b{n}, r{n} - b{n} AS r{n + 1} FROM ({inner})"
+        return f"SELECT {key}, l, unnest(range({words})) AS p, unnest([{', '.join(f'b{n}' for n in range(words))}]) AS {value} FROM ({inner})"
+
+    values = ", ".join(f"({n}, {p}, {q})" for n, (p, q) in enumerate(N.terms(words)))
+    return f"pa AS ({one('a', 'i', 'v')}), pb AS ({one('b', 'j', 'w')}), sched AS (SELECT * FROM (VALUES {values}) s(pos, p, q)), prod AS (SELECT i, j, pos, pa.p + pb.p AS bin, sum(v * w) AS v FROM pa JOIN pb USING (l) JOIN sched ON sched.p = pa.p AND sched.q = pb.p GROUP BY ALL)"
+
+
+def _prefix_sql(counts: list[int], unscale: str = "1") -> str:
+    return f"SELECT i, j, terms::INTEGER AS terms, round(sum(v) * {unscale}, 6) + 0.0 AS v FROM prod, (SELECT unnest({counts}) AS terms) WHERE pos < terms GROUP BY i, j, terms"
+
+
+@query(f"WITH {AB}, {_planes_sql(bf16_sql, 3)} {_prefix_sql([1, 3, 6, 9])}")
+def gemm_bf16_prefix(spark, d):
+    a, b = sides(spark, d)
+    products = M.term_products(M.planes(a, 3, N.bf16), M.planes(b, 3, N.bf16), 3)
+    return M.prefixes(products, [1, 3, 6, 9]).select("i", "j", "terms", (r("v") + F.lit(0.0)).alias("v"))
+
+
+@query(f"WITH {AB}, {_planes_sql(fp16_sql, 2, '1024.0')} {_prefix_sql([1, 3], '(1 / 1048576.0)')}")
+def gemm_multiword_prefix(spark, d):
+    a, b = sides(spark, d)
+    products = M.term_products(M.planes(a, 2, N.fp16, 1024.0), M.planes(b, 2, N.fp16, 1024.0), 2)
+    return M.prefixes(products, [1, 3], 1 / 1048576.0).select("i", "j", "terms", (r("v") + F.lit(0.0)).alias("v"))
+
+
+@query(f"WITH {AB}, {_planes_sql(bf16_sql, 3)} SELECT i, j, bin::INTEGER AS bin, round(sum(v), 6) + 0.0 AS v FROM prod GROUP BY i, j, bin")
+def gemm_concat_bins(spark, d):
+    a, b = sides(spark, d)
+    products = M.term_products(M.planes(a, 3, N.bf16), M.planes(b, 3, N.bf16), 3)
+    return products.groupBy("i", "j", "bin").agg((r(F.sum("v")) + F.lit(0.0)).alias("v"))
+
+
+@query(f"WITH {AB}, {_planes_sql(bf16_sql, 3)}, full_ AS (SELECT i, j, sum(v * w) AS w FROM a JOIN b USING (l) GROUP BY i, j), pre AS (SELECT i, j, terms, sum(v) AS v FROM prod, (SELECT unnest([1, 3]) AS terms) WHERE pos < terms GROUP BY ALL) SELECT terms::INTEGER AS terms, round(sqrt(sum((v - w) ** 2) / sum(w * w)), 8) AS rel_frob, round(max(abs(v - w)) / max(abs(w)), 8) AS rel_max FROM pre JOIN full_ USING (i, j) GROUP BY terms")
+def error_norms(spark, d):
+    a, b = sides(spark, d)
+    products = M.term_products(M.planes(a, 3, N.bf16), M.planes(b, 3, N.bf16), 3)
+    return M.error_norms(M.prefixes(products, [1, 3]), M.product(a, b), "terms").select("terms", r("rel_frob", 8).alias("rel_frob"), r("rel_max", 8).alias("rel_max"))
+
+
+BITS, COUNT = 7, 4
+_EXP = "CASE WHEN m > 0 THEN (floor(log2(m)) + 1)::INTEGER END AS e"
+_OZ = f"ea AS (SELECT i, {_EXP} FROM (SELECT i, max(abs(v)) AS m FROM a GROUP BY i)), eb AS (SELECT j, {_EXP} FROM (SELECT j, max(abs(w)) AS m FROM b GROUP BY j))"
+
+
+def _slice_sql(source: str, exps: str, key: str, value: str) -> str:
+    whole = f"floor(abs({value}) * pow(2.0, -e) * pow(2.0, {BITS * COUNT}))::BIGINT"
+    return f"SELECT {key}, l, e, p, (((({whole}) >> ({COUNT - 1} - p)::INTEGER * {BITS}) & {(1 << BITS) - 1}) * CASE WHEN {value} < 0 THEN -1 ELSE 1 END)::BIGINT AS {value} FROM {source} JOIN {exps} USING ({key}), range({COUNT}) t(p)"
+
+
+_SLICES = f"{_OZ}, sa AS ({_slice_sql('a', 'ea', 'i', 'v')}), sb AS ({_slice_sql('b', 'eb', 'j', 'w')})"
+
+
+@query(f"WITH {AB}, {_OZ} SELECT * FROM ea")
+def oz_exponents(spark, d):
+    return M.exponents(sides(spark, d)[0])
+
+
+@query(f"WITH {AB}, {_SLICES} SELECT i, (l - 1)::INTEGER AS l, p::INTEGER AS p, v FROM sa")
+def oz_slices(spark, d):
+    return M.sliced(sides(spark, d)[0], COUNT, BITS).select("i", "l", "p", "v")
+
+
+@query(f"WITH {AB}, {_SLICES} SELECT i, max(abs(g))::DOUBLE < pow(2.0, max(e) - {BITS * COUNT}) AS within FROM (SELECT sa.i, sa.l, sa.e, max(a.v) - sum(sa.v * pow(2.0, sa.e - (p + 1) * {BITS})) AS g FROM sa JOIN a ON a.i = sa.i AND a.l = sa.l GROUP BY ALL) GROUP BY i")
+def oz_reconstruct(spark, d):
+    a = sides(spark, d)[0]
+    back = M.sliced(a, COUNT, BITS).groupBy("i", "l", "e").agg(F.sum(F.col("v") * F.pow(F.lit(2.0), (F.col("e") - (F.col("p") + 1) * BITS).cast("double"))).alias("w"))
+    return back.join(a, ["i", "l"]).groupBy("i").agg((F.max(F.abs(F.col("v") - F.col("w"))) < F.pow(F.lit(2.0), (F.max("e") - BITS * COUNT).cast("double"))).alias("within"))
+
+
+@query(f"WITH {AB}, {_SLICES} SELECT i, j, (sa.p + sb.p)::INTEGER AS bin, sum(v * w)::BIGINT AS t FROM sa JOIN sb USING (l) WHERE sa.p + sb.p < {COUNT} GROUP BY ALL")
+def gemm_ozaki_prefix(spark, d):
+    a, b = (M.sliced(s, COUNT, BITS) for s in sides(spark, d))
+    return M.slice_products(a, b, COUNT).select("i", "j", "bin", "t")
+
+
+@query(f"WITH {AB}, {_SLICES} SELECT i, j, round(sum(v * w * pow(2.0, sa.e + sb.e - (sa.p + sb.p + 2) * {BITS})), 6) + 0.0 AS v FROM sa JOIN sb USING (l) WHERE sa.p + sb.p < {COUNT} GROUP BY i, j")
+def gemm_ozaki_fold(spark, d):
+    a, b = (M.sliced(s, COUNT, BITS) for s in sides(spark, d))
+    return M.folded(M.slice_products(a, b, COUNT), BITS).select("i", "j", (r("v") + F.lit(0.0)).alias("v"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY i + j, i) - 1)::INTEGER AS pos, i::INTEGER AS i, j::INTEGER AS j FROM range(3) a(i), range(3) b(j)")
+def term_schedule(spark, d):
+    return spark.createDataFrame([(n, p, q) for n, (p, q) in enumerate(N.terms(3))], "pos int, i int, j int")
+
+
+@query(f"WITH {PTS} SELECT id, round({total('x')}, 6) + 0.0 AS s FROM pts")
+def neumaier_sum(spark, d):
+    return points(spark, d).select("id", (r(V.neumaier(F.col("x"))) + F.lit(0.0)).alias("s"))
+
+
+# Bounds --------------------------------------------------------------------------------------
+def _bound_sql(eps: float) -> str:
+    factor, small = 2 * eps / (1 - eps), N.gamma(D, N.U32)
+    gfac, s = 2 * small / (1 - small), N.SLACK
+    return f"""WITH {SHIFT}, {CEN},
+hp AS (SELECT id, x, list_transform(x, lambda v: {fp16_sql("v")}) AS h FROM pts), hc AS (SELECT cid, c, {dot("c", "c")} AS cn, list_transform(c, lambda v: {fp16_sql("v")}) AS ch FROM cen),
+low AS (SELECT id, cid, cn, x, c, {dot("h", "ch")} AS g FROM hp, hc),
+lows AS (SELECT *, cn - 2 * g AS dt FROM low),
+best AS (SELECT id, cid AS bid, dt AS db, g AS gb, cn AS bn, {dot("x", "c")} AS ge FROM lows QUALIFY row_number() OVER (PARTITION BY id ORDER BY dt, cid) = 1),
+tests AS (SELECT *, db + {s!r} * (abs(db) + abs(dt)) <= dt - {factor!r} * (greatest(g, 0) + gb) AS x3, u + {s!r} * (abs(u) + abs(dt)) <= dt - {factor!r} * greatest(g, 0) AS x6 FROM (SELECT *, bn - 2 * ge + {gfac!r} * ge AS u FROM lows JOIN best USING (id)) WHERE cid <> bid),
+left_ AS (SELECT id, count(*) FILTER (WHERE NOT x3) AS n3, count(*) FILTER (WHERE NOT x6) AS n6, count(*) FILTER (WHERE NOT x3 AND NOT x6) AS n36 FROM tests GROUP BY id),
+exact AS (SELECT id, cid, cn - 2 * {dot("x", "c")} AS s FROM lows), truth AS (SELECT id, cid FROM exact QUALIFY row_number() OVER (PARTITION BY id ORDER BY s, cid) = 1)"""
+
+
+_BOUND = _bound_sql(N.epsilon(D))
+
+
+def bounded(spark, d):
+    return E.survivors(*shifted(spark, d), D, N.epsilon(D))
+
+
+def _count(name: str, left: str) -> Callable:
+    def run(spark, d):
+        return bounded(spark, d).select("id", F.size(left).cast("long").alias("survivors"))
+
+    run.__name__ = name
+    return run
+
+
+query(f"{_BOUND} SELECT id, n3 AS survivors FROM left_")(_count("excl_cond3", "s3"))
+query(f"{_BOUND} SELECT id, n6 AS survivors FROM left_")(_count("excl_cond6", "s6"))
+query(f"{_BOUND} SELECT id, n36 AS survivors FROM left_")(_count("excl_both", "s36"))
+
+
+@query(f"{_BOUND} SELECT count(*) FILTER (WHERE n3 > 0) AS priced, count(*) AS n FROM left_")
+def cascade_reference_count(spark, d):
+    return bounded(spark, d).agg(F.count_if(F.size("s3") > 0).alias("priced"), F.count("*").alias("n"))
+
+
+@query(f"{_BOUND} SELECT id, bid AS cid FROM best")
+def raw_assign(spark, d):
+    return bounded(spark, d).select("id", F.col("best.cid").alias("cid"))
+
+
+@query(f"{_BOUND} SELECT id, cid FROM truth")
+def mixed_assign(spark, d):
+    """Equal to the exact assignment: what the bounds drop can't be nearest."""
+    return E.refined(bounded(spark, d), "cascade")
+
+
+@query(f"{_BOUND} SELECT count(*) AS tested, count(*) FILTER (WHERE x3) AS by3, count(*) FILTER (WHERE x6) AS by6, count(*) FILTER (WHERE x3 OR x6) AS either FROM tests")
+def excl_attribution(spark, d):
+    rows = bounded(spark, d).select((F.size("ts") - 1).alias("n"), *(F.size(s).alias(s) for s in ("s3", "s6", "s36")))
+    return rows.agg(F.sum("n").alias("tested"), F.sum(F.col("n") - F.col("s3")).alias("by3"), F.sum(F.col("n") - F.col("s6")).alias("by6"), F.sum(F.col("n") - F.col("s36")).alias("either"))
+
+
+@query(f"{_BOUND} SELECT count(*) AS violations FROM tests JOIN truth USING (id, cid) WHERE x3 OR x6")
+def excl_violations(spark, d):
+    p, c = shifted(spark, d)
+    rows = E.survivors(p, c, D, N.epsilon(D)).select("id", F.col("best.cid").alias("b"), F.transform("s36", lambda t: t["cid"]).alias("left"))
+    truth = C.assign(p, c).select("id", "cid")
+    return rows.join(truth, "id").agg(F.count_if((F.col("cid") != F.col("b")) & ~F.array_contains("left", F.col("cid"))).alias("violations"))
+
+
+_RT = f"""WITH {PTS}, {CEN}, hp AS (SELECT id, x, {dot("x", "x")} AS xn, list_transform(x, lambda v: {fp16_sql("v")}) AS h FROM pts), hc AS (SELECT cid, c, {dot("c", "c")} AS cn, list_transform(c, lambda v: {fp16_sql("v")}) AS ch FROM cen),
+low AS (SELECT id, cid, xn + cn AS m, xn + cn - 2 * {dot("h", "ch")} AS dl, {direct("x", "c")} AS d2 FROM hp, hc),
+priced AS (SELECT id, cid, dl > {N.reliability(D)!r} * m AS ok, CASE WHEN dl > {N.reliability(D)!r} * m THEN dl ELSE d2 END AS s FROM low)"""
+
+
+@query(f"{_RT} SELECT id, count(*) FILTER (WHERE NOT ok) AS rejected FROM priced GROUP BY id")
+def rt_accept(spark, d):
+    return E.reliability_rows(*both(spark, d), D).select("id", F.col("rejected").cast("long").alias("rejected"))
+
+
+@query(f"{_RT} SELECT id, cid FROM priced QUALIFY row_number() OVER (PARTITION BY id ORDER BY s, cid) = 1")
+def rt_assign(spark, d):
+    return E.reliability_rows(*both(spark, d), D).select("id", "cid")
+
+
+@query()
+def mw_undecided_rows(spark, d):
+    return E.multiword_rows(*shifted(spark, d), D, (1024.0, 1024.0)).select("id", "undecided")
+
+
+@query(f"{_BOUND} SELECT id, cid FROM truth")
+def mw_assign(spark, d):
+    return E.multiword_rows(*shifted(spark, d), D, (1024.0, 1024.0)).select("id", "cid")
+
+
+# Sources and tables of runs --------------------------------------------------------------------
+@query("SELECT l_orderkey * 8 + l_linenumber AS id, l_linenumber::DOUBLE AS label, l_quantity AS x1, l_tax AS x2, l_discount AS x3 FROM lineitem")
+def libsvm_parse(spark, d):
+    text = F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.lit("qid:3"), F.concat(F.lit("1:"), "l_quantity"), F.lit("3:9"), F.concat(F.lit("3:"), "l_discount"), F.concat(F.lit("2:"), "l_tax"), F.lit("0:5 # 4:4"))
+    lines = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), text.alias("value"))
+    return S.parse_libsvm(lines, 3).select("id", "label", *(F.element_at("x", n).alias(f"x{n}") for n in (1, 2, 3)))
+
+
+def runs(spark):
+    return R.grid(spark, {"box": ("double", [0.0, 2.0, 10.0]), "n": ("long", [20000, 200000]), "d": ("long", [32, 64, 512]), "k": ("long", [16, 64, 256])})
+
+
+_GRID = "SELECT * FROM (SELECT unnest([0.0, 2.0, 10.0])::DOUBLE AS box), (SELECT unnest([20000, 200000])::BIGINT AS n), (SELECT unnest([32, 64, 512])::BIGINT AS d), (SELECT unnest([16, 64, 256])::BIGINT AS k)"
+
+
+@query(f"SELECT * FROM ({_GRID}) WHERE k = 64 OR d = 64")
+def config_grid(spark, d):
+    return R.sweep(runs(spark), 64, 64)
+
+
+@query(f"SELECT *, CASE WHEN k >= n THEN 'infeasible' WHEN need <= 100000000 THEN 'run' WHEN n_max > k THEN 'subsample' ELSE 'infeasible' END AS verdict FROM (SELECT *, 12 * n * d + 8 * n * k + 44 * n AS need, floor(100000000 / (12 * d + 8 * k + 44))::BIGINT AS n_max FROM ({_GRID}))")
+def feasibility(spark, d):
+    return R.feasible(runs(spark), 100_000_000)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def resume_anti(spark, d):
+    done = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return R.to_do(table(spark, d, "orders").select("o_orderkey"), done, ["o_orderkey"])
+
+
+@query("SELECT o_orderpriority, round(median(o_totalprice), 2) AS median, min(o_totalprice) AS least, max(o_totalprice) AS largest, round(max(o_totalprice) - min(o_totalprice), 2) AS spread, count(*) AS n FROM orders GROUP BY 1")
+def summary_median(spark, d):
+    out = R.summary(table(spark, d, "orders"), "o_orderpriority", "o_totalprice")
+    return out.withColumn("median", r("median", 2)).withColumn("spread", r("spread", 2))
+
+
+@query("WITH v AS (SELECT l_orderkey, list_sort(list(l_extendedprice)) AS v FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) > 1) GROUP BY 1) SELECT l_orderkey, v[len(v) // 2 + 1] AS middle, list_min(v) AS least, list_max(v) AS largest FROM v")
+def upper_middle(spark, d):
+    return R.upper_middle(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_orderkey", "l_extendedprice", "l_linenumber")
+
+
+_BEST = "SELECT l_suppkey, l_returnflag, min(l_extendedprice) AS cost FROM lineitem GROUP BY ALL"
+
+
+@query(f"SELECT a.l_suppkey, a.l_returnflag, round(b.cost / a.cost, 6) AS speedup FROM ({_BEST}) a JOIN ({_BEST}) b USING (l_suppkey) WHERE a.l_returnflag <> 'N' AND b.l_returnflag = 'N'")
+def speedup_selfjoin(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.min("l_extendedprice").alias("cost"))
+    return R.speedups(rows, ["l_suppkey"], "l_returnflag", "cost", "N").withColumn("speedup", r("speedup"))
+
+
+@query()
+def blob_points(spark, d):
+    return S.blobs(spark, 2000, 8, 4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
