@@ -30,10 +30,10 @@ SHINGLE, PERCENT = 5, 80
 LOAD = 3.0
 #: Characters that a kernel hashes at once, about; a longer text is hashed alone.
 GROUP_BYTES = 1 << 20
-#: Rounds in which groups are held against one member, before the members of different components are compared.
-STAR_ROUNDS = 2
-#: Members whose sketches are compared at once.
-BLOCK = 1_024
+#: From this size on sets have finer sketches.
+LARGE = 1_024
+#: Members that are compared at once with others, and others.
+ROWS, BLOCK = 32, 1_024
 #: Class numbers or groups that a task remembers, to give each once; forgetting repeats some.
 SEEN = 200_000
 #: Classes whose number and key, 16 bytes a row, are broadcast to fetch their texts; with more the texts are shuffled.
@@ -115,7 +115,7 @@ def class_of(shingles: np.ndarray) -> int:
     return int((total + np.array([len(shingles)], np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64)[0])
 
 
-def difference(a: int, b: int) -> int:
+def difference(a, b):
     """The most elements that sets of these sizes can differ in when they link."""
     return (a + b) * (100 - PERCENT) // (100 + PERCENT)
 
@@ -154,22 +154,47 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Counts of a set in 64 buckets, or 256 for large sets, of which four make one of the 64."""
-    buckets = 64 if len(shingles) < 1024 else 256
-    at = (shingles * U(0x9FB21C651E98DF25) >> U(56)).astype(np.int64) // (256 // buckets)
+    """Counts of a set in 256 buckets, or 1024 for large sets, of which four make one of the 256."""
+    buckets = 256 if len(shingles) < LARGE else 1024
+    at = (shingles * U(0x9FB21C651E98DF25) >> U(54)).astype(np.int64) // (1024 // buckets)
     counts = np.bincount(at, minlength=buckets)
-    return counts.astype("<u2" if counts.max(initial=0) < 65536 else "<u4").tobytes()
-
-
-def read_sketches(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts in 64 and in 256 buckets; the latter 0 where they aren't held."""
-    small, large = np.zeros((len(sketches), 64), np.int32), np.zeros((len(sketches), 256), np.int32)
-    for i, raw in enumerate(sketches):
-        counts = np.frombuffer(raw, "<u2" if len(raw) in (128, 512) else "<u4")
-        if len(counts) == 256:
-            large[i] = counts
-        small[i] = counts.reshape(64, -1).sum(axis=1)
-    return small, large
+    return bytes([1 if counts.max(initial=0) < 256 else 4]) + counts.astype("<u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+class Sketches:
+    """Sketches of many sets, in 64, 256 and 1024 buckets (the last only of large sets)."""
+
+    def __init__(self, sizes: np.ndarray, raw: list[bytes]):
+        self.n = sizes
+        self.mid = np.zeros((len(raw), 256), np.int32)
+        self.big: dict[int, np.ndarray] = {}
+        for i, x in enumerate(raw):
+            counts = np.frombuffer(x, "<u1" if x[0] == 1 else "<u4", offset=1)
+            if len(counts) == 1024:
+                self.big[i] = counts.astype(np.int32)
+                counts = self.big[i].reshape(256, 4).sum(axis=1)
+            self.mid[i] = counts
+        self.small = self.mid.reshape(len(raw), 64, 4).sum(axis=2)
+        if self.small.max(initial=0) < 1 << 14:
+            self.small = self.small.astype(np.int16)
+
+    def may_link(self, i: int | np.ndarray, other: Sketches, x: np.ndarray) -> np.ndarray:
+        """The places in x of rows of other that this one's row i, or rows i, may link with. A set of buckets' counts
+        differ by no more than the sets do, so what is passed over doesn't link."""
+        at = np.arange(len(x))
+
+        def rows(k: np.ndarray) -> int | np.ndarray:
+            return i[k] if isinstance(i, np.ndarray) else i
+
+        most = (other.n[x] + self.n[rows(at)]) * (100 - PERCENT) // (100 + PERCENT)
+        at = at[np.abs(other.n[x] - self.n[rows(at)]) <= most]
+        for name in ("small", "mid"):
+            mine, theirs = getattr(self, name), getattr(other, name)
+            at = at[np.abs(theirs[x[at]] - mine[rows(at)]).sum(axis=1, dtype=np.int64) <= most[at]]
+        if self.big and other.big:
+            pairs = [(k, self.big.get(int(rows(np.array([k]))[0] if isinstance(i, np.ndarray) else i)), other.big.get(int(x[k]))) for k in at.tolist()]
+            at = np.array([k for k, a, b in pairs if a is None or b is None or np.abs(a - b).sum() <= most[k]], np.int64)
+        return at
 
 
 def class_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -259,15 +284,6 @@ def group_rows(signed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "g long, a long, b long").distinct()
 
 
-def near(n_a: np.ndarray, n_b: np.ndarray, small_a, small_b, large_a, large_b) -> np.ndarray:
-    """Whether sizes and sketches allow a link; False only where there is none."""
-    most = (n_a + n_b) * (100 - PERCENT) // (100 + PERCENT)
-    fits = np.abs(n_a - n_b) <= most
-    fits &= np.abs(small_a - small_b).sum(axis=-1) <= most
-    both = (n_a >= 1024) & (n_b >= 1024)
-    return fits & (~both | (np.abs(large_a - large_b).sum(axis=-1) <= most))
-
-
 def filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs a, b that the bound leaves."""
     one = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -277,16 +293,17 @@ def filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                sa, la = read_sketches(part.column("sa").to_pylist())
-                sb, lb = read_sketches(part.column("sb").to_pylist())
-                ok = near(part.column("na").to_numpy(), part.column("nb").to_numpy(), sa, sb, la, lb)
-                yield part.select(["a", "b"]).filter(pa.array(ok))
+                one = Sketches(part.column("na").to_numpy(), part.column("sa").to_pylist())
+                two = Sketches(part.column("nb").to_numpy(), part.column("sb").to_pylist())
+                every = np.arange(part.num_rows)
+                yield part.select(["a", "b"]).take(pa.array(one.may_link(every, two, every)))
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def compare_components(groups: DataFrame) -> DataFrame:
-    """Distinct pairs a, b of a group's members in different components that the bound leaves. groups: g, cls, c, n, sketch.
+    """Pairs a, b of a group's members in different components that the bound leaves, each
+    once: by the least of the groups that have both. groups: g, cls, c, n, sketch, all (cls's groups).
 
     Members' sketches are compared in blocks; only what the bound leaves is given out."""
 
@@ -297,16 +314,28 @@ def compare_components(groups: DataFrame) -> DataFrame:
             g = table.column("g").to_numpy()
             edges = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
             for first, last in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                part = table.slice(first, last - first)
+                part, number = table.slice(first, last - first), int(g[first])
                 cls, c, n = (part.column(x).to_numpy() for x in ("cls", "c", "n"))
-                small, large = read_sketches(part.column("sketch").to_pylist())
-                for i in range(len(cls) - 1):
-                    for at in range(i + 1, len(cls), BLOCK):
+                if c.min() == c.max():
+                    continue
+                sketches, shared = Sketches(n, part.column("sketch").to_pylist()), [set(x) for x in part.column("all").to_pylist()]
+                a, b = [], []
+                for top in range(0, len(cls) - 1, ROWS):
+                    rows = np.arange(top, min(top + ROWS, len(cls)))
+                    for at in range(top, len(cls), BLOCK):
                         x = np.arange(at, min(at + BLOCK, len(cls)))
-                        x = x[(c[x] != c[i]) & (np.abs(n[x] - n[i]) * (100 + PERCENT) <= (n[x] + n[i]) * (100 - PERCENT))]
-                        x = x[near(n[x], n[i], small[x], small[i], large[x], large[i])] if len(x) else x
-                        if len(x):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[x], cls[i])), pa.array(np.maximum(cls[x], cls[i]))], names=["a", "b"])
+                        apart = (c[x][None, :] != c[rows][:, None]) & (x[None, :] > rows[:, None])
+                        if not apart.any():
+                            continue
+                        gap = np.abs(sketches.small[x][None, :, :] - sketches.small[rows][:, None, :]).sum(axis=2, dtype=np.int64)
+                        i, j = np.nonzero(apart & (gap <= difference(n[x][None, :], n[rows][:, None])))
+                        i, j = rows[i], x[j]
+                        for k in sketches.may_link(i, sketches, j).tolist() if len(i) else ():
+                            if min(shared[i[k]] & shared[j[k]]) == number:
+                                a.append(cls[i[k]])
+                                b.append(cls[j[k]])
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(a)), pa.array(np.array(b))], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
@@ -320,8 +349,8 @@ def compare_components(groups: DataFrame) -> DataFrame:
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    dealt = groups.select("g", "cls", "c", "n", "sketch").repartition("g").sortWithinPartitions("g", "cls")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = groups.select("g", "cls", "c", "n", "sketch", "all").repartition("g").sortWithinPartitions("g", "cls")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -349,17 +378,22 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """cls and c, the least class of its component, for all classes in edges a, b.
 
-    Labels go along edges and then to their label's label, until none changes; each round is cut from its lineage."""
+    Labels go along edges, and from the fourth round on also to their label's label, until none
+    changes; each round is cut from its lineage."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b"))
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cls"), F.least("a", "m").alias("c")))
+    turn = 0
     while True:
-        near = both.join(labels, both.b == labels.cls).groupBy("a").agg(F.min("c").alias("m"))
-        moved = labels.join(near, labels.cls == near.a).select("cls", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        to = moved.select(F.col("cls").alias("k"), F.col("c").alias("far"))
-        labels = cut(moved.join(to, F.col("c") == F.col("k")).select("cls", "old", F.least("c", "far").alias("c")))
+        turn += 1
+        near = both.join(labels, both.b == labels.cls).select(F.col("a").alias("cls"), "c", F.lit(None).cast("long").alias("old"))
+        moved = near.union(labels.select("cls", "c", F.col("c").alias("old"))).groupBy("cls").agg(F.min("c").alias("c"), F.max("old").alias("old"))
+        if turn > 3:  # long chains
+            moved = cut(moved)
+            to = moved.select(F.col("cls").alias("k"), F.col("c").alias("far"))
+            moved = moved.join(to, F.col("c") == F.col("k")).select("cls", F.least("c", "far").alias("c"), "old")
+        labels = cut(moved)
         if not labels.filter("c <> old").head(1):
             return labels.select("cls", "c")
-        labels = labels.select("cls", "c")
 
 
 def jaccard_components(df: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,8 +412,8 @@ def jaccard_components(df: DataFrame, key_col: str = "doc_id", text_col: str = "
     classes = cut(rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     groups = cut(group_rows(signature_rows(df, text_col)))
 
-    def check(pairs: DataFrame) -> DataFrame:
-        pairs = cut(filter_pairs(pairs, classes))
+    def check(pairs: DataFrame, bounded: bool = False) -> DataFrame:
+        pairs = cut(pairs if bounded else filter_pairs(pairs, classes))
         wanted = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls").filter("rep IS NOT NULL").select("cls", "rep"))
         small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
         texts = df.select(F.col(f"`{key_col}`").alias("rep"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(small, "rep").select("cls", "text")
@@ -388,22 +422,14 @@ def jaccard_components(df: DataFrame, key_col: str = "doc_id", text_col: str = "
     edges = check(groups.select("a", "b").distinct())
     found = components(edges)
     members = groups.select("g", F.col("a").alias("cls")).union(groups.select("g", "b")).distinct()
-    for turn in range(STAR_ROUNDS):
-        named = members.join(found, "cls", "left").select("g", "cls", F.coalesce("c", "cls").alias("c"))
-        mixed = named.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("g")
-        members = cut(named.join(mixed, "g").select("g", "cls", "c"))
-        if not members.head(1):
-            break
-        if turn < STAR_ROUNDS - 1:  # against another member
-            hubs = members.groupBy("g").agg(F.min_by(F.struct("cls", "c"), F.xxhash64("cls", F.lit(turn))).alias("hub"))
-            pairs = members.join(hubs, "g").filter("c <> hub.c").select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
-        else:
-            pairs = compare_components(members.join(classes, "cls"))
-        new = check(pairs)
+    named = members.join(found, "cls", "left").select("g", "cls", F.coalesce("c", "cls").alias("c"))
+    mixed = named.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("g")
+    members = cut(named.join(mixed, "g").select("g", "cls", "c"))
+    if members.head(1):
+        lists = members.groupBy("cls").agg(F.collect_list("g").alias("all"))
+        new = check(compare_components(members.join(classes.join(lists, "cls"), "cls")), bounded=True)
         if new.head(1):
-            edges = edges.union(new)
-            found = components(edges)
-        members = members.select("g", "cls")
+            found = components(edges.union(new))
     labelled = classes.join(found, "cls", "left").select("cls", "rep", F.coalesce("c", "cls").alias("c"))
     least = labelled.groupBy("c").agg(F.min("rep").alias("component_id"))
     by_class = labelled.join(least, "c").select("cls", "component_id")
