@@ -31,6 +31,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATOR), lambda w: w != "")
 
 
+def once(col: Column) -> Column:
+    """col, always; the condition, which holds for every row, keeps the optimiser from moving col
+    into filters or lambdas above, where it would be computed again for each word."""
+    return F.when(F.monotonically_increasing_id() >= 0, col)
+
+
 def windows_of(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """A row for each distinct window: length, gram (its words, joined by spaces), ids (sorted as strings)."""
     split = items.select(F.col(f"`{id_col}`").cast("string").alias("id"), words_of(F.col(f"`{text_col}`")).alias("w"))
@@ -64,7 +70,7 @@ def find_contamination(df: DataFrame, items: DataFrame, text_col: str = "text",
     """
     held = windows_of(items, item_id_col, item_text_col, window)
     sizes = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("gram") + F.size("ids") * 20), F.lit(0)).alias("chars"), F.array_sort(F.collect_set("length")).alias("lengths")).first()
-    base = df.select(*(F.col(f"`{c}`") for c in without(df, OUTPUTS)), words_of(F.col(f"`{text_col}`")).alias("__w"))
+    base = df.select(*(F.col(f"`{c}`") for c in without(df, OUTPUTS)), once(words_of(F.col(f"`{text_col}`"))).alias("__w"))
     if sizes.n <= literal_windows and sizes.chars <= LITERAL_CHARS:
         found = _by_literal(base, held, sizes)
     else:
@@ -106,8 +112,7 @@ def _by_literal(base: DataFrame, held: DataFrame, sizes) -> DataFrame:
         at = F.expr(f"filter(CASE WHEN size(__w) >= {length} THEN sequence(1, size(__w) - {length - 1}) ELSE array() END, i -> xxhash64(slice(__w, i, {length})) IN ({ids_in}))")
 
         hits = F.concat(hits, F.filter(F.transform(at, verifier(length)), lambda h: h["ids"].isNotNull()))
-    # each step is a projection of its own: what is used twice stays a column and is computed once
-    step = base.withColumn("__hits", F.array_sort(hits))
+    step = base.withColumn("__hits", once(F.array_sort(hits)))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform("__hits", lambda h: h["ids"])), lambda s: F.split(s, ",")))))
     return step.withColumn("__ids", ids).withColumn("__spans", F.transform("__hits", lambda h: F.struct(h["at"].alias("at"), h["length"].alias("length")))).drop("__hits")
 
