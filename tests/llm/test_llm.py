@@ -3,12 +3,13 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -253,6 +254,22 @@ def test_byte_bpe(spark, docs, odd, empty):
     assert byte_bpe.encode_texts(empty, path, P.PATTERN).count() == 0
 
 
+def test_folded_merges_and_vocabulary(spark, docs, monkeypatch):
+    ranks, rng = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), np.random.default_rng(3)
+    words = [bytes(rng.integers(0, 256, n).tolist()) for n in rng.integers(1, 33, 150)] + [b"a" * n for n in range(1, 33)]
+    df = spark.createDataFrame([(bytearray(w),) for w in words], "w binary").select("w", byte_bpe.fold_merges(F.col("w"), byte_bpe.rank_literal(ranks)).alias("ids"))
+    assert all(r.ids == byte_bpe.merge_word(bytes(r.w), ranks) for r in df.collect())
+    found = Counter()
+    for r in docs.collect():
+        found.update(regex.findall(P.PATTERN, r.text or ""))
+    found = {w: n for w, n in found.items() if len(w.encode()) <= byte_bpe.WORD_BYTES}
+    assert {r.word: r.n for r in byte_bpe.count_words(docs, P.PATTERN, "text").collect()} == found
+    monkeypatch.setattr(byte_bpe, "VOCABULARY", 500)
+    folded = byte_bpe.fold_vocabulary(docs, ranks, P.PATTERN, "text")
+    assert 0 < len(folded) <= 500 and min(found[w] for w in folded) >= max(found[w] for w in found.keys() - folded.keys())
+    assert all(ids == b",".join(b"%d" % i for i in byte_bpe.merge_word(w.encode(), ranks)) for w, ids in folded.items())
+
+
 # 10
 def test_nearest(spark):
     rows = [(r.vec_id, [float(v) for v in r.embedding]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]

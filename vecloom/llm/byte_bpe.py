@@ -1,21 +1,40 @@
-"""Byte-level BPE: encoding by ranked merges of distinct words, decoding by joining pieces."""
+"""Byte-level BPE: encoding by ranked merges of distinct words, decoding by joining pieces.
+
+The distinct words of all texts are counted, and Spark's higher-order functions fold the merges
+over the bytes of the most frequent ones, with the ranks as a literal. These words' ids
+are broadcast, a table of bounded size; words beyond it, and words too long for a fold that looks at
+all pairs again at each merge, are merged by the workers that meet them. All words get the same ids
+either way.
+"""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import heapq
+import json
+import uuid
+import zlib
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .common import with_computed, worker_store
+from .common import let, shared_folder, with_computed, worker_store
 
 #: Chunks, and words in them, that a worker remembers; beyond them it forgets all and starts anew.
 MAX_WORDS = 800_000
+#: Distinct chunks, and characters of chunks that are whole texts, that a worker counts before it hands them on.
+COUNTED, COUNTED_CHARS = 300_000, 10_000_000
 #: Above all ranks.
 NEVER = 1 << 60
+#: Words that are folded and broadcast: the most frequent ones of at most so many bytes. With ids of up to 6 digits that is at most 50 MB.
+VOCABULARY, WORD_BYTES = 200_000, 32
+#: Slots of the literal rank map: a literal map is searched from its beginning, so each slot is a map of its own, with about one piece.
+SLOTS = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -23,6 +42,85 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The ranks as array<map<string, int>>: a piece is in the slot that its CRC names, under its hexadecimal digits. The optimizer folds it to a literal."""
+    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+    for piece, rank in ranks.items():
+        slots[zlib.crc32(piece) % SLOTS][piece.hex().upper()] = rank
+    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
+
+
+def fold_merges(word: Column, ranks: Column) -> Column:
+    """The ids (array<int>) of a word (binary, not empty): its bytes, of which again and again the adjacent pair of lowest rank, the leftmost of equals, becomes one piece."""
+    return let(ranks, lambda slots: _folded(word, slots))
+
+
+def _folded(word: Column, slots: Column) -> Column:
+    def ranks_of(pieces: Column) -> Column:
+        return F.transform(pieces, lambda p: F.element_at(F.element_at(slots, (F.crc32(p) % SLOTS + 1).cast("int")), F.hex(p)))
+
+    def merge_at(pieces: Column, pairs: Column, at: Column) -> Column:
+        return F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(F.element_at(pairs, at)), F.slice(pieces, at + 2, F.size(pieces)))
+
+    def merge_best(pieces: Column, pairs: Column, found: Column) -> Column:
+        at = F.array_position(found, F.array_min(found)).cast("int")
+        return let(at, lambda i: F.when(i.isNull(), pieces).otherwise(merge_at(pieces, pairs, i)))
+
+    def merged(pieces: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1)))
+        return let(pairs, lambda p: let(ranks_of(p), lambda found: merge_best(pieces, p, found)))
+
+    def step(state: Column, _: Column) -> Column:
+        """Pieces, and whether the last merge found nothing to do."""
+        after = let(merged(state["pieces"]), lambda p: F.struct(p.alias("pieces"), (F.size(p) == F.size(state["pieces"])).alias("done")))
+        return F.when(state["done"] | (F.size(state["pieces"]) < 2), state).otherwise(after)
+
+    n = F.octet_length(word)
+    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
+    start = F.struct(single.alias("pieces"), F.lit(False).alias("done"))
+    folded = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: ranks_of(s["pieces"]))
+    return let(ranks_of(F.array(word)), lambda whole: F.when(F.element_at(whole, 1).isNotNull(), whole).otherwise(folded))
+
+
+def count_words(df: DataFrame, pattern: str, text_col: str) -> DataFrame:
+    """(word, n): how often each distinct word of at most WORD_BYTES bytes occurs in the texts. Workers count before Spark shuffles."""
+
+    def run(batches):
+        import regex
+
+        find = regex.compile(pattern).findall
+        chunks = ChunkCounts()
+        for batch in batches:
+            for value in batch.column(0):
+                chunks.add(value.as_py() or "")
+                if len(chunks.spaced) > COUNTED or chunks.chars > COUNTED_CHARS:
+                    yield chunks.words(find)
+                    chunks = ChunkCounts()
+        yield chunks.words(find)
+
+    return df.select(F.col(f"`{text_col}`")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fold_vocabulary(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str) -> dict[str, bytes]:
+    """The comma-joined decimal ids of the most frequent words, at most VOCABULARY of them.
+
+    The words taken are those that occur at least 2^k times, for the least k that keeps to the bound;
+    with more words than the bound that occur equally often to within a factor of 2, fewer are taken.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    count_words(df, pattern, text_col).write.parquet(folder)
+    counted = spark.read.parquet(folder).withColumn("k", F.floor(F.log2("n")).cast("int"))
+    least, room = 99, VOCABULARY
+    for row in sorted(counted.groupBy("k").agg(F.count("*").alias("n")).collect(), key=lambda r: -r.k):
+        if row.n > room:
+            break
+        least, room = row.k, room - row.n
+    ids = fold_merges(F.col("word").cast("binary"), rank_literal(ranks))
+    rows = counted.filter(F.col("k") >= least).select("word", F.array_join(ids.cast("array<string>"), ",").alias("ids")).collect()
+    return {r.word: r.ids.encode() for r in rows}
+
+
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a word: its bytes, of which again and again the adjacent pair of lowest rank, the leftmost of equals, becomes one piece."""
     if (whole := ranks.get(word)) is not None:
@@ -63,15 +161,15 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Chunks(dict):
     """Comma-joined decimal ids of chunks: a space and what follows it up to the next space."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, folded: dict[str, bytes] | None = None):
         import regex
 
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.ranks, self.find, self.folded = ranks, regex.compile(pattern).findall, folded or {}
         self.pieces = {b"%d" % i: piece for piece, i in ranks.items()}
         self.words: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
+        if (ids := self.folded.get(word) or self.words.get(word)) is None:
             ids = b",".join([b"%d" % i for i in merge_word(word.encode(), self.ranks)])
             if len(word) < 256:
                 if len(self.words) > MAX_WORDS:
@@ -104,13 +202,47 @@ def encode_text(text: str, chunks: Chunks) -> bytes:
     return b",".join(ids)
 
 
+class ChunkCounts:
+    """Counts of the chunks that encode_text takes texts apart into."""
+
+    def __init__(self):
+        self.spaced: Counter[str] = Counter()  # chunks that begin with a space, without it
+        self.others: Counter[str] = Counter()
+        self.chars = 0
+
+    def add(self, text: str) -> None:
+        if not text:
+            return
+        if any(c in text for c in CROSSING):
+            self.others[text] += 1
+            self.chars += len(text)
+            return
+        parts = text.split(" ")
+        self.spaced.update(parts)
+        self.spaced[parts[0]] -= 1
+        if parts[0]:
+            self.others[parts[0]] += 1
+
+    def words(self, find: Callable[[str], list[str]]) -> pa.RecordBatch:
+        """(word, n) of the words of at most WORD_BYTES bytes."""
+        words: Counter[str] = Counter()
+        for space, counts in ((" ", self.spaced), ("", self.others)):
+            for chunk, n in counts.items():
+                if n:
+                    for word in find(space + chunk):
+                        words[word] += n
+        kept = [w for w in words if len(w) <= WORD_BYTES and len(w.encode()) <= WORD_BYTES]
+        return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([words[w] for w in kept], pa.int64())], names=["word", "n"])
+
+
 def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """df with the columns token_ids (array<int>) of each whole text and decoded (binary), the joined pieces of those ids.
 
     Each match of the pattern is encoded separately; there are no special tokens. A
     null text counts as empty and has no ids. Columns of these names are replaced;
-    every row is kept, repeated rows too. Long words are merged with a heap, so a
-    text without spaces takes time in proportion to n log n.
+    every row is kept, repeated rows too; an empty table gives an empty one. Words of more
+    than WORD_BYTES bytes are merged with a heap, so a text without spaces takes time in
+    proportion to n log n. df is read twice: its words are counted and folded in this call.
     """
     return _encoded(df, ranks_path, pattern, text_col, digests=False)
 
@@ -121,14 +253,16 @@ def encode_digests(df: DataFrame, ranks_path: str, pattern: str, text_col: str =
 
 
 def _encoded(df: DataFrame, ranks_path: str, pattern: str, text_col: str, digests: bool) -> DataFrame:
-    held = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    ranks = read_ranks(ranks_path)
+    held = df.sparkSession.sparkContext.broadcast((ranks, fold_vocabulary(df, ranks, pattern, text_col)))
+    run = uuid.uuid4().hex
 
     def make():
         store = worker_store("byte_bpe")
-        key = (ranks_path, pattern)
-        if key not in store:
-            store[key] = Chunks(held.value, pattern)
-        chunks = store[key]
+        if run not in store:
+            store.clear()
+            store[run] = Chunks(held.value[0], pattern, held.value[1])
+        chunks = store[run]
         piece = chunks.pieces.__getitem__
 
         def kernel(texts):
