@@ -305,9 +305,35 @@ def sides(spark, d):
 AB = f"{PTS}, a AS (SELECT id AS i, n AS l, x[n] AS v FROM pts, range(1, 65) t(n) WHERE id < 16), b AS (SELECT id - 16 AS j, n AS l, x[n] AS w FROM pts, range(1, 65) t(n) WHERE id >= 16 AND id < 32)"
 
 
-@query(f"WITH {AB} SELECT i, j, round(sum(v * w), 6) + 0.0 AS v FROM a JOIN b USING (l) GROUP BY i, j")
-def gemm_coo(spark, d):
-    return M.product(*sides(spark, d)).select("i", "j", (r("v") + F.lit(0.0)).alias("v"))
+def whole_sides(spark, d):
+    """Every embedding, and the centroids."""
+    p, c = both(spark, d)
+    return M.entries(p.withColumnRenamed("id", "i")), M.entries(c.select(F.col("cid").alias("i"), F.col("c").alias("x")))
+
+
+AB_ALL = f"{PTS}, {CEN}, a AS (SELECT id AS i, n AS l, x[n] AS v FROM pts, range(1, 65) t(n)), b AS (SELECT cid AS j, n AS l, c[n] AS w FROM cen, range(1, 65) t(n))"
+
+
+def product_query(sql: str) -> Callable:
+    """Two queries of a function of two operands in entries: one of its name over the 16 by 16 rows that its SQL has,
+    and one with _all added over all embeddings and the centroids."""
+
+    def register(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable:
+        for name, operands, own in ((f.__name__, sides, sql), (f"{f.__name__}_all", whole_sides, sql.replace(AB, AB_ALL))):
+
+            def run(spark, d, operands=operands):
+                return f(*operands(spark, d))
+
+            run.__name__ = name
+            query(own)(run)
+        return f
+
+    return register
+
+
+@product_query(f"WITH {AB} SELECT i, j, round(sum(v * w), 6) + 0.0 AS v FROM a JOIN b USING (l) GROUP BY i, j")
+def gemm_coo(a, b):
+    return M.product(a, F.broadcast(b)).select("i", "j", (r("v") + F.lit(0.0)).alias("v"))
 
 
 def _planes_sql(f, words: int, scale: str = "1") -> str:
@@ -325,32 +351,28 @@ def _prefix_sql(counts: list[int], unscale: str = "1") -> str:
     return f"SELECT i, j, terms::INTEGER AS terms, round(sum(v) * {unscale}, 6) + 0.0 AS v FROM prod, (SELECT unnest({counts}) AS terms) WHERE pos < terms GROUP BY i, j, terms"
 
 
-@query(f"WITH {AB}, {_planes_sql(bf16_sql, 3)} {_prefix_sql([1, 3, 6, 9])}")
-def gemm_bf16_prefix(spark, d):
-    a, b = sides(spark, d)
-    products = M.term_products(M.planes(a, 3, N.bf16), M.planes(b, 3, N.bf16), 3)
+@product_query(f"WITH {AB}, {_planes_sql(bf16_sql, 3)} {_prefix_sql([1, 3, 6, 9])}")
+def gemm_bf16_prefix(a, b):
+    products = M.term_products(M.planes(a, 3, N.bf16), F.broadcast(M.planes(b, 3, N.bf16)), 3)
     return M.prefixes(products, [1, 3, 6, 9]).select("i", "j", "terms", (r("v") + F.lit(0.0)).alias("v"))
 
 
-@query(f"WITH {AB}, {_planes_sql(fp16_sql, 2, '1024.0')} {_prefix_sql([1, 3], '(1 / 1048576.0)')}")
-def gemm_multiword_prefix(spark, d):
-    a, b = sides(spark, d)
-    products = M.term_products(M.planes(a, 2, N.fp16, 1024.0), M.planes(b, 2, N.fp16, 1024.0), 2)
+@product_query(f"WITH {AB}, {_planes_sql(fp16_sql, 2, '1024.0')} {_prefix_sql([1, 3], '(1 / 1048576.0)')}")
+def gemm_multiword_prefix(a, b):
+    products = M.term_products(M.planes(a, 2, N.fp16, 1024.0), F.broadcast(M.planes(b, 2, N.fp16, 1024.0)), 2)
     return M.prefixes(products, [1, 3], 1 / 1048576.0).select("i", "j", "terms", (r("v") + F.lit(0.0)).alias("v"))
 
 
-@query(f"WITH {AB}, {_planes_sql(bf16_sql, 3)} SELECT i, j, bin::INTEGER AS bin, round(sum(v), 6) + 0.0 AS v FROM prod GROUP BY i, j, bin")
-def gemm_concat_bins(spark, d):
-    a, b = sides(spark, d)
-    products = M.term_products(M.planes(a, 3, N.bf16), M.planes(b, 3, N.bf16), 3)
+@product_query(f"WITH {AB}, {_planes_sql(bf16_sql, 3)} SELECT i, j, bin::INTEGER AS bin, round(sum(v), 6) + 0.0 AS v FROM prod GROUP BY i, j, bin")
+def gemm_concat_bins(a, b):
+    products = M.term_products(M.planes(a, 3, N.bf16), F.broadcast(M.planes(b, 3, N.bf16)), 3)
     return products.groupBy("i", "j", "bin").agg((r(F.sum("v")) + F.lit(0.0)).alias("v"))
 
 
-@query(f"WITH {AB}, {_planes_sql(bf16_sql, 3)}, full_ AS (SELECT i, j, sum(v * w) AS w FROM a JOIN b USING (l) GROUP BY i, j), pre AS (SELECT i, j, terms, sum(v) AS v FROM prod, (SELECT unnest([1, 3]) AS terms) WHERE pos < terms GROUP BY ALL) SELECT terms::INTEGER AS terms, round(sqrt(sum((v - w) ** 2) / sum(w * w)), 8) AS rel_frob, round(max(abs(v - w)) / max(abs(w)), 8) AS rel_max FROM pre JOIN full_ USING (i, j) GROUP BY terms")
-def error_norms(spark, d):
-    a, b = sides(spark, d)
-    products = M.term_products(M.planes(a, 3, N.bf16), M.planes(b, 3, N.bf16), 3)
-    return M.error_norms(M.prefixes(products, [1, 3]), M.product(a, b), "terms").select("terms", r("rel_frob", 8).alias("rel_frob"), r("rel_max", 8).alias("rel_max"))
+@product_query(f"WITH {AB}, {_planes_sql(bf16_sql, 3)}, full_ AS (SELECT i, j, sum(v * w) AS w FROM a JOIN b USING (l) GROUP BY i, j), pre AS (SELECT i, j, terms, sum(v) AS v FROM prod, (SELECT unnest([1, 3]) AS terms) WHERE pos < terms GROUP BY ALL) SELECT terms::INTEGER AS terms, round(sqrt(sum((v - w) ** 2) / sum(w * w)), 8) AS rel_frob, round(max(abs(v - w)) / max(abs(w)), 8) AS rel_max FROM pre JOIN full_ USING (i, j) GROUP BY terms")
+def error_norms(a, b):
+    products = M.term_products(M.planes(a, 3, N.bf16), F.broadcast(M.planes(b, 3, N.bf16)), 3)
+    return M.error_norms(M.prefixes(products, [1, 3]), M.product(a, F.broadcast(b)), "terms").select("terms", r("rel_frob", 8).alias("rel_frob"), r("rel_max", 8).alias("rel_max"))
 
 
 BITS, COUNT = 7, 4
@@ -366,33 +388,32 @@ def _slice_sql(source: str, exps: str, key: str, value: str) -> str:
 _SLICES = f"{_OZ}, sa AS ({_slice_sql('a', 'ea', 'i', 'v')}), sb AS ({_slice_sql('b', 'eb', 'j', 'w')})"
 
 
-@query(f"WITH {AB}, {_OZ} SELECT * FROM ea")
-def oz_exponents(spark, d):
-    return M.exponents(sides(spark, d)[0])
+@product_query(f"WITH {AB}, {_OZ} SELECT * FROM ea")
+def oz_exponents(a, b):
+    return M.exponents(a)
 
 
-@query(f"WITH {AB}, {_SLICES} SELECT i, (l - 1)::INTEGER AS l, p::INTEGER AS p, v FROM sa")
-def oz_slices(spark, d):
-    return M.sliced(sides(spark, d)[0], COUNT, BITS).select("i", "l", "p", "v")
+@product_query(f"WITH {AB}, {_SLICES} SELECT i, (l - 1)::INTEGER AS l, p::INTEGER AS p, v FROM sa")
+def oz_slices(a, b):
+    return M.sliced(a, COUNT, BITS).select("i", "l", "p", "v")
 
 
-@query(f"WITH {AB}, {_SLICES} SELECT i, max(abs(g))::DOUBLE < pow(2.0, max(e) - {BITS * COUNT}) AS within FROM (SELECT sa.i, sa.l, sa.e, max(a.v) - sum(sa.v * pow(2.0, sa.e - (p + 1) * {BITS})) AS g FROM sa JOIN a ON a.i = sa.i AND a.l = sa.l GROUP BY ALL) GROUP BY i")
-def oz_reconstruct(spark, d):
-    a = sides(spark, d)[0]
+@product_query(f"WITH {AB}, {_SLICES} SELECT i, max(abs(g))::DOUBLE < pow(2.0, max(e) - {BITS * COUNT}) AS within FROM (SELECT sa.i, sa.l, sa.e, max(a.v) - sum(sa.v * pow(2.0, sa.e - (p + 1) * {BITS})) AS g FROM sa JOIN a ON a.i = sa.i AND a.l = sa.l GROUP BY ALL) GROUP BY i")
+def oz_reconstruct(a, b):
     back = M.sliced(a, COUNT, BITS).groupBy("i", "l", "e").agg(F.sum(F.col("v") * F.pow(F.lit(2.0), (F.col("e") - (F.col("p") + 1) * BITS).cast("double"))).alias("w"))
     return back.join(a, ["i", "l"]).groupBy("i").agg((F.max(F.abs(F.col("v") - F.col("w"))) < F.pow(F.lit(2.0), (F.max("e") - BITS * COUNT).cast("double"))).alias("within"))
 
 
-@query(f"WITH {AB}, {_SLICES} SELECT i, j, (sa.p + sb.p)::INTEGER AS bin, sum(v * w)::BIGINT AS t FROM sa JOIN sb USING (l) WHERE sa.p + sb.p < {COUNT} GROUP BY ALL")
-def gemm_ozaki_prefix(spark, d):
-    a, b = (M.sliced(s, COUNT, BITS) for s in sides(spark, d))
-    return M.slice_products(a, b, COUNT).select("i", "j", "bin", "t")
+@product_query(f"WITH {AB}, {_SLICES} SELECT i, j, (sa.p + sb.p)::INTEGER AS bin, sum(v * w)::BIGINT AS t FROM sa JOIN sb USING (l) WHERE sa.p + sb.p < {COUNT} GROUP BY ALL")
+def gemm_ozaki_prefix(a, b):
+    a, b = (M.sliced(s, COUNT, BITS) for s in (a, b))
+    return M.slice_products(a, F.broadcast(b), COUNT).select("i", "j", "bin", "t")
 
 
-@query(f"WITH {AB}, {_SLICES} SELECT i, j, round(sum(v * w * pow(2.0, sa.e + sb.e - (sa.p + sb.p + 2) * {BITS})), 6) + 0.0 AS v FROM sa JOIN sb USING (l) WHERE sa.p + sb.p < {COUNT} GROUP BY i, j")
-def gemm_ozaki_fold(spark, d):
-    a, b = (M.sliced(s, COUNT, BITS) for s in sides(spark, d))
-    return M.folded(M.slice_products(a, b, COUNT), BITS).select("i", "j", (r("v") + F.lit(0.0)).alias("v"))
+@product_query(f"WITH {AB}, {_SLICES} SELECT i, j, round(sum(v * w * pow(2.0, sa.e + sb.e - (sa.p + sb.p + 2) * {BITS})), 6) + 0.0 AS v FROM sa JOIN sb USING (l) WHERE sa.p + sb.p < {COUNT} GROUP BY i, j")
+def gemm_ozaki_fold(a, b):
+    a, b = (M.sliced(s, COUNT, BITS) for s in (a, b))
+    return M.folded(M.slice_products(a, F.broadcast(b), COUNT), BITS).select("i", "j", (r("v") + F.lit(0.0)).alias("v"))
 
 
 @query("SELECT (row_number() OVER (ORDER BY i + j, i) - 1)::INTEGER AS pos, i::INTEGER AS i, j::INTEGER AS j FROM range(3) a(i), range(3) b(j)")
