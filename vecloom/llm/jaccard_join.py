@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, with_computed
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles of the largest set of a band to a partition.
@@ -213,6 +213,25 @@ def class_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"key {kind}, n long, cls long, sketch binary")
 
 
+def class_texts(df: DataFrame, text: str) -> DataFrame:
+    """cls and text: a task gives a text of each class once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = Shingler(), set()
+        for batch in batches:
+            classes, places = [], []
+            for i, s in enumerate(shingler.sets([(t.as_py() or "").encode() for t in batch.column(0)])):
+                if len(s) and (c := class_of(s)) not in seen:
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    seen.add(c)
+                    classes.append(c)
+                    places.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), batch.column(0).take(pa.array(places, pa.int64()))], names=["cls", "text"])
+
+    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "cls long, text string")
+
+
 def signature_rows(df: DataFrame, text: str) -> DataFrame:
     """sig and cls: a task gives those of each class once."""
 
@@ -410,13 +429,18 @@ def jaccard_components(df: DataFrame, key_col: str = "doc_id", text_col: str = "
     """
     rows = cut(class_rows(df, key_col, text_col))
     classes = cut(rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    unnamed = bool(classes.filter("rep IS NULL").head(1))
     groups = cut(group_rows(signature_rows(df, text_col)))
 
     def check(pairs: DataFrame, bounded: bool = False) -> DataFrame:
         pairs = cut(pairs if bounded else filter_pairs(pairs, classes))
-        wanted = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls").filter("rep IS NOT NULL").select("cls", "rep"))
-        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        wanted = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls").select("cls", "rep"))
+        named = wanted.filter("rep IS NOT NULL")
+        small = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
         texts = df.select(F.col(f"`{key_col}`").alias("rep"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(small, "rep").select("cls", "text")
+        if unnamed:  # classes whose only keys are null: their texts are found by their sets
+            rest = class_texts(df.filter(F.col(f"`{key_col}`").isNull()), text_col)
+            texts = texts.union(rest.join(wanted.filter("rep IS NULL").select("cls"), "cls").select("cls", "text").dropDuplicates(["cls"]))
         return cut(verify(pairs, texts))
 
     edges = check(groups.select("a", "b").distinct())
@@ -439,9 +463,17 @@ def jaccard_components(df: DataFrame, key_col: str = "doc_id", text_col: str = "
 
 def drop_near_duplicates(df: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each component: the one whose key is the component's. Rows with a null key,
-    or without words, stay; repeated rows (key and text alike) become one."""
-    found = cut(jaccard_components(df, key_col, text_col).select(key_col, "component_id"))
-    gone = found.filter(F.col(key_col) != F.col("component_id")).select(key_col).distinct()
-    left = df.join(gone, key_col, "left_anti").select(df.columns)
+    or without words, stay; repeated rows (key and text alike) become one. Rows that share a key go or stay
+    each by its own text."""
+    found = cut(jaccard_components(df, key_col, text_col).select(key_col, "component_id", "cls"))
+    gone = found.filter(F.col(key_col) != F.col("component_id")).select(key_col, F.col("cls").alias("__cls")).distinct()
     twice = found.filter(F.col(key_col).isNotNull()).groupBy(key_col).count().filter("count > 1").head(1)
-    return left.dropDuplicates([key_col, text_col]) if twice else left
+    if not twice:
+        return df.join(gone.select(key_col), key_col, "left_anti").select(df.columns)
+
+    def make_kernel():
+        shingler = Shingler()
+        return lambda texts: [pa.array([class_of(s) if len(s) else None for s in shingler.sets([(t.as_py() or "").encode() for t in texts])], pa.int64())]
+
+    own = with_computed(df, [text_col], "__cls long", make_kernel)
+    return own.join(gone, [key_col, "__cls"], "left_anti").select(df.columns).dropDuplicates([key_col, text_col])
