@@ -38,7 +38,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     return decontaminate.remove_contamination(found).select(docs.columns)
 
 

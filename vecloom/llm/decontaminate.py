@@ -24,6 +24,8 @@ WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 LITERAL_WINDOWS, LITERAL_CHARS = 100_000, 16 << 20
 #: Separate the parts of the literal table: buckets, entries, a window's words from its items. No word holds them.
 BUCKET, ENTRY, ITEMS = "\x02", "\x01", "\x03"
+#: Stands for the id of items without one.
+UNNAMED = "\x04"
 OUTPUTS = ("n_words", "n_hit", "n_items", "item_ids", "hit_spans", "contaminated")
 
 
@@ -37,9 +39,9 @@ def once(col: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, col)
 
 
-def windows_of(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """A row for each distinct window: length, gram (its words, joined by spaces), ids (sorted as strings)."""
-    split = items.select(F.col(f"`{id_col}`").cast("string").alias("id"), words_of(F.col(f"`{text_col}`")).alias("w"))
+def windows_of(items: DataFrame, id_col: str, text_col: str, window: int, unnamed: bool = False) -> DataFrame:
+    """A row for each distinct window: length, gram (its words, joined by spaces), ids (sorted as strings). Items without an id have UNNAMED, if unnamed is set, or else no window."""
+    split = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(UNNAMED if unnamed else None)).alias("id"), words_of(F.col(f"`{text_col}`")).alias("w"))
     sized = split.filter((F.size("w") > 0) & F.col("id").isNotNull()).withColumn("length", F.least(F.size("w"), F.lit(window)))
     grams = sized.select("id", "length", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1)).alias("at"), "w")
     joined = grams.select("id", "length", F.concat_ws(" ", F.slice("w", F.col("at"), F.col("length"))).alias("gram"))
@@ -58,17 +60,18 @@ def _spans_covered(spans: Column) -> Column:
     return F.aggregate(spans, start, add, lambda acc: acc["n"])
 
 
-def find_contamination(df: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literal_windows: int = LITERAL_WINDOWS) -> DataFrame:
+def find_contamination(df: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literal_windows: int = LITERAL_WINDOWS, unnamed: bool = False) -> DataFrame:
     """df with n_words, n_hit (words inside any occurrence of a window), n_items, item_ids
     (string ids of items with occurring windows, sorted), hit_spans (array of struct at
     (word number from 1), length) and contaminated (n_hit > 0).
 
-    A null or empty text has no words and no hits. Items without an id or without a word
-    have no window; with none at all nothing is contaminated. Items of the same window
-    are all named. Columns of these names are replaced; every row is kept, repeated
+    A null or empty text has no words and no hits. Items without a word have no window; nor
+    have items without an id, unless unnamed is set: their windows then count for n_hit, hit_spans and
+    contaminated, all such items count as one in n_items, and none is in item_ids. With no window at all
+    nothing is contaminated. Items of the same window are all named. Columns of these names are replaced; every row is kept, repeated
     rows too.
     """
-    held = windows_of(items, item_id_col, item_text_col, window)
+    held = windows_of(items, item_id_col, item_text_col, window, unnamed)
     sizes = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("gram") + F.size("ids") * 20), F.lit(0)).alias("chars"), F.array_sort(F.collect_set("length")).alias("lengths")).first()
     base = df.select(*(F.col(f"`{c}`") for c in without(df, OUTPUTS)), once(words_of(F.col(f"`{text_col}`"))).alias("__w"))
     if sizes.n <= literal_windows and sizes.chars <= LITERAL_CHARS:
@@ -76,7 +79,7 @@ def find_contamination(df: DataFrame, items: DataFrame, text_col: str = "text",
     else:
         found = _by_join(base, held, sizes.lengths)
     kept = [F.col(f"`{c}`") for c in found.columns if not c.startswith("__")]
-    return found.select(*kept, F.size("__w").cast("long").alias("n_words"), _spans_covered(F.col("__spans")).alias("n_hit"), F.size("__ids").cast("long").alias("n_items"), F.col("__ids").alias("item_ids"), F.col("__spans").alias("hit_spans"), (F.size("__spans") > 0).alias("contaminated"))
+    return found.select(*kept, F.size("__w").cast("long").alias("n_words"), _spans_covered(F.col("__spans")).alias("n_hit"), F.size("__ids").cast("long").alias("n_items"), F.filter("__ids", lambda i: i != UNNAMED).alias("item_ids"), F.col("__spans").alias("hit_spans"), (F.size("__spans") > 0).alias("contaminated"))
 
 
 def _by_literal(base: DataFrame, held: DataFrame, sizes) -> DataFrame:
