@@ -112,12 +112,13 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
 
     Nearest first, ties to the smaller id. Vectors that are null, zero, or hold null or
     non-finite components, and rows without an id, take no part; nor do vectors of another
-    dimension than the sample's most frequent one. A row that is repeated counts each time but
-    is never its own neighbour: rows with the query's id are left out. With fewer candidates all
+    dimension than the sample's most frequent one. A candidate that is repeated counts each time but
+    is never its own neighbour: rows with the query's id are left out. A query that is repeated, id and vector
+    alike, is answered once; queries of one id and different vectors have k each, ranked apart. With fewer candidates all
     are returned; where the codes within the radius are fewer than k, it grows until they aren't.
     """
     spark = df.sparkSession
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_id long, query long, vec_id long, score double"
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("x"), queries.alias("q")).filter(F.col("id").isNotNull() & valid(F.col("x")))
     sample = rows.select("x", F.xxhash64("id", F.lit("ann")).alias("h"), "id").orderBy("h", "id").limit(FIT_ROWS).collect()
     if not sample:
@@ -134,17 +135,17 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
     shards, blocks = -(-counts.n // SHARD_ROWS), max(1, -(-counts.q // BLOCK_ROWS))
     spread = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int"))
     index = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", "id", "x")
-    asked = spread.filter("q").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "block", "id", "x")
+    asked = spread.filter("q").dropDuplicates(["id", "x"]).withColumn("query", F.xxhash64("id", "x")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "block", "id", "query", "x")
 
     def search(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(asked):
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "query": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         m = held.value
         vectors, ids = np.stack(index["x"].to_numpy()), index["id"].to_numpy()
         table = MultiIndex(m.codes(vectors))
         questions = np.stack(asked["x"].to_numpy())
-        out_q, out_v, out_s = [], [], []
-        for query, vector, code in zip(asked["id"].tolist(), questions, m.codes(questions)):
+        out_q, out_n, out_v, out_s = [], [], [], []
+        for query, number, vector, code in zip(asked["id"].tolist(), asked["query"].tolist(), questions, m.codes(questions)):
             radius = m.radius
             while True:
                 found = table.within(code, radius)
@@ -158,10 +159,11 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
             scores = top * np.sqrt(((difference / unit[:, None]) ** 2).sum(axis=1)) if top.max(initial=0.0) > 1e150 else np.sqrt((difference**2).sum(axis=1))
             best = np.lexsort((ids[found], scores))[:k]
             out_q += [query] * len(best)
+            out_n += [number] * len(best)
             out_v += ids[found][best].tolist()
             out_s += scores[best].tolist()
-        return pd.DataFrame({"query_id": pd.Series(out_q, dtype="int64"), "vec_id": pd.Series(out_v, dtype="int64"), "score": pd.Series(out_s, dtype="float64")})
+        return pd.DataFrame({"query_id": pd.Series(out_q, dtype="int64"), "query": pd.Series(out_n, dtype="int64"), "vec_id": pd.Series(out_v, dtype="int64"), "score": pd.Series(out_s, dtype="float64")})
 
     found = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, schema)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    order = Window.partitionBy("query_id", "query").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
