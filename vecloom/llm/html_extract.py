@@ -37,6 +37,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = set("ul ol dl table div article section main aside nav header footer form body".split())
 #: Share of a page's text that a container must hold to be its main one.
 SHARE = 0.6
+#: Share of its page's best container that a host's path must cover.
+COVERED = 0.98
 #: Winning paths of so many characters in all are broadcast; beyond that pages are shuffled to them.
 BROADCAST_CHARS = 8 << 20
 
@@ -149,7 +151,8 @@ def parse(page: str) -> list[Node]:
 
 
 def scored(nodes: list[Node]) -> Node | None:
-    """The best container: the deepest that holds SHARE of the page's text that is no link, articles first."""
+    """The best container: articles first, else the deepest that holds SHARE of the page's text that is no link, or
+    the nearest above it that holds all of it."""
     for node in nodes:
         node.text = 0.0
     for node in nodes:
@@ -167,7 +170,24 @@ def scored(nodes: list[Node]) -> Node | None:
         best = max(articles, key=lambda x: (x.text, x.depth))
         if best.text >= 0.2 * total:
             return best
-    return max((x for x in good if x.text >= SHARE * total), key=lambda x: x.depth, default=nodes[0])
+    best = max((x for x in good if x.text >= SHARE * total), key=lambda x: x.depth, default=nodes[0])
+    up = best.parent
+    while up is not None:
+        if up.text > best.text:
+            best = up
+        up = up.parent
+    return best
+
+
+def covered(best: Node, chosen: list[Node]) -> float:
+    """Text of best that lies in the chosen containers."""
+
+    def inside(x: Node | None, top: Node) -> bool:
+        while x is not None and x is not top:
+            x = x.parent
+        return x is top
+
+    return max(sum(x.text for x in chosen if inside(x, best)), best.text if any(inside(best, x) for x in chosen) else 0.0)
 
 
 def text_of(nodes: list[Node], chosen: list[Node]) -> str:
@@ -196,7 +216,7 @@ def extract(page: str | None, path: str | None) -> str:
     if best is None:  # links alone: there is no better text
         return text_of(nodes, [nodes[0]])
     chosen = [x for x in nodes if path is not None and x.path == path and not x.chrome and x.text > 0]
-    if sum(x.text for x in chosen) < 0.5 * best.text:
+    if covered(best, chosen) < COVERED * best.text:
         chosen = [best]
     return text_of(nodes, chosen)
 
