@@ -1,21 +1,23 @@
 """Exact n-gram Jaccard self-join by PartEnum signatures, and its connected components.
 
 Sets of word shingles are put in bands of size. Within a band the domain of shingle hashes
-is dealt into partitions, more of them than shingles in which two similar sets of the band
-can differ, so that similar sets agree on a partition: they share the signature of its
-number and content. Only non-empty partitions give signatures, and of these as many as the
-largest difference, plus one, in the partitions' order: the first on which two similar sets
-agree is among them in both.
+is dealt into partitions, and each partition into cells. Of the partitions there are so
+many that sets of the band which link differ in few elements on one of them at least, in no more
+than DIFFER; there they agree on all but DIFFER of its cells. So every subset of that many cells
+is enumerated, and its content is a signature: sets that link share one.
 
 Equal sets are one class. Sets that share a signature are candidates. Candidates are
-dropped by a bound, the distance of their counts in buckets, which the difference of the
+dropped by a bound, the distance of their parity sketches, which the difference of the
 sets is never below, and the others are verified on their whole texts. A group of one
 signature is never paired out at first: its members are held against one of them, what is
-linked becomes one component, and only members of different components are compared.
+linked becomes one component, and only members of different components are compared, in
+tiles of bounded size.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +28,18 @@ from pyspark.sql import functions as F
 from .common import cut, with_computed
 
 SHINGLE, PERCENT = 5, 80
-#: Shingles of the largest set of a band to a partition.
-LOAD = 3.0
+#: Largest size of the first band, and what a band's is of that of the one before.
+FIRST_BAND, BAND_NUMERATOR, BAND_DENOMINATOR = 3, 8, 5
 #: Characters that a kernel hashes at once, about; a longer text is hashed alone.
 GROUP_BYTES = 1 << 20
-#: From this size on sets have finer sketches.
-LARGE = 1_024
-#: Members that are compared at once with others, and others.
-ROWS, BLOCK = 32, 1_024
+#: Bytes of a sketch: a bit to an element at least, up to the most.
+LEAST_SKETCH, MOST_SKETCH = 8, 2_048
+#: Members of a group that one tile of the comparison holds of each side; members that are compared at once with others, and others.
+TILE, ROWS, BLOCK = 2_048, 32, 512
+#: Members of one signature that a task holds; a larger group is handed on in parts.
+HELD = 2_000_000
+#: Pairs of one class that a task verifies; with more they are dealt to several.
+PAIRS = 256
 #: Class numbers or groups that a task remembers, to give each once; forgetting repeats some.
 SEEN = 200_000
 #: Classes whose number and key, 16 bytes a row, are broadcast to fetch their texts; with more the texts are shuffled.
@@ -129,72 +135,111 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def bands() -> list[int]:
+    """The largest size of each band."""
+    out = [FIRST_BAND]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, out[-1] * BAND_NUMERATOR // BAND_DENOMINATOR))
+    return out
+
+
+BANDS = np.array(bands())
+
+
+class Scheme:
+    """Partitions of a band: their number, cells of each, and the subsets of cells, all but `differ`, that are enumerated."""
+
+    def __init__(self, level: int):
+        most = difference(int(BANDS[level]), int(BANDS[level]))
+        if most <= 4:  # small sets: one partition, many cells
+            self.parts, self.cells, self.differ = 1, 7, most
+        elif most <= 7:
+            self.parts, self.cells, self.differ = 2, 6, 3
+        elif most <= 15:
+            self.parts, self.cells, self.differ = most // 3 + 3, 4, 2
+        else:
+            self.parts, self.cells, self.differ = most // 2 + 3 + most // 32, 3, 1
+        subsets = list(itertools.combinations(range(self.cells), self.cells - self.differ))
+        self.take = np.zeros((self.cells, len(subsets)), np.uint64)
+        for i, subset in enumerate(subsets):
+            self.take[list(subset), i] = 1
+        self.names = mix(np.arange(self.parts * len(subsets), dtype=np.uint64) * U(0xD6E8FEB86659FD93) + U(level + 1)).reshape(self.parts, -1)
+        n = self.parts * self.cells
+        self.edges = np.array([(i << 64) // n for i in range(n)], np.uint64)
+
+
+@functools.cache
+def scheme(level: int) -> Scheme:
+    return Scheme(level)
+
+
 def signatures(shingles: np.ndarray) -> np.ndarray:
-    """PartEnum signatures of a sorted set in its band, and in the next where a similar set may lie in that."""
+    """PartEnum signatures of a sorted set in its band, and in the next where a similar set may lie in that.
+
+    Partitions are taken in order. One on which every enumerated subset holds something is full. Of
+    two sets that link, differing in at most `most`, at most most // (differ + 1) differ too
+    much on a full partition, so a set stops after one more full ones: the first partition on
+    which the sets agree on a subset that holds something is among those of both. If there is none,
+    neither set comes to its stop, and sets that don't give signatures of empty subsets too. Sets of
+    up to three elements link with equal ones only and have one, of all their content.
+    """
     size, out = len(shingles), []
-    band = (size - 1).bit_length()
+    band = int(np.searchsorted(BANDS, size))
     for level in (band, band + 1):
-        low, high = (1 << level - 1) if level else 0, 1 << level
-        if level > band and 100 * size < PERCENT * (low + 1):
+        low, high = int(BANDS[level - 1]) if level else 0, int(BANDS[level])
+        if not level or (level > band and 100 * size < PERCENT * (low + 1)):
             continue
-        parts = max(int(np.ceil(high / LOAD)), min(high, 16), 1)
-        partner = min(size * 100 // PERCENT, high)
-        most = difference(size, partner)
-        where = (shingles >> U(32)) * U(parts) >> U(32)  # ranges of hashes: a sorted set has them in order
-        first = np.concatenate(([0], np.flatnonzero(where[1:] != where[:-1]) + 1))
-        numbers = where[first]
-        content = np.add.reduceat(mix(shingles + U(0x2545F491)), first)
-        key = mix(mix(content + numbers * U(0xD6E8FEB86659FD93)) + U(level + 1))
-        if len(numbers) > most:
-            out.append(key[: most + 1])
-        else:  # too few partitions hold anything: sets of which both are so may agree on empty ones only
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), numbers)
-            out += [key, mix(mix(empty * U(0xD6E8FEB86659FD93)) ^ U(level + 1))]
-    return np.concatenate(out)
+        most = difference(size, min(size * 100 // PERCENT, high))
+        if not most:
+            continue
+        s = scheme(level)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(shingles + U(0x2545F491)), dtype=np.uint64)))
+        at = np.append(np.searchsorted(shingles, s.edges), size)
+        counts = np.diff(at).reshape(s.parts, s.cells)
+        full = np.cumsum((counts == 0).sum(axis=1) < s.cells - s.differ)
+        stop = int(np.searchsorted(full, most // (s.differ + 1) + 1)) + 1  # beyond all of them where there are too few full ones
+        content = np.diff(sums[at]).reshape(s.parts, s.cells)[:stop]
+        keys = mix(mix(content @ s.take + s.names[:stop]))
+        out.append(keys[(counts[:stop] > 0) @ (s.take > 0)] if stop <= s.parts else keys.ravel())
+    return np.concatenate(out) if out else mix(mix(shingles + U(0x2545F491)).sum(dtype=np.uint64, keepdims=True))[: size]
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Counts of a set in 256 buckets, or 1024 for large sets, of which four make one of the 256."""
-    buckets = 256 if len(shingles) < LARGE else 1024
-    at = (shingles * U(0x9FB21C651E98DF25) >> U(54)).astype(np.int64) // (1024 // buckets)
-    counts = np.bincount(at, minlength=buckets)
-    return bytes([1 if counts.max(initial=0) < 256 else 4]) + counts.astype("<u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+    """For each place whether an odd number of elements falls on it: places as many bits as elements, or more, up to a bound."""
+    size = min(max(LEAST_SKETCH, 1 << (len(shingles) - 1).bit_length() >> 3), MOST_SKETCH)
+    at = (shingles * U(0x9FB21C651E98DF25) >> U(40)).astype(np.int64) & (8 * size - 1)
+    return np.packbits(np.bincount(at, minlength=8 * size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
 class Sketches:
-    """Sketches of many sets, in 64, 256 and 1024 buckets (the last only of large sets)."""
-
-    def __init__(self, sizes: np.ndarray, raw: list[bytes]):
-        self.n = sizes
-        self.mid = np.zeros((len(raw), 256), np.int32)
-        self.big: dict[int, np.ndarray] = {}
-        for i, x in enumerate(raw):
-            counts = np.frombuffer(x, "<u1" if x[0] == 1 else "<u4", offset=1)
-            if len(counts) == 1024:
-                self.big[i] = counts.astype(np.int32)
-                counts = self.big[i].reshape(256, 4).sum(axis=1)
-            self.mid[i] = counts
-        self.small = self.mid.reshape(len(raw), 64, 4).sum(axis=2)
-        if self.small.max(initial=0) < 1 << 14:
-            self.small = self.small.astype(np.int16)
-
-    def may_link(self, i: int | np.ndarray, other: Sketches, x: np.ndarray) -> np.ndarray:
-        """The places in x of rows of other that this one's row i, or rows i, may link with. A set of buckets' counts
-        differ by no more than the sets do, so what is passed over doesn't link."""
-        at = np.arange(len(x))
-
-        def rows(k: np.ndarray) -> int | np.ndarray:
-            return i[k] if isinstance(i, np.ndarray) else i
-
-        most = (other.n[x] + self.n[rows(at)]) * (100 - PERCENT) // (100 + PERCENT)
-        at = at[np.abs(other.n[x] - self.n[rows(at)]) <= most]
-        for name in ("small", "mid"):
-            mine, theirs = getattr(self, name), getattr(other, name)
-            at = at[np.abs(theirs[x[at]] - mine[rows(at)]).sum(axis=1, dtype=np.int64) <= most[at]]
-        if self.big and other.big:
-            pairs = [(k, self.big.get(int(rows(np.array([k]))[0] if isinstance(i, np.ndarray) else i)), other.big.get(int(x[k]))) for k in at.tolist()]
-            at = np.array([k for k, a, b in pairs if a is None or b is None or np.abs(a - b).sum() <= most[k]], np.int64)
-        return at
+    """The sketches of a binary column, as words. Halves of a longer one folded on each other make a shorter one."""
+
+    def __init__(self, sizes: np.ndarray, raw: pa.BinaryArray):
+        offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        self.n, self.at, self.bytes = sizes, offsets[:-1], np.diff(offsets)
+        self.data = np.frombuffer(raw.buffers()[2], np.uint8)
+
+    def words(self, rows: np.ndarray, size: int) -> np.ndarray:
+        """[row, word] of sketches of at least size bytes, folded to that."""
+        out = np.empty((len(rows), size // 8), np.uint64)
+        for own in np.unique(self.bytes[rows]).tolist():
+            some = np.flatnonzero(self.bytes[rows] == own)
+            data = self.data[self.at[rows[some]][:, None] + np.arange(own)].view(np.uint64)
+            out[some] = np.bitwise_xor.reduce(data.reshape(len(some), own // size, size // 8), axis=1)
+        return out
+
+
+def may_link(one: Sketches, two: Sketches) -> np.ndarray:
+    """Rows of which the two sets may link. Places whose parity differs are no more than elements in which sets differ, so what is passed over doesn't link."""
+    most = difference(one.n, two.n)
+    rows = np.flatnonzero(np.abs(one.n - two.n) <= most)
+    size = np.minimum(one.bytes[rows], two.bytes[rows])
+    keep = []
+    for own in np.unique(size).tolist():
+        some = rows[size == own]
+        gap = np.bitwise_count(one.words(some, own) ^ two.words(some, own)).sum(axis=1, dtype=np.int64)
+        keep.append(some[gap <= most[some]])
+    return np.sort(np.concatenate(keep)) if keep else rows
 
 
 def class_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -258,15 +303,30 @@ def signature_rows(df: DataFrame, text: str) -> DataFrame:
 
 def group_rows(signed: DataFrame) -> DataFrame:
     """g, a, b: for each signature that several classes have, its least class a and each other b. g numbers
-    the set of its classes, so that signatures with the same classes are one group."""
+    the set of its classes, so that signatures with the same classes are one group; a group of more
+    than HELD members has a number of its own and is given out as it is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        old_sig, old_cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def emit(sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch | None:
+        sig, cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        large: tuple[int, int] | None = None  # signature and least class of a group that was given out in part
+
+        def record(g: list[np.ndarray], a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if g:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (g, a, b)], names=["g", "a", "b"])
+
+        def part_of_large(number: int, least: int, others: np.ndarray) -> Iterator[pa.RecordBatch]:
+            others = others[others != least]
+            g = int(mix(np.array([number], np.int64).view(np.uint64)).view(np.int64)[0])
+            yield from record([np.full(len(others), g)], [np.full(len(others), least)], [others])
+
+        def emit(sig: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if large and len(sig) and sig[0] == large[0]:
+                mine = int(np.searchsorted(sig, large[0], side="right"))
+                yield from part_of_large(*large, cls[:mine])
+                sig, cls = sig[mine:], cls[mine:]
             if not len(sig):
-                return None
+                return
             fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])))
             sig, cls = sig[fresh], cls[fresh]
             first = np.concatenate(([0], np.flatnonzero(sig[1:] != sig[:-1]) + 1))
@@ -283,21 +343,22 @@ def group_rows(signed: DataFrame) -> DataFrame:
                     g.append(np.full(len(members) - 1, number))
                     a.append(np.full(len(members) - 1, members[0]))
                     b.append(members[1:])
-            if not g:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (g, a, b)], names=["g", "a", "b"])
+            yield from record(g, a, b)
 
         for batch in batches:
-            sig = np.concatenate([old_sig, batch.column(0).to_numpy()])
-            cls = np.concatenate([old_cls, batch.column(1).to_numpy()])
-            if not len(sig):
+            if not batch.num_rows:
                 continue
+            sig = np.concatenate([sig, batch.column(0).to_numpy()])
+            cls = np.concatenate([cls, batch.column(1).to_numpy()])
             whole = int(np.searchsorted(sig, sig[-1]))  # the last signature may go on
-            old_sig, old_cls = sig[whole:], cls[whole:]
-            if (out := emit(sig[:whole], cls[:whole])) is not None:
-                yield out
-        if (out := emit(old_sig, old_cls)) is not None:
-            yield out
+            yield from emit(sig[:whole], cls[:whole])
+            sig, cls = sig[whole:].copy(), cls[whole:].copy()
+            if len(sig) > HELD:
+                if not large or large[0] != sig[0]:
+                    large = int(sig[0]), int(cls[0])
+                yield from part_of_large(*large, cls)
+                sig, cls = sig[:0], cls[:0]
+        yield from emit(sig, cls)
 
     dealt = signed.repartition("sig").sortWithinPartitions("sig", "cls")
     return dealt.mapInArrow(run, "g long, a long, b long").distinct()
@@ -310,88 +371,110 @@ def filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                one = Sketches(part.column("na").to_numpy(), part.column("sa").to_pylist())
-                two = Sketches(part.column("nb").to_numpy(), part.column("sb").to_pylist())
-                every = np.arange(part.num_rows)
-                yield part.select(["a", "b"]).take(pa.array(one.may_link(every, two, every)))
+            for at in range(0, batch.num_rows, 4 * BLOCK):
+                part = batch.slice(at, 4 * BLOCK)
+                one, two = (Sketches(part.column(n).to_numpy(), part.column(s)) for n, s in (("na", "sa"), ("nb", "sb")))
+                yield part.select(["a", "b"]).take(pa.array(may_link(one, two)))
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def compare_components(groups: DataFrame) -> DataFrame:
-    """Pairs a, b of a group's members in different components that the bound leaves, each
-    once: by the least of the groups that have both. groups: g, cls, c, n, sketch, all (cls's groups).
+def tiles_of(members: DataFrame) -> DataFrame:
+    """members (g, cls, c) of groups that hold several components, once for each tile of their
+    group: i and j number a tile's two parts of the group, side is that which the member is in. A group of up to TILE
+    members is one tile."""
+    sized = members.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("parts")).filter("lo <> hi").select("g", "parts")
+    dealt = members.join(sized, "g").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return spread.select("g", "cls", "c", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
+
+
+def compare_components(tiles: DataFrame) -> DataFrame:
+    """Pairs a, b (a < b) of a group's members in different components that the bound leaves. tiles: g, i, j, side, cls, c, n, sketch.
 
     Members' sketches are compared in blocks; only what the bound leaves is given out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            g = table.column("g").to_numpy()
-            edges = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
-            for first, last in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                part, number = table.slice(first, last - first), int(g[first])
-                cls, c, n = (part.column(x).to_numpy() for x in ("cls", "c", "n"))
-                if c.min() == c.max():
-                    continue
-                sketches, shared = Sketches(n, part.column("sketch").to_pylist()), [set(x) for x in part.column("all").to_pylist()]
-                a, b = [], []
-                for top in range(0, len(cls) - 1, ROWS):
-                    rows = np.arange(top, min(top + ROWS, len(cls)))
-                    for at in range(top, len(cls), BLOCK):
-                        x = np.arange(at, min(at + BLOCK, len(cls)))
-                        apart = (c[x][None, :] != c[rows][:, None]) & (x[None, :] > rows[:, None])
-                        if not apart.any():
-                            continue
-                        gap = np.abs(sketches.small[x][None, :, :] - sketches.small[rows][:, None, :]).sum(axis=2, dtype=np.int64)
-                        i, j = np.nonzero(apart & (gap <= difference(n[x][None, :], n[rows][:, None])))
-                        i, j = rows[i], x[j]
-                        for k in sketches.may_link(i, sketches, j).tolist() if len(i) else ():
-                            if min(shared[i[k]] & shared[j[k]]) == number:
-                                a.append(cls[i[k]])
-                                b.append(cls[j[k]])
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(a)), pa.array(np.array(b))], names=["a", "b"])
+        def pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            i, j, side, cls, c, n = (part.column(x).to_numpy() for x in ("i", "j", "side", "cls", "c", "n"))
+            if c.min() == c.max():
+                return
+            sketches = Sketches(n, part.column("sketch").combine_chunks())
+            words = sketches.words(np.arange(len(n)), int(sketches.bytes.min()))
+            order = np.argsort(n, kind="stable")
+            cls, c, n, side, words = cls[order], c[order], n[order], side[order], words[order]
+            apart = i[0] != j[0]
+            a, b = [], []
+            for top in range(0, len(cls) - 1, ROWS):
+                rows = np.arange(top, min(top + ROWS, len(cls)))
+                last = int(np.searchsorted(n, n[rows[-1]] * 100 // PERCENT, side="right"))
+                for at in range(top, last, BLOCK):
+                    x = np.arange(at, min(at + BLOCK, last))
+                    wanted = (c[x][None, :] != c[rows][:, None]) & (x[None, :] > rows[:, None])
+                    if apart:
+                        wanted &= side[x][None, :] != side[rows][:, None]
+                    if not wanted.any():
+                        continue
+                    gap = np.bitwise_count(words[x][None, :, :] ^ words[rows][:, None, :]).sum(axis=2, dtype=np.int32)
+                    y, z = np.nonzero(wanted & (gap <= difference(n[x][None, :], n[rows][:, None])))
+                    a.append(cls[rows[y]])
+                    b.append(cls[x[z]])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        def whole(table: pa.Table, last: bool) -> Iterator[pa.Table]:
+            """The tiles of table, but for the last, which may go on."""
+            keys = np.stack([table.column(x).to_numpy() for x in ("g", "i", "j")])
+            edges = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
+            for first, stop in zip(edges[:-2].tolist(), edges[1:-1].tolist()):
+                yield table.slice(first, stop - first)
+            held[:] = table.slice(int(edges[-2])).to_batches()
+            if last:
+                yield table.slice(int(edges[-2]))
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                last = batch.column("g")[-1].as_py()
-                if held[0].column("g")[0].as_py() != last:
-                    table = pa.Table.from_batches(held)
-                    whole = int(np.searchsorted(table.column("g").to_numpy(), last))
-                    yield from pairs(table.slice(0, whole))
-                    held = table.slice(whole).to_batches()
+                if sum(x.num_rows for x in held) > 2 * TILE:
+                    for tile in whole(pa.Table.from_batches(held), False):
+                        yield from pairs(tile)
         if held:
-            yield from pairs(pa.Table.from_batches(held))
+            for tile in whole(pa.Table.from_batches(held), True):
+                yield from pairs(tile)
 
-    dealt = groups.select("g", "cls", "c", "n", "sketch", "all").repartition("g").sortWithinPartitions("g", "cls")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = tiles.select("g", "i", "j", "side", "cls", "c", "n", "sketch").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs a, b that link, by their whole texts. texts: cls, text; a text that isn't its class's is passed over."""
-    one = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
+    """Pairs a, b that link, by their whole texts. texts: cls, text; a text that isn't its class's is passed over.
+
+    The text of a goes once to each task that has pairs of it; a with very many pairs is dealt to several."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts"))
+    firsts = salts.join(texts, F.col("a") == F.col("cls")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+    seconds = pairs.join(texts, F.col("b") == F.col("cls")).join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         last, last_set = None, None
         for batch in batches:
-            keep = []
-            seconds = shingler.sets([t.as_py().encode() for t in batch.column("tb")])
-            for a, b, ta, second in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), seconds):
-                if last != a:
-                    last, last_set = a, shingler.sets([ta.as_py().encode()])[0]
-                    if class_of(last_set) != a:
-                        last = None
-                keep.append(last == a and class_of(second) == b and links(last_set, second))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+            for top in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(top, PAIRS)
+                keep = []
+                for a, b, one in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), shingler.sets([t.as_py().encode() for t in part.column("text")])):
+                    if b is None:
+                        if class_of(one) == a:
+                            last, last_set = a, one
+                        keep.append(False)
+                    else:
+                        keep.append(last == a and class_of(one) == b and links(last_set, one))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    dealt = firsts.unionByName(seconds).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -445,13 +528,10 @@ def jaccard_components(df: DataFrame, key_col: str = "doc_id", text_col: str = "
 
     edges = check(groups.select("a", "b").distinct())
     found = components(edges)
-    members = groups.select("g", F.col("a").alias("cls")).union(groups.select("g", "b")).distinct()
-    named = members.join(found, "cls", "left").select("g", "cls", F.coalesce("c", "cls").alias("c"))
-    mixed = named.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("g")
-    members = cut(named.join(mixed, "g").select("g", "cls", "c"))
-    if members.head(1):
-        lists = members.groupBy("cls").agg(F.collect_list("g").alias("all"))
-        new = check(compare_components(members.join(classes.join(lists, "cls"), "cls")), bounded=True)
+    members = groups.select("g", F.col("a").alias("cls")).distinct().union(groups.select("g", "b"))
+    tiles = cut(tiles_of(members.join(found, "cls", "left").select("g", "cls", F.coalesce("c", "cls").alias("c"))))
+    if tiles.head(1):
+        new = check(compare_components(tiles.join(classes.select("cls", "n", "sketch"), "cls")), bounded=True)
         if new.head(1):
             found = components(edges.union(new))
     labelled = classes.join(found, "cls", "left").select("cls", "rep", F.coalesce("c", "cls").alias("c"))
