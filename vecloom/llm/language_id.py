@@ -1,8 +1,12 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text. A text is parsed against it
-greedily: each phrase is the longest match that the automaton allows from where the last one
-ended. The language that needs the fewest phrases for each character wins.
+For each language a suffix automaton of labelled text, over the bytes of its letters. A text is
+parsed against it greedily: each phrase is the longest match that the automaton allows from
+where the last one ended. The language that needs the fewest phrases for each byte wins.
+
+Texts are parsed in blocks, all blocks in lockstep, each as if a phrase began there. What a block
+before really leaves open is then carried in, until both parses begin a phrase at the same
+place; from there they are one. So a text of any length is parsed whole.
 """
 
 from __future__ import annotations
@@ -14,22 +18,22 @@ from pyspark.sql import functions as F
 
 from .common import with_computed
 
-#: The bounded sample that is learned from, for each language: documents, and characters in all and of each.
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_DOC_CHARS = 64, 24_000, 1_500
-#: Characters of all languages' training text together; with very many languages each gets less.
-TRAIN_ALL = 1_200_000
-#: Classes of characters, the first for all but letters, the last for letters that training text lacks.
-MAX_CLASSES = 96
-#: A text is parsed in blocks of so many characters; a phrase ends with its block.
-BLOCK = 512
+#: The bounded sample that is learned from, for each language: rows, and characters of those of them that are taken, each whole.
+TRAIN_DOCS, TRAIN_CHARS = 64, 32_000
+#: Symbols of a block, and of the texts that are parsed at once (a longer text is parsed alone).
+BLOCK, GROUP = 512, 1_500_000
 UNKNOWN = "und"
+#: The symbol of what stands between letters, and the first of bytes.
+GAP = 32
+#: Places that are looked through at once for one where a state's transitions fit.
+WINDOW = 256
 
 
-def suffix_automaton(symbols: np.ndarray, classes: int) -> np.ndarray:
-    """Transitions [state, class] of the smallest automaton of all substrings; -1: none. State 0 is the start."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of the smallest automaton of all substrings. State 0 is the start."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
-    for c in symbols.tolist():
+    for c in symbols:
         cur = len(moves)
         moves.append({})
         length.append(length[last] + 1)
@@ -52,101 +56,154 @@ def suffix_automaton(symbols: np.ndarray, classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(moves), classes), -1, np.int32)
-    for state, out in enumerate(moves):
+    return moves
+
+
+def packed(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse transitions in one array: that of a state by symbol c stands c beyond the state's place, as
+    state << 32 | target. Also the places, and the target of each symbol from the start: where there
+    is none, the last state, which has no transitions. States with several transitions are placed first
+    where they fit, those with one then fill the gaps."""
+    dead = len(moves)
+    place = np.zeros(dead + 1, np.int64)
+    used = np.zeros(2 * sum(map(len, moves)) + 8 * WINDOW + 8 * width, bool)
+    used[:width] = True
+    low = width
+    several = sorted((s for s in range(dead) if len(moves[s]) > 1), key=lambda s: -len(moves[s]))
+    for s in several:
+        symbols, at = np.fromiter(moves[s], np.int64, len(moves[s])), low
+        while True:
+            if at + 2 * WINDOW + width > len(used):
+                used = np.append(used, np.zeros(len(used), bool))
+            free = np.flatnonzero(~used[np.arange(at, at + WINDOW)[:, None] + symbols].any(axis=1))
+            if len(free):
+                break
+            at += WINDOW
+        place[s] = at + free[0]
+        used[place[s] + symbols] = True
+        if at > low + 4 * WINDOW:
+            low = at - 4 * WINDOW
+    gaps = iter(np.flatnonzero(~used).tolist())
+    for s in range(dead):
+        if len(moves[s]) == 1:
+            place[s] = next(gaps, 0) - next(iter(moves[s]))
+    place[dead] = 0
+    table = np.full(int(place.max()) + width, -1, np.int64)
+    for s, out in enumerate(moves):
         for c, to in out.items():
-            table[state, c] = to
-    return table
+            table[place[s] + c] = s << 32 | to
+    again = np.full(width, dead, np.int64)
+    for c, to in moves[0].items():
+        again[c] = to
+    return table, place, again
 
 
 class Model:
-    """Parsers of all languages as one table.
+    """Parsers of all languages."""
 
-    An entry is (state * classes) << 1 | ended: where no match goes on, the phrase has
-    ended and the character begins the next one.
-    """
+    def __init__(self, langs: list[str], classes: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.langs, self.classes, self.tables = langs, classes, tables
+        self.letter = np.zeros(0x110000, np.uint8)  # 1: a letter, 2: none, 0: not seen yet
 
-    def __init__(self, samples: dict[str, str]):
-        self.langs = sorted(samples)
-        lowered = {k: samples[k].lower() for k in self.langs}
-        letters, counts = np.unique(np.array([ord(c) for t in lowered.values() for c in t if c.isalpha()], np.uint32), return_counts=True)
-        letters = letters[np.argsort(-counts, kind="stable")][: MAX_CLASSES - 2]
-        self.classes = len(letters) + 2
-        self.letters = np.sort(letters)
-        tables, self.roots, base = [], [], 0
-        for lang in self.langs:
-            symbols, _ = self.symbols(lowered[lang])
-            table = suffix_automaton(symbols, self.classes)
-            ended = table < 0
-            again = np.where(table[0] < 0, 0, table[0])  # the next phrase's state after its first character
-            to = np.where(ended, again[None, :], table)
-            tables.append((((to + base) * self.classes) << 1 | ended).astype(np.int32).ravel())
-            self.roots.append(base * self.classes)
-            base += len(table)
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-
-    def symbols(self, lowered: str) -> tuple[np.ndarray, int]:
-        """Classes of a text's characters, runs of non-letters as one, and the number of letters."""
-        codes = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if not hasattr(self, "lookup"):
-            self.lookup = np.zeros(0x110000, np.uint8)
-            self.lookup[self.letters] = np.arange(1, len(self.letters) + 1)
-            self.ascii_letter = np.array([chr(c).isalpha() for c in range(128)])
-        out = self.lookup[codes]
-        rare = (out == 0) & ((codes > 127) | self.ascii_letter[np.minimum(codes, 127)])
-        if rare.any():
-            for code in np.unique(codes[rare]).tolist():
-                if chr(code).isalpha():
-                    out[codes == code] = self.classes - 1
-        gap = out == 0
+    @classmethod
+    def learn(cls, samples: dict[str, str]) -> Model:
+        """Symbols are the bytes of learned texts, numbered; a byte that none of them has is the last symbol, which matches nowhere."""
+        model = cls(sorted(samples), np.zeros(256, np.uint8), [])
+        texts = {lang: model.letters_of(samples[lang])[0] for lang in model.langs}
+        known = sorted(set(b"".join(texts.values())))
+        model.classes[:] = len(known)
+        model.classes[known] = np.arange(len(known))
+        for lang in model.langs:
+            model.tables.append(packed(suffix_automaton(model.classes[np.frombuffer(texts[lang], np.uint8)].tolist()), len(known) + 1))
+        return model
+
+    def arrays(self) -> tuple:
+        """What makes this model: plain data, so that tasks need nothing of this package to read it."""
+        return self.langs, self.classes, self.tables
+
+    def letters_of(self, text: str) -> tuple[bytes, int]:
+        """The letters of a text in lower case as UTF-8, runs of anything else as one GAP, and the number of letters."""
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.letter[codes]
+        for code in np.unique(codes[kind == 0]).tolist():
+            self.letter[code] = 1 if chr(code).isalpha() else 2
+        gap = self.letter[codes] == 2
+        out = np.where(gap, np.uint32(GAP), codes)
         if len(out) > 1:
             keep = ~gap
             keep[1:] |= ~gap[:-1]
             keep[0] = True
             out = out[keep]
-        return out.astype(np.int32), int(len(codes) - gap.sum())
-
-    def phrases(self, blocks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases [language, block] of blocks of symbols, all blocks and languages in lockstep; sizes descend."""
-        counts = np.empty((len(self.langs), len(blocks)), np.int64)
-        columns = np.ascontiguousarray(blocks.T)
-        ascending = sizes[::-1]
-        for k, root in enumerate(self.roots):
-            state = np.full(len(blocks), root, np.int32)
-            total = np.ones(len(blocks), np.int32)
-            for at in range(int(sizes[0]) if len(sizes) else 0):
-                alive = len(blocks) - int(np.searchsorted(ascending, at, side="right"))
-                entry = self.table.take(state[:alive] + columns[at, :alive])
-                total[:alive] += entry & 1
-                state[:alive] = entry >> 1
-            counts[k] = total
+        return out.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), int(len(codes) - gap.sum())
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases [language, text] of texts in symbols, none of them empty."""
+        lengths = np.array([len(t) for t in texts])
+        blocks = -(-lengths // BLOCK)
+        firsts = np.cumsum(blocks) - blocks
+        data, sizes = np.zeros((int(blocks.sum()), BLOCK), np.uint8), np.full(int(blocks.sum()), BLOCK)
+        flat = data.ravel()
+        for t, first in zip(texts, firsts.tolist()):
+            flat[first * BLOCK : first * BLOCK + len(t)] = t
+        sizes[firsts + blocks - 1] = lengths - (blocks - 1) * BLOCK
+        order = np.argsort(-sizes, kind="stable")
+        columns, sizes = np.ascontiguousarray(data[order].T), sizes[order]
+        where = np.empty_like(order)
+        where[order] = np.arange(len(order))
+        follower = np.full(len(order), -1)  # of each block in this order: the next one of its text
+        follows = np.setdiff1d(np.arange(len(order)), firsts)
+        follower[where[follows - 1]] = where[follows]
+        alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), side="right")
+        counts = np.empty((len(self.langs), len(texts)), np.int64)
+        for k, parser in enumerate(self.tables):
+            dead = len(parser[1]) - 1
+            begins = np.zeros((len(alive), len(sizes)), bool)  # [place, block]: a phrase begins there, in the block's own parse
+            state = np.full(len(sizes), dead, np.int64)
+            for at, n in enumerate(alive.tolist()):
+                state[:n], begins[at, :n] = step(parser, state[:n], columns[at, :n])
+            total, ends = begins.sum(axis=0, dtype=np.int64), state.copy()
+            own = total.copy()
+            carried = np.flatnonzero(follower >= 0)
+            while len(carried):  # blocks whose end is new: their followers are parsed from it
+                block = follower[carried]
+                now, more = ends[carried], np.zeros(len(block), np.int64)
+                reached = np.empty(len(block), np.int64)
+                active = np.arange(len(block))
+                for at in range(BLOCK):
+                    now[active], new = step(parser, now[active], columns[at, block[active]])
+                    mine = begins[at, block[active]]
+                    more[active] += new.astype(np.int64) - mine
+                    both, last = new & mine, sizes[block[active]] == at + 1
+                    reached[active] = np.where(both, state[block[active]], now[active])
+                    active = active[~(both | last)]
+                    if not len(active):
+                        break
+                total[block] = own[block] + more
+                changed = ends[block] != reached
+                ends[block] = reached
+                carried = block[changed & (follower[block] >= 0)]
+            counts[k] = np.add.reduceat(total[where], firsts)
         return counts
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
-        """For each text its language, score, and the winner's phrases for each character."""
-        parts, owner, letters = [], [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            symbols, letters[i] = self.symbols(text.lower())
-            if letters[i]:
-                for at in range(0, len(symbols), BLOCK):
-                    parts.append(symbols[at : at + BLOCK])
-                    owner.append(i)
+        """For each text its language, score, and the winner's phrases for each symbol."""
         rates = np.full((len(self.langs), len(texts)), np.inf)
-        if parts and self.langs:
-            sizes, whose = np.array([len(p) for p in parts]), np.array(owner)
-            order = np.argsort(-sizes, kind="stable")
-            totals, chars = np.zeros((len(self.langs), len(texts))), np.zeros(len(texts))
-            np.add.at(chars, whose, sizes)
-            for at in range(0, len(order), 4096):
-                some = order[at : at + 4096]
-                blocks = np.zeros((len(some), BLOCK), np.int32)
-                for row, j in enumerate(some):
-                    blocks[row, : sizes[j]] = parts[j]
-                counts = self.phrases(blocks, sizes[some])
-                for k in range(len(self.langs)):
-                    np.add.at(totals[k], whose[some], counts[k])
-            seen = chars > 0
-            rates[:, seen] = totals[:, seen] / chars[seen]
+        group, owner, size = [], [], 0
+
+        def parse() -> None:
+            if group and self.langs:
+                rates[:, owner] = self.phrases(group) / np.array([len(g) for g in group])
+
+        for i, text in enumerate(texts):
+            raw, letters = self.letters_of(text)
+            if letters:
+                if group and size + len(raw) > GROUP:
+                    parse()
+                    group, owner, size = [], [], 0
+                group.append(self.classes[np.frombuffer(raw, np.uint8)])
+                owner.append(i)
+                size += len(raw)
+        parse()
         out = []
         for i in range(len(texts)):
             if not self.langs or not np.isfinite(rates[0, i]):
@@ -159,44 +216,62 @@ class Model:
         return out
 
 
+def step(parser: tuple[np.ndarray, np.ndarray, np.ndarray], state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states after a symbol, and whether a phrase begins with it."""
+    table, place, again = parser
+    entry = table.take(place.take(state) + symbols)
+    new = (entry >> 32) != state
+    return np.where(new, again.take(symbols), entry & 0xFFFFFFFF), new
+
+
 def sample_languages(df: DataFrame, trained: Column, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> dict[str, str]:
-    """A bounded sample of labelled text for each language: the TRAIN_DOCS rows of least hash of their key, the beginnings of their texts.
+    """A bounded sample of labelled texts for each language, each text whole: of the TRAIN_DOCS rows of least
+    hash those that fit into TRAIN_CHARS characters together, or the shortest where none does.
 
-    Rows without a label or without a letter teach nothing. Spark limits each task's rows a
-    language before they are shuffled.
+    Rows without a label or without a letter teach nothing; repeated rows teach once. Only hashes and lengths are
+    shuffled, of each task at most TRAIN_DOCS a language; the texts are then fetched by their hashes.
     """
-    key = F.xxhash64(F.col(f"`{key_col}`").cast("string"), F.lit("language"))
-    rows = df.filter(trained).select(F.col(f"`{lang_col}`").alias("lang"), F.substring(F.col(f"`{text_col}`"), 1, TRAIN_DOC_CHARS).alias("text"), key.alias("h"))
+    key = F.xxhash64(F.col(f"`{key_col}`").cast("string"), F.col(f"`{text_col}`"), F.lit("language"))
+    rows = df.filter(trained).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), key.alias("h"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    some = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= TRAIN_DOCS)
-    joined: dict[str, str] = {}
-    for row in sorted(some.collect(), key=lambda r: (r.lang, r.n)):
-        joined[row.lang] = joined.get(row.lang, "") + " " + row.text
-    most = min(TRAIN_CHARS, TRAIN_ALL // max(1, len(joined)))
-    return {k: v[:most] for k, v in joined.items()}
+    some = rows.select("lang", "h", F.length("text").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= TRAIN_DOCS)
+    chosen: dict[str, dict[int, int]] = {}
+    shortest: dict[str, tuple[int, int]] = {}
+    for row in sorted(some.collect(), key=lambda r: (r.lang, r.h)):
+        taken = chosen.setdefault(row.lang, {})
+        shortest[row.lang] = min(shortest.get(row.lang, (row.n, row.h)), (row.n, row.h))
+        if row.h not in taken and sum(taken.values()) + row.n <= TRAIN_CHARS:
+            taken[row.h] = row.n
+    wanted = [(lang, h) for lang, taken in chosen.items() for h in taken or [shortest[lang][1]]]
+    if not wanted:
+        return {}
+    names = df.sparkSession.createDataFrame(wanted, "lang string, h long")
+    found = rows.join(F.broadcast(names), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    texts: dict[str, list[str]] = {}
+    for row in sorted(found, key=lambda r: (r.lang, r.h)):
+        texts.setdefault(row.lang, []).append(row.text)
+    return {lang: " ".join(parts) for lang, parts in texts.items()}
 
 
 def identify(df: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
-    """df with lang_pred, score (0 to 1; 1: no other language comes near) and phrase_rate (phrases for each character).
+    """df with lang_pred, score (0 to 1; 1: no other language comes near) and phrase_rate (phrases for each symbol).
 
     Text that is null, empty or without a letter: `und`, score 0, rate 1. Ties go to the
     name first in order. With no samples at all, every text is `und`. Columns of these names are
-    replaced; every row is kept.
+    replaced; every row is kept. Letters of any script count: symbols are bytes, and a byte that no learned text
+    has ends a phrase, as it would in each automaton.
     """
-    model = Model(samples)
-    model.__dict__.pop("lookup", None)  # made anew by each worker
-    held = df.sparkSession.sparkContext.broadcast(model)
+    held = df.sparkSession.sparkContext.broadcast(Model.learn(samples).arrays())
 
     def make():
-        m = held.value
+        m = Model(*held.value)
 
         def kernel(texts):
-            rows = []
-            group, size = [], 0
+            rows, group, size = [], [], 0
             for value in texts:
                 group.append(value.as_py() or "")
                 size += len(group[-1])
-                if size > 1_000_000:
+                if size > GROUP:
                     rows += m.predict(group)
                     group, size = [], 0
             rows += m.predict(group) if group else []
