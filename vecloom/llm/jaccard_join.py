@@ -16,7 +16,6 @@ tiles of bounded size.
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections.abc import Iterator
 
@@ -32,10 +31,12 @@ SHINGLE, PERCENT = 5, 80
 FIRST_BAND, BAND_NUMERATOR, BAND_DENOMINATOR = 3, 8, 5
 #: Characters that a kernel hashes at once, about; a longer text is hashed alone.
 GROUP_BYTES = 1 << 20
-#: Bytes of a sketch: a bit to an element at least, up to the most.
-LEAST_SKETCH, MOST_SKETCH = 8, 2_048
+#: Bytes of a sketch: two bits to an element at least, up to the most.
+LEAST_SKETCH, MOST_SKETCH = 8, 4_096
 #: Members of a group that one tile of the comparison holds of each side; members that are compared at once with others, and others.
 TILE, ROWS, BLOCK = 2_048, 32, 512
+#: Nearest pairs of two components that a tile gives in the rounds before the last; those rounds.
+FEW, ROUNDS = 4, 2
 #: Members of one signature that a task holds; a larger group is handed on in parts.
 HELD = 2_000_000
 #: Pairs of one class that a task verifies; with more they are dealt to several.
@@ -168,12 +169,7 @@ class Scheme:
         self.edges = np.array([(i << 64) // n for i in range(n)], np.uint64)
 
 
-@functools.cache
-def scheme(level: int) -> Scheme:
-    return Scheme(level)
-
-
-def signatures(shingles: np.ndarray) -> np.ndarray:
+def signatures(shingles: np.ndarray, schemes: dict[int, Scheme] | None = None) -> np.ndarray:
     """PartEnum signatures of a sorted set in its band, and in the next where a similar set may lie in that.
 
     Partitions are taken in order. One on which every enumerated subset holds something is full. Of
@@ -183,7 +179,7 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
     neither set comes to its stop, and sets that don't give signatures of empty subsets too. Sets of
     up to three elements link with equal ones only and have one, of all their content.
     """
-    size, out = len(shingles), []
+    size, out, schemes = len(shingles), [], {} if schemes is None else schemes
     band = int(np.searchsorted(BANDS, size))
     for level in (band, band + 1):
         low, high = int(BANDS[level - 1]) if level else 0, int(BANDS[level])
@@ -192,7 +188,9 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
         most = difference(size, min(size * 100 // PERCENT, high))
         if not most:
             continue
-        s = scheme(level)
+        if level not in schemes:
+            schemes[level] = Scheme(level)
+        s = schemes[level]
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(shingles + U(0x2545F491)), dtype=np.uint64)))
         at = np.append(np.searchsorted(shingles, s.edges), size)
         counts = np.diff(at).reshape(s.parts, s.cells)
@@ -205,8 +203,8 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """For each place whether an odd number of elements falls on it: places as many bits as elements, or more, up to a bound."""
-    size = min(max(LEAST_SKETCH, 1 << (len(shingles) - 1).bit_length() >> 3), MOST_SKETCH)
+    """For each place whether an odd number of elements falls on it: places are twice as many bits as elements, or more, up to a bound."""
+    size = min(max(LEAST_SKETCH, 1 << (len(shingles) - 1).bit_length() >> 2), MOST_SKETCH)
     at = (shingles * U(0x9FB21C651E98DF25) >> U(40)).astype(np.int64) & (8 * size - 1)
     return np.packbits(np.bincount(at, minlength=8 * size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -281,7 +279,7 @@ def signature_rows(df: DataFrame, text: str) -> DataFrame:
     """sig and cls: a task gives those of each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(), set()
+        shingler, schemes, seen = Shingler(), {}, set()
         for batch in batches:
             keys, classes, held = [], [], 0
             for s in shingler.sets([(t.as_py() or "").encode() for t in batch.column(0)]):
@@ -289,7 +287,7 @@ def signature_rows(df: DataFrame, text: str) -> DataFrame:
                     if len(seen) > SEEN:
                         seen.clear()
                     seen.add(c)
-                    keys.append(signatures(s).view(np.int64))
+                    keys.append(signatures(s, schemes).view(np.int64))
                     classes.append(np.full(len(keys[-1]), c, np.int64))
                     held += len(keys[-1])
                     if held > 500_000:
@@ -389,10 +387,11 @@ def tiles_of(members: DataFrame) -> DataFrame:
     return spread.select("g", "cls", "c", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
 
 
-def compare_components(tiles: DataFrame) -> DataFrame:
+def compare_components(tiles: DataFrame, few: bool = False) -> DataFrame:
     """Pairs a, b (a < b) of a group's members in different components that the bound leaves. tiles: g, i, j, side, cls, c, n, sketch.
 
-    Members' sketches are compared in blocks; only what the bound leaves is given out."""
+    Members' sketches are compared in blocks; only what the bound leaves is given out, and if few is set, of the
+    pairs of two components in a tile no more than the FEW nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -406,7 +405,7 @@ def compare_components(tiles: DataFrame) -> DataFrame:
             order = np.argsort(n, kind="stable")
             cls, c, n, side, words = cls[order], c[order], n[order], side[order], words[order]
             apart = i[0] != j[0]
-            a, b = [], []
+            a, b, gaps = [], [], []
             for top in range(0, len(cls) - 1, ROWS):
                 rows = np.arange(top, min(top + ROWS, len(cls)))
                 last = int(np.searchsorted(n, n[rows[-1]] * 100 // PERCENT, side="right"))
@@ -419,10 +418,18 @@ def compare_components(tiles: DataFrame) -> DataFrame:
                         continue
                     gap = np.bitwise_count(words[x][None, :, :] ^ words[rows][:, None, :]).sum(axis=2, dtype=np.int32)
                     y, z = np.nonzero(wanted & (gap <= difference(n[x][None, :], n[rows][:, None])))
-                    a.append(cls[rows[y]])
-                    b.append(cls[x[z]])
+                    a.append(rows[y])
+                    b.append(x[z])
+                    gaps.append(gap[y, z])
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
+                if few:
+                    one, two = np.minimum(c[a], c[b]), np.maximum(c[a], c[b])
+                    order = np.lexsort((np.concatenate(gaps), two, one))
+                    same = np.concatenate(([False], (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])))
+                    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+                    a, b = a[order[rank < FEW]], b[order[rank < FEW]]
+                a, b = cls[a], cls[b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         def whole(table: pa.Table, last: bool) -> Iterator[pa.Table]:
@@ -529,11 +536,19 @@ def jaccard_components(df: DataFrame, key_col: str = "doc_id", text_col: str = "
     edges = check(groups.select("a", "b").distinct())
     found = components(edges)
     members = groups.select("g", F.col("a").alias("cls")).distinct().union(groups.select("g", "b"))
-    tiles = cut(tiles_of(members.join(found, "cls", "left").select("g", "cls", F.coalesce("c", "cls").alias("c"))))
-    if tiles.head(1):
-        new = check(compare_components(tiles.join(classes.select("cls", "n", "sketch"), "cls")), bounded=True)
-        if new.head(1):
-            found = components(edges.union(new))
+    turn = ROUNDS
+    while True:  # large components that link by many pairs become one by few of them; the last round, 0, leaves no pair out
+        tiles = cut(tiles_of(members.join(found, "cls", "left").select("g", "cls", F.coalesce("c", "cls").alias("c"))))
+        if not tiles.head(1):
+            break
+        new = check(compare_components(tiles.join(classes.select("cls", "n", "sketch"), "cls"), few=turn > 0), bounded=True)
+        merged = bool(new.head(1))
+        if merged:
+            edges = cut(edges.union(new))
+            found = components(edges)
+        if turn == 0:
+            break
+        turn = turn - 1 if merged else 0
     labelled = classes.join(found, "cls", "left").select("cls", "rep", F.coalesce("c", "cls").alias("c"))
     least = labelled.groupBy("c").agg(F.min("rep").alias("component_id"))
     by_class = labelled.join(least, "c").select("cls", "component_id")
