@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,22 +44,27 @@ def with_computed(df: DataFrame, inputs: list[str], outputs: str, make_kernel: C
 
     make_kernel() runs once a task and returns a function from one Arrow array per
     input to one per output field. Columns of df that clash with an output's name
-    are replaced.
+    are replaced. Only the inputs go to Python, and only what is computed comes back; it is computed
+    once, whatever is filtered later.
     """
     added = T._parse_datatype_string(outputs)
     keep = without(df, added.names)
-    schema = T.StructType([df.schema[c] for c in keep] + list(added))
-    n = len(keep)
+    names, kind = added.names, to_arrow_type(added)
+    one = len(inputs) == 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def computed(batches):
         kernel = None
         for batch in batches:
-            if batch.num_rows:
-                kernel = kernel or make_kernel()
-                columns = [*batch.columns[:n], *kernel(*batch.columns[n:])]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return df.select(*(F.col(f"`{c}`") for c in keep), *(F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs))).mapInArrow(run, schema)
+            columns = (batch,) if one else batch
+            kernel = kernel or make_kernel()
+            yield pa.StructArray.from_arrays(kernel(*columns), names=names) if len(columns[0]) else pa.array([], kind)
+
+    computed.__annotations__ = {"batches": Iterator[pa.Array] if one else Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    out = "__computed"
+    while out in (c.lower() for c in df.columns):
+        out += "_"
+    udf = F.arrow_udf(computed, added).asNondeterministic()
+    return df.withColumn(out, udf(*(F.col(f"`{c}`") for c in inputs))).select(*(F.col(f"`{c}`") for c in keep), *(F.col(out)[c].alias(c) for c in names))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from .common import with_computed
 
 WIDTH, FILTERS, EMBEDDING, CHUNK = 4, 16, 8, 256
-#: The bounded sample that is learned from: documents of each label, and the characters of each that are read.
-TRAIN_DOCS, TRAIN_CHARS = 600, 768
+#: The bounded sample that is learned from: documents of each label, whole.
+TRAIN_DOCS = 600
+#: Bytes of a document that a step of the training looks at: a stretch that is drawn anew each time, from anywhere in the text.
+STRETCH = 768
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 16, 0.01, 1e-4, 7
 #: From this score on a document is predicted to be of label 1.
 THRESHOLD = 0.3
@@ -43,6 +45,12 @@ class Network:
         self.v = np.append(rng.normal(0, 0.3, FILTERS), 0).astype(np.float32)
         self.c = np.zeros(1, np.float32)
 
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> Network:
+        network = cls.__new__(cls)
+        network.__dict__.update(arrays)
+        return network
+
     def responses(self, data: np.ndarray) -> np.ndarray:
         """[window, filter]: a filter's product with an embedded byte depends on the byte alone, so it is looked up."""
         tables = [self.e @ self.w[k] for k in range(WIDTH)]
@@ -86,7 +94,8 @@ class Network:
                 g = {n: np.zeros_like(getattr(self, n)) for n in names}
                 tables = np.zeros((WIDTH, 256 * FILTERS))
                 for i in batch:
-                    data = docs[i]
+                    at = int(rng.integers(0, max(1, len(docs[i]) - STRETCH + 1)))
+                    data = docs[i][at : at + STRETCH]
                     part = self.responses(data)
                     starts = starts_of(len(part))
                     at = np.stack([a + part[a : a + CHUNK - WIDTH + 1].argmax(axis=0) for a in starts])  # [chunk, filter]
@@ -115,7 +124,7 @@ class Network:
 
 
 def train(df: DataFrame, labels: DataFrame, trained: Column, text_col: str = "text", key_col: str = "doc_id", label_col: str = "quality") -> Network:
-    """Learns from at most TRAIN_DOCS rows of each label: those of least hash of their key.
+    """Learns from at most TRAIN_DOCS rows of each label, whole texts: those of least hash of their key.
 
     Weights restore the labels' shares among all labelled rows. Labels other than 0 and 1, and
     keys that are null, teach nothing. With rows of one label only, or none, the network
@@ -131,8 +140,9 @@ def train(df: DataFrame, labels: DataFrame, trained: Column, text_col: str = "te
     order = F.xxhash64(F.col("k").cast("string"), F.lit("quality"))
     some = [rows.filter(F.col("y") == y).orderBy(order, "k").limit(TRAIN_DOCS) for y in (0, 1)]
     sample = F.broadcast(some[0].unionByName(some[1]))  # bounded by TRAIN_DOCS
-    found = df.select(F.col(key_col).alias("k"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, TRAIN_CHARS).alias("t")).join(sample, "k").collect()
-    found.sort(key=lambda r: (r.k, r.y, r.t))
+    texts = df.select(F.col(key_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(sample, "k")
+    found = texts.groupBy("k", "y").agg(F.min("t").alias("t")).collect()  # rows that share a key teach one text
+    found.sort(key=lambda r: (r.k, r.y))
     y = np.array([r.y for r in found], np.float64)
     if len(set(y)) < 2:
         network.v[...] = 0
@@ -148,10 +158,10 @@ def score_quality(df: DataFrame, network: Network, text_col: str = "text", thres
     Null counts as the empty text; that has a score too. Every byte of a text counts, however long it
     is. Columns of these names are replaced; every row is kept.
     """
-    held = df.sparkSession.sparkContext.broadcast(network)
+    held = df.sparkSession.sparkContext.broadcast(dict(network.__dict__))  # plain arrays: tasks need nothing of this package to read them
 
     def make():
-        net = held.value
+        net = Network.of(held.value)
 
         def kernel(texts):
             scores = np.array([net.score(t.as_py()) for t in texts])
