@@ -7,14 +7,16 @@ of a query, pigeonhole: of m substrings one differs in at most r // m bits, so p
 every substring's index at that small radius retrieves them all. What is retrieved and within r
 is ranked by distance in double precision.
 
-Index shards are tasks of bounded size; blocks of queries meet all of them, and each gives its
-nearest, of which the nearest of all are taken.
+Index shards are bounded; a task reads a shard's rows, builds its index once and lets all queries
+stream past it, and each shard gives its nearest, of which the nearest of all are taken.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,10 @@ CODE_BITS, SUB_BITS = 128, 8
 FIT_ROWS, FIT_QUERIES, ROUNDS, SEED = 4_000, 200, 12, 11
 #: Share of the sample's true neighbours that must lie within the radius.
 AIM = 0.97
-#: Vectors in an index shard, and queries in a block, about.
-SHARD_ROWS, BLOCK_ROWS = 16_384, 2_048
+#: Vectors of one dimension that the sample must hold to learn from them; the few of other dimensions are all compared.
+LEAST_FIT = 64
+#: Vectors in an index shard, about.
+SHARD_ROWS = 16_384
 
 
 def bits_of(codes: np.ndarray) -> np.ndarray:
@@ -34,28 +38,35 @@ def bits_of(codes: np.ndarray) -> np.ndarray:
 class Hasher:
     """Iterative quantisation: principal components, then rotations that bring them close to corners of the cube."""
 
-    def __init__(self, sample: np.ndarray):
+    def __init__(self, scale: float, mean: np.ndarray, turns: np.ndarray, radius: int = CODE_BITS):
+        self.scale, self.mean, self.turns, self.radius = scale, mean, turns, radius
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, k: int) -> Hasher:
         rng = np.random.default_rng(SEED)
-        self.scale = float(np.abs(sample).max()) or 1.0
-        x = sample / self.scale
-        self.mean = x.mean(axis=0)
-        d = x.shape[1]
-        _, basis = np.linalg.eigh(np.cov((x - self.mean).T).reshape(d, d))
-        self.maps = []
-        while sum(m.shape[1] for m in self.maps) < CODE_BITS:
+        scale = float(np.abs(sample).max()) or 1.0
+        x = sample / scale
+        mean, d = x.mean(axis=0), x.shape[1]
+        _, basis = np.linalg.eigh(np.cov((x - mean).T).reshape(d, d))
+        turns: list[np.ndarray] = []
+        while sum(t.shape[1] for t in turns) < CODE_BITS:
             r = np.linalg.qr(rng.normal(size=(d, d)))[0]
-            v = (x - self.mean) @ basis
+            v = (x - mean) @ basis
             for _ in range(ROUNDS):
                 u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
                 r = (u @ w).T
-            self.maps.append(basis @ r)
-        self.map = np.hstack(self.maps)[:, :CODE_BITS]
-        del self.maps
-        self.radius = CODE_BITS
+            turns.append(basis @ r)
+        hasher = cls(scale, mean, np.hstack(turns)[:, :CODE_BITS])
+        hasher.learn_radius(sample, k)
+        return hasher
+
+    def arrays(self) -> tuple:
+        """Plain data: tasks need nothing of this package to read it."""
+        return self.scale, self.mean, self.turns, self.radius
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """[row, substring] as unsigned numbers."""
-        signs = (x / self.scale - self.mean) @ self.map >= 0
+        signs = (x / self.scale - self.mean) @ self.turns >= 0
         return np.packbits(signs, axis=1)
 
     def learn_radius(self, sample: np.ndarray, k: int) -> None:
@@ -107,63 +118,88 @@ def valid(col: Column) -> Column:
     return col.isNotNull() & (F.size(col) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(col, lambda v: v != 0)
 
 
+class Shard:
+    """The vectors of a shard, with their index."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, hasher: Hasher | None):
+        self.ids, self.vectors, self.hasher = ids, vectors, hasher
+        self.index = MultiIndex(hasher.codes(vectors)) if hasher else None
+
+    def candidates(self, query: int, code: np.ndarray | None, k: int) -> np.ndarray:
+        if self.index is None:
+            return np.flatnonzero(self.ids != query)
+        radius = self.hasher.radius
+        while True:
+            found = self.index.within(code, radius)
+            found = found[self.ids[found] != query]
+            if len(found) >= k or radius >= CODE_BITS:
+                return found
+            radius = min(CODE_BITS, radius + 8)
+
+    def nearest(self, queries: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each query its k nearest: ids and distances."""
+        codes = self.hasher.codes(vectors) if self.hasher else [None] * len(queries)
+        for query, vector, code in zip(queries.tolist(), vectors, codes):
+            found = self.candidates(query, code, k)
+            difference = self.vectors[found] - vector
+            top = np.abs(difference).max(axis=1, initial=0.0)
+            if top.max(initial=0.0) > 1e150:  # squares would overflow
+                unit = np.where(top > 0, top, 1.0)
+                scores = top * np.sqrt(((difference / unit[:, None]) ** 2).sum(axis=1))
+            else:
+                scores = np.sqrt((difference**2).sum(axis=1))
+            best = np.lexsort((self.ids[found], scores))[:k]
+            yield self.ids[found][best], scores[best]
+
+
 def nearest(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row that queries holds for, its k nearest other rows: query_id, rank (from 1), vec_id, score (Euclidean distance).
 
     Nearest first, ties to the smaller id. Vectors that are null, zero, or hold null or
-    non-finite components, and rows without an id, take no part; nor do vectors of another
-    dimension than the sample's most frequent one. A candidate that is repeated counts each time but
+    non-finite components, and rows without an id, take no part. Distances are between vectors of one dimension: those
+    of another are no candidates. A candidate that is repeated counts each time but
     is never its own neighbour: rows with the query's id are left out. A query that is repeated, id and vector
     alike, is answered once; queries of one id and different vectors have k each, ranked apart. With fewer candidates all
-    are returned; where the codes within the radius are fewer than k, it grows until they aren't.
+    are returned; where a shard's codes within the radius are fewer than k, the radius grows until they aren't.
+    An empty table, or no query, gives an empty result.
     """
     spark = df.sparkSession
-    schema = "query_id long, query long, vec_id long, score double"
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("x"), queries.alias("q")).filter(F.col("id").isNotNull() & valid(F.col("x")))
-    sample = rows.select("x", F.xxhash64("id", F.lit("ann")).alias("h"), "id").orderBy("h", "id").limit(FIT_ROWS).collect()
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = pd.Series([len(r.x) for r in sample]).value_counts()
-    dimension = int(sorted(sizes.items(), key=lambda s: (-s[1], s[0]))[0][0])
-    x = np.array([r.x for r in sample if len(r.x) == dimension])
-    hasher = Hasher(x)
-    hasher.learn_radius(x, k)
-    held = spark.sparkContext.broadcast(hasher)
-
-    rows = rows.filter(F.size("x") == dimension)
-    counts = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
-    shards, blocks = -(-counts.n // SHARD_ROWS), max(1, -(-counts.q // BLOCK_ROWS))
-    spread = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int"))
-    index = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", "id", "x")
-    asked = spread.filter("q").dropDuplicates(["id", "x"]).withColumn("query", F.xxhash64("id", "x")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "block", "id", "query", "x")
-
-    def search(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(index) or not len(asked):
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "query": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        m = held.value
-        vectors, ids = np.stack(index["x"].to_numpy()), index["id"].to_numpy()
-        table = MultiIndex(m.codes(vectors))
-        questions = np.stack(asked["x"].to_numpy())
-        out_q, out_n, out_v, out_s = [], [], [], []
-        for query, number, vector, code in zip(asked["id"].tolist(), asked["query"].tolist(), questions, m.codes(questions)):
-            radius = m.radius
-            while True:
-                found = table.within(code, radius)
-                found = found[ids[found] != query]
-                if len(found) >= k or radius >= CODE_BITS:
-                    break
-                radius = min(CODE_BITS, radius + 8)
-            difference = vectors[found] - vector
-            top = np.abs(difference).max(axis=1, initial=0.0)
-            unit = np.where(top > 0, top, 1.0)
-            scores = top * np.sqrt(((difference / unit[:, None]) ** 2).sum(axis=1)) if top.max(initial=0.0) > 1e150 else np.sqrt((difference**2).sum(axis=1))
-            best = np.lexsort((ids[found], scores))[:k]
-            out_q += [query] * len(best)
-            out_n += [number] * len(best)
-            out_v += ids[found][best].tolist()
-            out_s += scores[best].tolist()
-        return pd.DataFrame({"query_id": pd.Series(out_q, dtype="int64"), "query": pd.Series(out_n, dtype="int64"), "vec_id": pd.Series(out_v, dtype="int64"), "score": pd.Series(out_s, dtype="float64")})
-
-    found = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, schema)
+    sample: dict[int, list] = {}
+    for row in rows.select("x", F.xxhash64("id", F.lit("ann")).alias("h"), "id").orderBy("h", "id").limit(FIT_ROWS).collect():
+        sample.setdefault(len(row.x), []).append(row.x)
+    held = spark.sparkContext.broadcast({d: Hasher.fit(np.array(x), k).arrays() for d, x in sample.items() if len(x) >= LEAST_FIT})
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    sized = rows.withColumn("d", F.size("x"))
+    index = sized.select("d", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).cast("long").alias("query"), F.lit(False).alias("asks"), "id", "x")
+    asked = sized.filter("q").dropDuplicates(["id", "x"])
+    asked = asked.select("d", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.xxhash64("id", "x").alias("query"), F.lit(True).alias("asks"), "id", "x")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers = {d: Hasher(*arrays) for d, arrays in held.value.items()}
+        key, parts, shard = None, [], None
+        for batch in batches:
+            d, number, query, asks, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "shard", "query", "asks", "id"))
+            edges = np.flatnonzero((d[1:] != d[:-1]) | (number[1:] != number[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for first, last in zip([0, *edges.tolist()], [*edges.tolist(), len(d)]):
+                if first == last:
+                    continue
+                if key != (d[first], number[first]):
+                    key, parts, shard = (d[first], number[first]), [], None
+                vectors = batch.column("x").slice(first, last - first).flatten().to_numpy(zero_copy_only=False).reshape(last - first, -1)
+                if not asks[first]:
+                    parts.append((ids[first:last], vectors))
+                    continue
+                if shard is None:
+                    if not parts:
+                        continue
+                    shard, parts = Shard(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), hashers.get(int(d[first]))), []
+                out = list(shard.nearest(ids[first:last], vectors, k))
+                sizes = [len(found) for found, _ in out]
+                columns = [np.repeat(ids[first:last], sizes), np.repeat(query[first:last], sizes), np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "query", "vec_id", "score"])
+
+    dealt = index.unionByName(asked).repartition("d", "shard").sortWithinPartitions("d", "shard", "asks")
+    found = dealt.mapInArrow(search, "query_id long, query long, vec_id long, score double")
     order = Window.partitionBy("query_id", "query").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -101,20 +101,22 @@ def packed(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndar
 class Model:
     """Parsers of all languages."""
 
-    def __init__(self, langs: list[str], classes: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.langs, self.classes, self.tables = langs, classes, tables
+    def __init__(self, samples: dict[str, str]):
+        """Symbols are the bytes of learned texts, numbered; a byte that none of them has is the last symbol, which matches nowhere."""
+        self.langs, self.classes, self.tables = sorted(samples), np.zeros(256, np.uint8), []
         self.letter = np.zeros(0x110000, np.uint8)  # 1: a letter, 2: none, 0: not seen yet
+        texts = {lang: self.letters_of(samples[lang])[0] for lang in self.langs}
+        known = sorted(set(b"".join(texts.values())))
+        self.classes[:] = len(known)
+        self.classes[known] = np.arange(len(known))
+        for lang in self.langs:
+            self.tables.append(packed(suffix_automaton(self.classes[np.frombuffer(texts[lang], np.uint8)].tolist()), len(known) + 1))
 
     @classmethod
-    def learn(cls, samples: dict[str, str]) -> Model:
-        """Symbols are the bytes of learned texts, numbered; a byte that none of them has is the last symbol, which matches nowhere."""
-        model = cls(sorted(samples), np.zeros(256, np.uint8), [])
-        texts = {lang: model.letters_of(samples[lang])[0] for lang in model.langs}
-        known = sorted(set(b"".join(texts.values())))
-        model.classes[:] = len(known)
-        model.classes[known] = np.arange(len(known))
-        for lang in model.langs:
-            model.tables.append(packed(suffix_automaton(model.classes[np.frombuffer(texts[lang], np.uint8)].tolist()), len(known) + 1))
+    def of(cls, langs: list[str], classes: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
+        model = cls.__new__(cls)
+        model.langs, model.classes, model.tables = langs, classes, tables
+        model.letter = np.zeros(0x110000, np.uint8)
         return model
 
     def arrays(self) -> tuple:
@@ -261,10 +263,10 @@ def identify(df: DataFrame, samples: dict[str, str], text_col: str = "text") ->
     replaced; every row is kept. Letters of any script count: symbols are bytes, and a byte that no learned text
     has ends a phrase, as it would in each automaton.
     """
-    held = df.sparkSession.sparkContext.broadcast(Model.learn(samples).arrays())
+    held = df.sparkSession.sparkContext.broadcast(Model(samples).arrays())
 
     def make():
-        m = Model(*held.value)
+        m = Model.of(*held.value)
 
         def kernel(texts):
             rows, group, size = [], [], 0
