@@ -5,7 +5,7 @@ A shard holds documents in ascending key order:
     blocks | block index | Bloom filter | footer
 
 Keys are the identifier as 8 bytes, big-endian with the sign bit flipped, so that byte
-order is number order. A block holds entries, each: shared prefix length with the
+order is number order; a row without one has the empty key, which comes first. A block holds entries, each: shared prefix length with the
 key before (1 byte), rest length (1 byte), value length (u32), rest of the key, value;
 the first entry of a block shares nothing. A value is the ids as little-endian u16, or
 as u32 where the first bit of the value's header byte is set. Blocks are compressed with
@@ -37,18 +37,20 @@ FOOTER, INDEX, ENTRY = "<7Q8s", "<8sQIIQ", "<BBI"
 BLOCK_BYTES = 64 << 10
 #: Bits of the Bloom filter for each entry, and its hashes.
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: Bytes of text of a shard: no more than the first, about, and no fewer than the second to have as many shards as tasks.
+SHARD_BYTES, LEAST_BYTES = 256 << 20, 8 << 20
 #: Chunks that a worker remembers; beyond them it forgets all and starts anew.
 MAX_WORDS = 1_000_000
 #: Characters outside the Latin blocks, or of which Python's lower case may differ from the library's.
 FOREIGN = re.compile("[^\x00-\u012f\u0131-\u017e]")
 
 
-def key_bytes(key: int) -> bytes:
-    return struct.pack(">Q", (key + (1 << 63)) & (2**64 - 1))
+def key_bytes(key: int | None) -> bytes:
+    return b"" if key is None else struct.pack(">Q", (key + (1 << 63)) & (2**64 - 1))
 
 
-def key_number(key: bytes) -> int:
-    return struct.unpack(">Q", key)[0] - (1 << 63)
+def key_number(key: bytes) -> int | None:
+    return struct.unpack(">Q", key)[0] - (1 << 63) if key else None
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -77,17 +79,19 @@ class Writer:
     def __init__(self, out):
         self.out, self.offset, self.index, self.keys = out, 0, [], []
         self.block, self.size, self.entries, self.last, self.first = [], 0, 0, b"", b""
-        self.ids = self.before = 0
+        self.ids = self.before = self.count = 0
 
-    def add(self, key: int, ids: np.ndarray) -> None:
+    def add(self, key: int | None, ids: np.ndarray) -> None:
         raw, value = key_bytes(key), pack_ids(ids)
         if not self.block:
             self.first, self.last = raw, b""
         shared = next((i for i, (a, b) in enumerate(zip(raw, self.last)) if a != b), min(len(raw), len(self.last)))
-        self.block.append(struct.pack(ENTRY, shared, 8 - shared, len(value)) + raw[shared:] + value)
+        self.block.append(struct.pack(ENTRY, shared, len(raw) - shared, len(value)) + raw[shared:] + value)
         self.size += len(self.block[-1])
         self.entries, self.ids, self.last = self.entries + 1, self.ids + len(ids), raw
-        self.keys.append(key)
+        if key is not None:
+            self.keys.append(key)
+        self.count += 1
         if self.size >= BLOCK_BYTES:
             self.flush()
 
@@ -113,7 +117,7 @@ class Writer:
             bloom[bloom_bits(keys, bits).ravel().astype(np.int64)] = 1
         bloom_at = self.offset
         self.put(np.packbits(bloom).tobytes())
-        self.put(struct.pack(FOOTER, len(keys), self.ids, at, len(self.index), bloom_at, bits, BLOOM_HASHES, MAGIC))
+        self.put(struct.pack(FOOTER, self.count, self.ids, at, len(self.index), bloom_at, bits, BLOOM_HASHES, MAGIC))
 
 
 class Reader:
@@ -132,7 +136,7 @@ class Reader:
         self.source.seek(offset)
         return self.source.read(size)
 
-    def block(self, row: tuple) -> Iterator[tuple[int, np.ndarray]]:
+    def block(self, row: tuple) -> Iterator[tuple[int | None, np.ndarray]]:
         data, at, key = zlib.decompress(self.part(row[1], row[2])), 0, b""
         while at < len(data):
             shared, rest, size = struct.unpack_from(ENTRY, data, at)
@@ -142,7 +146,7 @@ class Reader:
             yield key_number(key), unpack_ids(data[at : at + size])
             at += size
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for row in self.index:
             yield from self.block(row)
 
@@ -150,11 +154,11 @@ class Reader:
         at = bloom_bits(np.array([key], np.int64).astype(np.uint64), self.bits).ravel().astype(np.int64)
         return bool(np.all(self.bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1))
 
-    def get(self, key: int) -> list[np.ndarray]:
+    def get(self, key: int | None) -> list[np.ndarray]:
         """The ids of each document of this key."""
-        if not self.index or not self.may_hold(key):
+        if not self.index or (key is not None and not self.may_hold(key)):
             return []
-        raw = key_bytes(key)
+        raw = key_bytes(key).ljust(8, b"\0")  # as the index has it
         low, high = 0, len(self.index)  # the last block that begins before the key; the key may begin there or later
         while low < high:
             mid = (low + high) // 2
@@ -185,8 +189,9 @@ class Words(dict):
     """Ids of chunks between spaces or newlines as little-endian u32 bytes.
 
     Normalisation and pre-tokenisation drop white space and look at nothing across it, so
-    a text's ids are those of its chunks in order. A word and the commas or full stops
-    after it are pre-tokens of their own, so these are cut off, and Latin text is put in
+    a text's ids are those of its chunks in order. A word that ends in a Latin letter and the commas or full stops
+    after it are pre-tokens of their own, so these are cut off (normalisation leaves a mark at the end of
+    some other words, which would be joined with them), and Latin text is put in
     lower case first; both make fewer distinct chunks. Only special strings are looked
     for in whole texts; such texts go to the library whole.
     """
@@ -217,7 +222,7 @@ class Words(dict):
     def learn(self) -> None:
         """Encodes what was missing. Words of lower-case Latin letters, composed as they are, are
         their own normal form and one pre-token: they go straight to the library's model."""
-        cores = {c: core for c in set(self.pending) if (core := c.rstrip(".,")) and core != c and core[-1].isalpha()}
+        cores = {c: core for c in set(self.pending) if (core := c.rstrip(".,")) and core != c and core[-1].isalpha() and not FOREIGN.search(core[-1])}
         new = set(self.pending) - cores.keys() | set(cores.values()) | {c[len(core) :] for c, core in cores.items()}
         new -= self.keys()
         self.pending = []
@@ -259,16 +264,18 @@ def write_shards(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, k
 
     Returns a row for each shard: shard (its number in key order), path, entries, ids. A
     null text counts as empty: its ids are the end id alone. Equal keys stay separate
-    entries, by order of text; rows without a key are written first, under the least number.
-    An empty table gives no shard. folder is a URI that all executors reach. A task
+    entries, by order of text; rows without a key are written first, under the empty key, and read back without one.
+    How many shards there are follows from the size of the texts. An empty table gives no shard. folder is a URI that all executors reach. A task
     writes under a name of its own and renames it when whole, so that tries that were lost leave no half shard.
     """
     spark = df.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
         held = spark.sparkContext.broadcast(file.read())
-    count = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.coalesce(F.col(f"`{key_col}`").cast("long"), F.lit(-(2**63))).alias("k"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
-    dealt = rows.repartitionByRange(count, "k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"), "t")
+    if not shards:
+        size = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+        shards = max(1, -(-size // SHARD_BYTES), min(-(-size // LEAST_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = df.select(F.col(f"`{key_col}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    dealt = rows.repartitionByRange(shards, "k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -291,7 +298,7 @@ def write_shards(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, k
             writer.out.close()
             name = f"{number:08d}-{path.rpartition('-')[2]}.sst"
             fs.move(path, f"{root}/{name}")
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "path": [f"{folder}/{name}"], "entries": pa.array([len(writer.keys)], pa.int64()), "ids": pa.array([writer.ids], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "path": [f"{folder}/{name}"], "entries": pa.array([writer.count], pa.int64()), "ids": pa.array([writer.ids], pa.int64())})
 
     return dealt.mapInArrow(run, "shard int, path string, entries long, ids long")
 
