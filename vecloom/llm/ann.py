@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 CODE_BITS, SUB_BITS = 128, 8
 #: The bounded sample that the rotations and the radius are learned from.
 FIT_ROWS, FIT_QUERIES, ROUNDS, SEED = 4_000, 200, 12, 11
@@ -200,6 +202,6 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "query", "vec_id", "score"])
 
     dealt = index.unionByName(asked).repartition("d", "shard").sortWithinPartitions("d", "shard", "asks")
-    found = dealt.mapInArrow(search, "query_id long, query long, vec_id long, score double")
+    found = dealt.mapInArrow(tidy(search), "query_id long, query long, vec_id long, score double")
     order = Window.partitionBy("query_id", "query").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, shared_folder, with_computed, worker_store
+from .common import let, shared_folder, tidy, with_computed, worker_store
 
 #: Chunks, and words in them, that a worker remembers; beyond them it forgets all and starts anew.
 MAX_WORDS = 800_000
@@ -98,7 +98,7 @@ def count_words(df: DataFrame, pattern: str, text_col: str) -> DataFrame:
                     chunks = ChunkCounts()
         yield chunks.words(find)
 
-    return df.select(F.col(f"`{text_col}`")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return df.select(F.col(f"`{text_col}`")).mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def fold_vocabulary(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str) -> dict[str, bytes]:
@@ -280,4 +280,4 @@ def _encoded(df: DataFrame, ranks_path: str, pattern: str, text_col: str, digest
 
         return kernel
 
-    return with_computed(df, [text_col], "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>, decoded binary", make)
+    return with_computed(df, [text_col], "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>, decoded binary", make, "byte_bpe")

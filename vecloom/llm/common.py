@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import types
@@ -17,6 +19,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of a batch that a kernel takes at once.
+STEP = 1_024
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)
@@ -34,18 +40,44 @@ def without(df: DataFrame, names: Iterable[str]) -> list[str]:
 
 
 def worker_store(name: str) -> dict:
-    """A dict that lives as long as the Python worker, shared by its tasks."""
+    """A dict that the tasks of one operator in a Python worker share, until a task of another operator comes there."""
     module = sys.modules.setdefault("_vecloom_worker", types.ModuleType("_vecloom_worker"))
-    return module.__dict__.setdefault(name, {})
+    stores = module.__dict__.setdefault("stores", {})
+    return stores.setdefault(name, {})
+
+
+def settle(name: str = "") -> None:
+    """Drops what tasks of other operators than this one left in the worker, and gives memory that is free back to the system."""
+    module = sys.modules.get("_vecloom_worker")
+    stores = module.__dict__.get("stores", {}) if module else {}
+    for other in [n for n in stores if n != name]:
+        stores.pop(other).clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable, name: str = "") -> Callable:
+    """run, a function of batches, in a worker that is settled before and after."""
+
+    def tidied(batches):
+        settle(name)
+        try:
+            yield from run(batches)
+        finally:
+            settle(name)
+
+    tidied.__annotations__ = dict(run.__annotations__)
+    return tidied
 
 
-def with_computed(df: DataFrame, inputs: list[str], outputs: str, make_kernel: Callable[[], Callable]) -> DataFrame:
+def with_computed(df: DataFrame, inputs: list[str], outputs: str, make_kernel: Callable[[], Callable], name: str = "") -> DataFrame:
     """df with added columns that an Arrow kernel computes from the inputs.
 
     make_kernel() runs once a task and returns a function from one Arrow array per
     input to one per output field. Columns of df that clash with an output's name
     are replaced. Only the inputs go to Python, and only what is computed comes back; it is computed
-    once, whatever is filtered later.
+    once, whatever is filtered later. Kernels work on STEP rows at a time. name: of the worker's store that the kernel uses.
     """
     added = T._parse_datatype_string(outputs)
     keep = without(df, added.names)
@@ -57,13 +89,14 @@ def with_computed(df: DataFrame, inputs: list[str], outputs: str, make_kernel: C
         for batch in batches:
             columns = (batch,) if one else batch
             kernel = kernel or make_kernel()
-            yield pa.StructArray.from_arrays(kernel(*columns), names=names) if len(columns[0]) else pa.array([], kind)
+            parts = [pa.StructArray.from_arrays(kernel(*(c.slice(at, STEP) for c in columns)), names=names) for at in range(0, len(columns[0]), STEP)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     computed.__annotations__ = {"batches": Iterator[pa.Array] if one else Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     out = "__computed"
     while out in (c.lower() for c in df.columns):
         out += "_"
-    udf = F.arrow_udf(computed, added).asNondeterministic()
+    udf = F.arrow_udf(tidy(computed, name), added).asNondeterministic()
     return df.withColumn(out, udf(*(F.col(f"`{c}`") for c in inputs))).select(*(F.col(f"`{c}`") for c in keep), *(F.col(out)[c].alias(c) for c in names))
 
 

@@ -24,17 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_computed
+from .common import cut, tidy, with_computed
 
 SHINGLE, PERCENT = 5, 80
 #: Largest size of the first band, and what a band's is of that of the one before.
 FIRST_BAND, BAND_NUMERATOR, BAND_DENOMINATOR = 3, 8, 5
+#: Rows of a batch that a kernel takes at once.
+STEP = 512
 #: Characters that a kernel hashes at once, about; a longer text is hashed alone.
 GROUP_BYTES = 1 << 20
 #: Bytes of a sketch: two bits to an element at least, up to the most.
 LEAST_SKETCH, MOST_SKETCH = 8, 4_096
 #: Members of a group that one tile of the comparison holds of each side; members that are compared at once with others, and others.
 TILE, ROWS, BLOCK = 2_048, 32, 512
+#: Words of sketches that are compared at once, about.
+WORDS = 1 << 19
 #: Nearest pairs of two components that a tile gives in the rounds before the last; those rounds.
 FEW, ROUNDS = 4, 2
 #: Members of one signature that a task holds; a larger group is handed on in parts.
@@ -55,6 +59,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def in_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            yield batch.slice(at, STEP)
+
+
 class Shingler:
     """Sorted distinct shingle hashes of texts, words hashed by polynomials of their bytes."""
 
@@ -245,7 +255,7 @@ def class_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
+        for batch in in_steps(batches):
             sets = shingler.sets([(t.as_py() or "").encode() for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
@@ -253,7 +263,7 @@ def class_rows(df: DataFrame, key: str, text: str) -> DataFrame:
             )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"key {kind}, n long, cls long, sketch binary")
+    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), f"key {kind}, n long, cls long, sketch binary")
 
 
 def class_texts(df: DataFrame, text: str) -> DataFrame:
@@ -261,7 +271,7 @@ def class_texts(df: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(), set()
-        for batch in batches:
+        for batch in in_steps(batches):
             classes, places = [], []
             for i, s in enumerate(shingler.sets([(t.as_py() or "").encode() for t in batch.column(0)])):
                 if len(s) and (c := class_of(s)) not in seen:
@@ -272,7 +282,7 @@ def class_texts(df: DataFrame, text: str) -> DataFrame:
                     places.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), batch.column(0).take(pa.array(places, pa.int64()))], names=["cls", "text"])
 
-    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "cls long, text string")
+    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), "cls long, text string")
 
 
 def signature_rows(df: DataFrame, text: str) -> DataFrame:
@@ -280,7 +290,7 @@ def signature_rows(df: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, schemes, seen = Shingler(), {}, set()
-        for batch in batches:
+        for batch in in_steps(batches):
             keys, classes, held = [], [], 0
             for s in shingler.sets([(t.as_py() or "").encode() for t in batch.column(0)]):
                 if len(s) and (c := class_of(s)) not in seen:
@@ -296,7 +306,7 @@ def signature_rows(df: DataFrame, text: str) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(classes))], names=["sig", "cls"])
 
-    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "sig long, cls long")
+    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), "sig long, cls long")
 
 
 def group_rows(signed: DataFrame) -> DataFrame:
@@ -359,7 +369,7 @@ def group_rows(signed: DataFrame) -> DataFrame:
         yield from emit(sig, cls)
 
     dealt = signed.repartition("sig").sortWithinPartitions("sig", "cls")
-    return dealt.mapInArrow(run, "g long, a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "g long, a long, b long").distinct()
 
 
 def filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -374,7 +384,7 @@ def filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 one, two = (Sketches(part.column(n).to_numpy(), part.column(s)) for n, s in (("na", "sa"), ("nb", "sb")))
                 yield part.select(["a", "b"]).take(pa.array(may_link(one, two)))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def tiles_of(members: DataFrame) -> DataFrame:
@@ -404,13 +414,13 @@ def compare_components(tiles: DataFrame, few: bool = False) -> DataFrame:
             words = sketches.words(np.arange(len(n)), int(sketches.bytes.min()))
             order = np.argsort(n, kind="stable")
             cls, c, n, side, words = cls[order], c[order], n[order], side[order], words[order]
-            apart = i[0] != j[0]
+            apart, block = i[0] != j[0], max(16, min(BLOCK, WORDS // (ROWS * words.shape[1])))
             a, b, gaps = [], [], []
             for top in range(0, len(cls) - 1, ROWS):
                 rows = np.arange(top, min(top + ROWS, len(cls)))
                 last = int(np.searchsorted(n, n[rows[-1]] * 100 // PERCENT, side="right"))
-                for at in range(top, last, BLOCK):
-                    x = np.arange(at, min(at + BLOCK, last))
+                for at in range(top, last, block):
+                    x = np.arange(at, min(at + block, last))
                     wanted = (c[x][None, :] != c[rows][:, None]) & (x[None, :] > rows[:, None])
                     if apart:
                         wanted &= side[x][None, :] != side[rows][:, None]
@@ -453,7 +463,7 @@ def compare_components(tiles: DataFrame, few: bool = False) -> DataFrame:
                 yield from pairs(tile)
 
     dealt = tiles.select("g", "i", "j", "side", "cls", "c", "n", "sketch").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -481,7 +491,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     dealt = firsts.unionByName(seconds).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

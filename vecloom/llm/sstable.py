@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_store
+from .common import tidy, worker_store
 
 MAGIC = b"VLSST\x00\x00\x01"
 FOOTER, INDEX, ENTRY = "<7Q8s", "<8sQIIQ", "<BBI"
@@ -300,7 +300,7 @@ def write_shards(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, k
             fs.move(path, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "path": [f"{folder}/{name}"], "entries": pa.array([writer.count], pa.int64()), "ids": pa.array([writer.ids], pa.int64())})
 
-    return dealt.mapInArrow(run, "shard int, path string, entries long, ids long")
+    return dealt.mapInArrow(tidy(run, "sstable"), "shard int, path string, entries long, ids long")
 
 
 def scan_shards(shards: DataFrame) -> DataFrame:
@@ -331,4 +331,4 @@ def scan_shards(shards: DataFrame) -> DataFrame:
         columns = list(zip(*out)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    return spread.mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidy(run), "key long, start long, n_tokens long, ids_crc32 long")

@@ -178,4 +178,4 @@ def count_tokens(df: DataFrame, model_path: str, text_col: str = "text", limit:
 
         return kernel
 
-    return with_computed(df, [text_col], "n_bytes long, n_tokens long, over_limit boolean", make)
+    return with_computed(df, [text_col], "n_bytes long, n_tokens long, over_limit boolean", make, "token_count")
