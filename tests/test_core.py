@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "events", "embeddings"):
+    for t in ("orders", "lineitem", "events", "embeddings", "customer", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = Q.queries()[name](spark, SF).toPandas(), con.sql(Q.oracle_sql()[name]).df()
     cols = sorted(want.columns)

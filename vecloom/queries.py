@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import numerics as N
 from vecloom.functions import vectors as V
+from vecloom.functions import fills as L
 from vecloom.operators import clustering as C
 from vecloom.operators import exclusion as E
 from vecloom.operators import products as M
+from vecloom.plans import results as P
 from vecloom.plans import runs as R
 from vecloom.sources import vectors as S
 
@@ -158,7 +160,7 @@ def centroid_update(spark, d):
     return C.update(C.assign(p, c), c).select("cid", F.posexplode("c").alias("pos", "v")).select("cid", "pos", (r("v") + F.lit(0.0)).alias("v"))
 
 
-@query(f"WITH {PTS}, {CEN}, {PAIR}, {NEAR}, used AS (SELECT cid FROM near GROUP BY cid) SELECT cid, 0.0::DOUBLE AS moved FROM (SELECT unnest([100, 101]) AS cid)")
+@query(f"WITH {PTS}, {CEN}, {PAIR}, {NEAR}, far AS (SELECT unnest([100, 101]) AS cid, unnest([50.0, -50.0]) AS h), dist AS (SELECT id, cid, {dot("c", "c")} - 2 * {dot("x", "c")} AS s FROM pts, cen UNION ALL SELECT id, cid, 64 * h * h - 2 * h * {total("x")} FROM pts, far), won AS (SELECT id, cid, x FROM dist JOIN pts USING (id) QUALIFY row_number() OVER (PARTITION BY id ORDER BY s, cid) = 1) SELECT far.cid, coalesce(sum((m - h) ** 2), 0.0)::DOUBLE AS moved FROM far LEFT JOIN (SELECT cid, n, avg(x[n]) AS m FROM won, range(1, 65) t(n) GROUP BY cid, n) USING (cid) GROUP BY far.cid")
 def empty_cluster_update(spark, d):
     p, c = both(spark, d)
     far = spark.createDataFrame([(100, [50.0] * D), (101, [-50.0] * D)], "cid int, c array<double>")
@@ -298,42 +300,42 @@ def word_class(spark, d):
 
 
 def sides(spark, d):
-    rows = points(spark, d)
-    return M.entries(rows.filter("id < 16").withColumnRenamed("id", "i")), M.entries(rows.filter("id >= 16 AND id < 32").select((F.col("id") - 16).alias("i"), "x"))
+    """Every embedding as rows (i, x), and the centroids as rows (j, y)."""
+    p, c = both(spark, d)
+    return p.select(F.col("id").alias("i"), "x"), c.select(F.col("cid").alias("j"), F.col("c").alias("y"))
 
 
-AB = f"{PTS}, a AS (SELECT id AS i, n AS l, x[n] AS v FROM pts, range(1, 65) t(n) WHERE id < 16), b AS (SELECT id - 16 AS j, n AS l, x[n] AS w FROM pts, range(1, 65) t(n) WHERE id >= 16 AND id < 32)"
+def entry_sides(spark, d):
+    a, b = sides(spark, d)
+    return M.entries(a), M.entries(b.select(F.col("j").alias("i"), F.col("y").alias("x")))
 
 
-def whole_sides(spark, d):
-    """Every embedding, and the centroids."""
-    p, c = both(spark, d)
-    return M.entries(p.withColumnRenamed("id", "i")), M.entries(c.select(F.col("cid").alias("i"), F.col("c").alias("x")))
+AB = f"{PTS}, {CEN}, a AS (SELECT id AS i, n AS l, x[n] AS v FROM pts, range(1, 65) t(n)), b AS (SELECT cid AS j, n AS l, c[n] AS w FROM cen, range(1, 65) t(n))"
+PRODUCT = "SELECT i, j, sum(v * w) AS v FROM a JOIN b USING (l) GROUP BY i, j"
 
 
-AB_ALL = f"{PTS}, {CEN}, a AS (SELECT id AS i, n AS l, x[n] AS v FROM pts, range(1, 65) t(n)), b AS (SELECT cid AS j, n AS l, c[n] AS w FROM cen, range(1, 65) t(n))"
+def shown(rows):
+    return rows.select(*(c for c in rows.columns if c != "v"), (r("v") + F.lit(0.0)).alias("v"))
 
 
-def product_query(sql: str) -> Callable:
-    """Two queries of a function of two operands in entries: one of its name over the 16 by 16 rows that its SQL has,
-    and one with _all added over all embeddings and the centroids."""
+@query(f"WITH {AB} SELECT i, j, round(v, 6) + 0.0 AS v FROM ({PRODUCT})")
+def gemm_coo(spark, d):
+    a, b = entry_sides(spark, d)
+    return shown(M.product(a, F.broadcast(b)))
 
-    def register(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable:
-        for name, operands, own in ((f.__name__, sides, sql), (f"{f.__name__}_all", whole_sides, sql.replace(AB, AB_ALL))):
 
-            def run(spark, d, operands=operands):
-                return f(*operands(spark, d))
+@query(f"WITH {AB} SELECT i, j, round(2 * v + 0.5 * (i + j), 6) + 0.0 AS v FROM ({PRODUCT})")
+def gemm_alpha_beta(spark, d):
+    a, b = sides(spark, d)
+    c = a.select("i", F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("j")).select("i", "j", (F.col("i") + F.col("j")).cast("double").alias("v"))
+    return shown(M.gemm(a, b, 2.0, 0.5, c))
 
-            run.__name__ = name
-            query(own)(run)
-        return f
 
-    return register
-
-
-@product_query(f"WITH {AB} SELECT i, j, round(sum(v * w), 6) + 0.0 AS v FROM a JOIN b USING (l) GROUP BY i, j")
-def gemm_coo(a, b):
-    return M.product(a, F.broadcast(b)).select("i", "j", (r("v") + F.lit(0.0)).alias("v"))
+@query(f"WITH {PTS}, e AS (SELECT id, n - 1 AS l, x[n] AS v FROM pts, range(1, 65) t(n)) SELECT a.l AS i, b.l AS j, round(sum(a.v * b.v), 4) + 0.0 AS v FROM e a JOIN e b USING (id) GROUP BY ALL")
+def gemm_transposed(spark, d):
+    a, _ = sides(spark, d)
+    out = M.gemm_of_columns(a, a.select("i", F.col("x").alias("y")))
+    return out.select("i", "j", (r("v", 4) + F.lit(0.0)).alias("v"))
 
 
 def _planes_sql(f, words: int, scale: str = "1") -> str:
@@ -351,28 +353,74 @@ def _prefix_sql(counts: list[int], unscale: str = "1") -> str:
     return f"SELECT i, j, terms::INTEGER AS terms, round(sum(v) * {unscale}, 6) + 0.0 AS v FROM prod, (SELECT unnest({counts}) AS terms) WHERE pos < terms GROUP BY i, j, terms"
 
 
-@product_query(f"WITH {AB}, {_planes_sql(bf16_sql, 3)} {_prefix_sql([1, 3, 6, 9])}")
-def gemm_bf16_prefix(a, b):
-    products = M.term_products(M.planes(a, 3, N.bf16), F.broadcast(M.planes(b, 3, N.bf16)), 3)
-    return M.prefixes(products, [1, 3, 6, 9]).select("i", "j", "terms", (r("v") + F.lit(0.0)).alias("v"))
+_BF16 = f"WITH {AB}, {_planes_sql(bf16_sql, 3)}"
+
+
+def bf16_sides(spark, d):
+    a, b = sides(spark, d)
+    return M.worded(a, "x", 3, N.bf16), M.worded(b, "y", 3, N.bf16)
+
+
+@query(f"{_BF16} {_prefix_sql([1, 3, 6, 9])}")
+def gemm_bf16_prefix(spark, d):
+    return shown(M.prefix_rows(*bf16_sides(spark, d), 3, [1, 3, 6, 9]))
+
+
+@query(f"{_BF16} SELECT i, j, pos::INTEGER AS pos, bin::INTEGER AS bin, round(v, 6) + 0.0 AS v FROM prod")
+def gemm_bf16_terms(spark, d):
+    """The same terms as joins of entries."""
+    a, b = entry_sides(spark, d)
+    return shown(M.term_products(M.planes(a, 3, N.bf16), F.broadcast(M.planes(b, 3, N.bf16)), 3))
+
+
+@query(f"WITH {AB}, {_planes_sql(fp16_sql, 2, '1024.0')} {_prefix_sql([1, 3], '(1 / 1048576.0)')}")
+def gemm_multiword_prefix(spark, d):
+    a, b = sides(spark, d)
+    return shown(M.prefix_rows(M.worded(a, "x", 2, N.fp16, 1024.0), M.worded(b, "y", 2, N.fp16, 1024.0), 2, [1, 3], 1 / 1048576.0))
 
 
-@product_query(f"WITH {AB}, {_planes_sql(fp16_sql, 2, '1024.0')} {_prefix_sql([1, 3], '(1 / 1048576.0)')}")
-def gemm_multiword_prefix(a, b):
-    products = M.term_products(M.planes(a, 2, N.fp16, 1024.0), F.broadcast(M.planes(b, 2, N.fp16, 1024.0)), 2)
-    return M.prefixes(products, [1, 3], 1 / 1048576.0).select("i", "j", "terms", (r("v") + F.lit(0.0)).alias("v"))
+@query(f"WITH {AB}, sa AS (SELECT pow(2.0, floor(log2(4096.0 / max(abs(v))))) AS s FROM a), sb AS (SELECT pow(2.0, floor(log2(4096.0 / max(abs(w))))) AS s FROM b), {_planes_sql(fp16_sql, 2, '(SELECT s FROM sx)').replace('(SELECT s FROM sx) AS r0 FROM a', '(SELECT s FROM sa) AS r0 FROM a').replace('(SELECT s FROM sx) AS r0 FROM b', '(SELECT s FROM sb) AS r0 FROM b')} SELECT i, j, round(1.5 * sum(v) / ((SELECT s FROM sa) * (SELECT s FROM sb)), 6) + 0.0 AS v FROM prod WHERE pos < 3 GROUP BY i, j")
+def gemm_multiword_autoscaled(spark, d):
+    a, b = sides(spark, d)
+    scales = tuple(rows.agg(F.max(V.max_abs(F.col(c))).alias("m")).select(N.autoscale(F.col("m"))).first()[0] for rows, c in ((a, "x"), (b, "y")))
+    return shown(M.split_gemm(a, b, 2, N.fp16, 0, 3, alpha=1.5, scales=scales))
 
 
-@product_query(f"WITH {AB}, {_planes_sql(bf16_sql, 3)} SELECT i, j, bin::INTEGER AS bin, round(sum(v), 6) + 0.0 AS v FROM prod GROUP BY i, j, bin")
-def gemm_concat_bins(a, b):
-    products = M.term_products(M.planes(a, 3, N.bf16), F.broadcast(M.planes(b, 3, N.bf16)), 3)
-    return products.groupBy("i", "j", "bin").agg((r(F.sum("v")) + F.lit(0.0)).alias("v"))
+@query(f"{_BF16} SELECT i, j, round(sum(v), 6) + 0.0 AS v FROM prod WHERE pos < 6 GROUP BY i, j")
+def gemm_range_refined(spark, d):
+    """Terms 0 to 2, then 2 to 6 on top of their result."""
+    a, b = sides(spark, d)
+    first = M.split_gemm(a, b, 3, N.bf16, 0, 2)
+    return shown(M.split_gemm(a, b, 3, N.bf16, 2, 6, beta=1.0, c=first))
 
 
-@product_query(f"WITH {AB}, {_planes_sql(bf16_sql, 3)}, full_ AS (SELECT i, j, sum(v * w) AS w FROM a JOIN b USING (l) GROUP BY i, j), pre AS (SELECT i, j, terms, sum(v) AS v FROM prod, (SELECT unnest([1, 3]) AS terms) WHERE pos < terms GROUP BY ALL) SELECT terms::INTEGER AS terms, round(sqrt(sum((v - w) ** 2) / sum(w * w)), 8) AS rel_frob, round(max(abs(v - w)) / max(abs(w)), 8) AS rel_max FROM pre JOIN full_ USING (i, j) GROUP BY terms")
-def error_norms(a, b):
-    products = M.term_products(M.planes(a, 3, N.bf16), F.broadcast(M.planes(b, 3, N.bf16)), 3)
-    return M.error_norms(M.prefixes(products, [1, 3]), M.product(a, F.broadcast(b)), "terms").select("terms", r("rel_frob", 8).alias("rel_frob"), r("rel_max", 8).alias("rel_max"))
+@query(f"WITH {AB} SELECT i, j, 0.25 * (i + j) AS v FROM ({PRODUCT})")
+def gemm_empty_range(spark, d):
+    a, b = sides(spark, d)
+    c = a.select("i", F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("j")).select("i", "j", (F.col("i") + F.col("j")).cast("double").alias("v"))
+    return M.split_gemm(a, b, 3, N.bf16, 4, 4, beta=0.25, c=c)
+
+
+@query(f"{_BF16} SELECT i, j, bin::INTEGER AS bin, round(sum(v), 6) + 0.0 AS v FROM prod GROUP BY i, j, bin")
+def gemm_concat_bins(spark, d):
+    return shown(M.concat_bins(*sides(spark, d), 3, N.bf16, D))
+
+
+@query(f"{_BF16} SELECT i, j, round(sum(v), 6) + 0.0 AS v FROM prod WHERE pos >= 1 AND pos < 6 GROUP BY i, j")
+def gemm_batched(spark, d):
+    return shown(M.batched(*sides(spark, d), 3, N.bf16, 1, 6))
+
+
+@query(f"{_BF16}, flat AS (SELECT j, (2 - p) * 64 + l - 1 AS pos, w AS v FROM pb) SELECT j::INTEGER AS j, pos::INTEGER AS pos, v FROM flat")
+def stacked_planes(spark, d):
+    _, b = sides(spark, d)
+    return M.stacked(b, "y", 3, N.bf16).select("j", F.posexplode("y").alias("pos", "v"))
+
+
+@query(f"{_BF16}, full_ AS ({PRODUCT}), pre AS (SELECT i, j, terms, sum(v) AS v FROM prod, (SELECT unnest([1, 3]) AS terms) WHERE pos < terms GROUP BY ALL) SELECT terms::INTEGER AS terms, round(sqrt(sum((p.v - f.v) ** 2) / sum(f.v * f.v)), 8) AS rel_frob, round(max(abs(p.v - f.v)) / max(abs(f.v)), 8) AS rel_max FROM pre p JOIN full_ f USING (i, j) GROUP BY terms")
+def error_norms(spark, d):
+    found = M.error_norms(M.prefix_rows(*bf16_sides(spark, d), 3, [1, 3]), M.gemm(*sides(spark, d)), "terms")
+    return found.select("terms", r("rel_frob", 8).alias("rel_frob"), r("rel_max", 8).alias("rel_max"))
 
 
 BITS, COUNT = 7, 4
@@ -381,39 +429,69 @@ _OZ = f"ea AS (SELECT i, {_EXP} FROM (SELECT i, max(abs(v)) AS m FROM a GROUP BY
 
 
 def _slice_sql(source: str, exps: str, key: str, value: str) -> str:
-    whole = f"floor(abs({value}) * pow(2.0, -e) * pow(2.0, {BITS * COUNT}))::BIGINT"
+    whole = f"coalesce(floor(abs({value}) * pow(2.0, -e) * pow(2.0, {BITS * COUNT}))::BIGINT, 0)"
     return f"SELECT {key}, l, e, p, (((({whole}) >> ({COUNT - 1} - p)::INTEGER * {BITS}) & {(1 << BITS) - 1}) * CASE WHEN {value} < 0 THEN -1 ELSE 1 END)::BIGINT AS {value} FROM {source} JOIN {exps} USING ({key}), range({COUNT}) t(p)"
 
 
 _SLICES = f"{_OZ}, sa AS ({_slice_sql('a', 'ea', 'i', 'v')}), sb AS ({_slice_sql('b', 'eb', 'j', 'w')})"
+_FOLD = f"SELECT i, j, round(sum(coalesce(v * w * pow(2.0, sa.e + sb.e - (sa.p + sb.p + 2) * {BITS}), 0)), 6) + 0.0 AS v FROM sa JOIN sb USING (l) WHERE sa.p + sb.p < {COUNT} GROUP BY i, j"
+#: Every seventh row zeros.
+AB_ZEROS = AB.replace("x[n] AS v FROM pts", "CASE WHEN id % 7 = 0 THEN 0.0 ELSE x[n] END AS v FROM pts")
+
+
+def with_zeros(spark, d):
+    a, b = sides(spark, d)
+    return a.withColumn("x", F.when(F.col("i") % 7 == 0, F.transform("x", lambda v: v * 0.0)).otherwise(F.col("x"))), b
+
+
+def sliced_sides(operands):
+    a, b = operands
+    return M.sliced_rows(a, "x", COUNT, BITS), M.sliced_rows(b, "y", COUNT, BITS)
+
 
+@query(f"WITH {AB}, {_OZ} SELECT * FROM ea")
+def oz_exponents(spark, d):
+    return sides(spark, d)[0].select("i", M.row_exponent(F.col("x")).alias("e"))
 
-@product_query(f"WITH {AB}, {_OZ} SELECT * FROM ea")
-def oz_exponents(a, b):
-    return M.exponents(a)
 
+@query(f"WITH {AB_ZEROS}, {_SLICES} SELECT i, (l - 1)::INTEGER AS l, p::INTEGER AS p, v FROM sa")
+def oz_slices(spark, d):
+    a, _ = sliced_sides(with_zeros(spark, d))
+    return a.select("i", F.posexplode("x").alias("p", "s")).select("i", "p", F.posexplode("s").alias("l", "v"))
 
-@product_query(f"WITH {AB}, {_SLICES} SELECT i, (l - 1)::INTEGER AS l, p::INTEGER AS p, v FROM sa")
-def oz_slices(a, b):
-    return M.sliced(a, COUNT, BITS).select("i", "l", "p", "v")
 
+@query(f"WITH {AB_ZEROS}, {_SLICES} SELECT i, coalesce(max(abs(g))::DOUBLE < pow(2.0, max(e) - {BITS * COUNT}), max(abs(g)) = 0) AS within FROM (SELECT sa.i, sa.l, sa.e, max(a.v) - sum(coalesce(sa.v * pow(2.0, sa.e - (p + 1) * {BITS}), 0)) AS g FROM sa JOIN a ON a.i = sa.i AND a.l = sa.l GROUP BY ALL) GROUP BY i")
+def oz_reconstruct(spark, d):
+    a, _ = with_zeros(spark, d)
+    cut = M.sliced_rows(a.withColumn("own", F.col("x")), "x", COUNT, BITS)
+    def weighed(p: int):
+        weight = F.pow(F.lit(2.0), (F.coalesce("e", F.lit(0)) - (p + 1) * BITS).cast("double"))
+        return F.transform(F.element_at("x", p + 1), lambda v: v * weight)
 
-@product_query(f"WITH {AB}, {_SLICES} SELECT i, max(abs(g))::DOUBLE < pow(2.0, max(e) - {BITS * COUNT}) AS within FROM (SELECT sa.i, sa.l, sa.e, max(a.v) - sum(sa.v * pow(2.0, sa.e - (p + 1) * {BITS})) AS g FROM sa JOIN a ON a.i = sa.i AND a.l = sa.l GROUP BY ALL) GROUP BY i")
-def oz_reconstruct(a, b):
-    back = M.sliced(a, COUNT, BITS).groupBy("i", "l", "e").agg(F.sum(F.col("v") * F.pow(F.lit(2.0), (F.col("e") - (F.col("p") + 1) * BITS).cast("double"))).alias("w"))
-    return back.join(a, ["i", "l"]).groupBy("i").agg((F.max(F.abs(F.col("v") - F.col("w"))) < F.pow(F.lit(2.0), (F.max("e") - BITS * COUNT).cast("double"))).alias("within"))
+    back = [weighed(p) for p in range(COUNT)]
+    total = back[0]
+    for plane in back[1:]:
+        total = F.zip_with(total, plane, lambda u, v: u + v)
+    gap = F.array_max(F.zip_with("own", total, lambda u, v: F.abs(u - v)))
+    return cut.select("i", F.coalesce(gap < F.pow(F.lit(2.0), (F.col("e") - BITS * COUNT).cast("double")), gap == 0).alias("within"))
 
 
-@product_query(f"WITH {AB}, {_SLICES} SELECT i, j, (sa.p + sb.p)::INTEGER AS bin, sum(v * w)::BIGINT AS t FROM sa JOIN sb USING (l) WHERE sa.p + sb.p < {COUNT} GROUP BY ALL")
-def gemm_ozaki_prefix(a, b):
-    a, b = (M.sliced(s, COUNT, BITS) for s in (a, b))
-    return M.slice_products(a, F.broadcast(b), COUNT).select("i", "j", "bin", "t")
+@query(f"WITH {AB_ZEROS}, {_SLICES} SELECT i, j, (sa.p + sb.p)::INTEGER AS bin, sum(v * w)::BIGINT AS t FROM sa JOIN sb USING (l) WHERE sa.p + sb.p < {COUNT} GROUP BY ALL")
+def gemm_ozaki_prefix(spark, d):
+    return M.slice_rows(*sliced_sides(with_zeros(spark, d)), COUNT).select("i", "j", "bin", "t")
 
 
-@product_query(f"WITH {AB}, {_SLICES} SELECT i, j, round(sum(v * w * pow(2.0, sa.e + sb.e - (sa.p + sb.p + 2) * {BITS})), 6) + 0.0 AS v FROM sa JOIN sb USING (l) WHERE sa.p + sb.p < {COUNT} GROUP BY i, j")
-def gemm_ozaki_fold(a, b):
-    a, b = (M.sliced(s, COUNT, BITS) for s in (a, b))
-    return M.folded(M.slice_products(a, F.broadcast(b), COUNT), BITS).select("i", "j", (r("v") + F.lit(0.0)).alias("v"))
+@query(f"WITH {AB}, {_SLICES} {_FOLD}")
+def gemm_ozaki_fold(spark, d):
+    return shown(M.folded(M.slice_rows(*sliced_sides(sides(spark, d)), COUNT), BITS))
+
+
+@query(f"WITH {AB_ZEROS}, {_SLICES} {_FOLD}")
+def gemm_ozaki_zero_rows(spark, d):
+    """By entries: a row of zeros gives zeros, and isn't lost."""
+    a, b = with_zeros(spark, d)
+    a, b = M.entries(a), M.entries(b.select(F.col("j").alias("i"), F.col("y").alias("x")))
+    return shown(M.folded(M.slice_products(M.sliced(a, COUNT, BITS), F.broadcast(M.sliced(b, COUNT, BITS)), COUNT), BITS))
 
 
 @query("SELECT (row_number() OVER (ORDER BY i + j, i) - 1)::INTEGER AS pos, i::INTEGER AS i, j::INTEGER AS j FROM range(3) a(i), range(3) b(j)")
@@ -423,21 +501,23 @@ def term_schedule(spark, d):
 
 @query(f"WITH {PTS} SELECT id, round({total('x')}, 6) + 0.0 AS s FROM pts")
 def neumaier_sum(spark, d):
-    return points(spark, d).select("id", (r(V.neumaier(F.col("x"))) + F.lit(0.0)).alias("s"))
+    """Each vector's sum between 1e18 and -1e18, which a plain sum loses."""
+    far = F.concat(F.array(F.lit(1e18)), "x", F.array(F.lit(-1e18)))
+    return points(spark, d).select("id", (r(V.neumaier(far)) + F.lit(0.0)).alias("s"))
 
 
 # Bounds --------------------------------------------------------------------------------------
-def _bound_sql(eps: float) -> str:
-    factor, small = 2 * eps / (1 - eps), N.gamma(D, N.U32)
-    gfac, s = 2 * small / (1 - small), N.SLACK
+def _bound_sql(eps: float, scale: float = 1.0) -> str:
+    factor, gfac = E.bounds_of(D, eps)
+    s, value, unscale = N.SLACK, fp16_sql(f"(v * {scale!r})") if scale != 1 else fp16_sql("v"), f" / {scale * scale!r}" if scale != 1 else ""
     return f"""WITH {SHIFT}, {CEN},
-hp AS (SELECT id, x, list_transform(x, lambda v: {fp16_sql("v")}) AS h FROM pts), hc AS (SELECT cid, c, {dot("c", "c")} AS cn, list_transform(c, lambda v: {fp16_sql("v")}) AS ch FROM cen),
-low AS (SELECT id, cid, cn, x, c, {dot("h", "ch")} AS g FROM hp, hc),
+hp AS (SELECT id, x, list_transform(x, lambda v: {value}) AS h FROM pts), hc AS (SELECT cid, c, {dot("c", "c")} AS cn, list_transform(c, lambda v: {value}) AS ch FROM cen),
+low AS (SELECT id, cid, cn, x, c, {dot("h", "ch")}{unscale} AS g FROM hp, hc),
 lows AS (SELECT *, cn - 2 * g AS dt FROM low),
 best AS (SELECT id, cid AS bid, dt AS db, g AS gb, cn AS bn, {dot("x", "c")} AS ge FROM lows QUALIFY row_number() OVER (PARTITION BY id ORDER BY dt, cid) = 1),
 tests AS (SELECT *, db + {s!r} * (abs(db) + abs(dt)) <= dt - {factor!r} * (greatest(g, 0) + gb) AS x3, u + {s!r} * (abs(u) + abs(dt)) <= dt - {factor!r} * greatest(g, 0) AS x6 FROM (SELECT *, bn - 2 * ge + {gfac!r} * ge AS u FROM lows JOIN best USING (id)) WHERE cid <> bid),
-left_ AS (SELECT id, count(*) FILTER (WHERE NOT x3) AS n3, count(*) FILTER (WHERE NOT x6) AS n6, count(*) FILTER (WHERE NOT x3 AND NOT x6) AS n36 FROM tests GROUP BY id),
-exact AS (SELECT id, cid, cn - 2 * {dot("x", "c")} AS s FROM lows), truth AS (SELECT id, cid FROM exact QUALIFY row_number() OVER (PARTITION BY id ORDER BY s, cid) = 1)"""
+left_ AS (SELECT id, bid, count(*) FILTER (WHERE NOT x3) AS n3, count(*) FILTER (WHERE NOT x6) AS n6, count(*) FILTER (WHERE NOT x3 AND NOT x6) AS n36 FROM tests GROUP BY id, bid),
+exact AS (SELECT id, cid, cn, cn - 2 * {dot("x", "c")} AS s FROM lows), truth AS (SELECT id, cid FROM exact QUALIFY row_number() OVER (PARTITION BY id ORDER BY s, cid) = 1)"""
 
 
 _BOUND = _bound_sql(N.epsilon(D))
@@ -467,13 +547,13 @@ def cascade_reference_count(spark, d):
 
 @query(f"{_BOUND} SELECT id, bid AS cid FROM best")
 def raw_assign(spark, d):
-    return bounded(spark, d).select("id", F.col("best.cid").alias("cid"))
+    return bounded(spark, d).select("id", "cid")
 
 
 @query(f"{_BOUND} SELECT id, cid FROM truth")
 def mixed_assign(spark, d):
     """Equal to the exact assignment: what the bounds drop can't be nearest."""
-    return E.refined(bounded(spark, d), "cascade")
+    return E.mixed_step(*shifted(spark, d), D).select("id", "cid")
 
 
 @query(f"{_BOUND} SELECT count(*) AS tested, count(*) FILTER (WHERE x3) AS by3, count(*) FILTER (WHERE x6) AS by6, count(*) FILTER (WHERE x3 OR x6) AS either FROM tests")
@@ -485,7 +565,7 @@ def excl_attribution(spark, d):
 @query(f"{_BOUND} SELECT count(*) AS violations FROM tests JOIN truth USING (id, cid) WHERE x3 OR x6")
 def excl_violations(spark, d):
     p, c = shifted(spark, d)
-    rows = E.survivors(p, c, D, N.epsilon(D)).select("id", F.col("best.cid").alias("b"), F.transform("s36", lambda t: t["cid"]).alias("left"))
+    rows = E.survivors(p, c, D, N.epsilon(D)).select("id", F.col("cid").alias("b"), F.transform("s36", lambda t: t["j"]).alias("left"))  # a centroid's number is its place
     truth = C.assign(p, c).select("id", "cid")
     return rows.join(truth, "id").agg(F.count_if((F.col("cid") != F.col("b")) & ~F.array_contains("left", F.col("cid"))).alias("violations"))
 
@@ -505,7 +585,7 @@ def rt_assign(spark, d):
     return E.reliability_rows(*both(spark, d), D).select("id", "cid")
 
 
-@query()
+@query(f"{_bound_sql(N.multiword_epsilon(D, 1), 1024.0)} SELECT id, n36 > 0 AS undecided FROM left_")
 def mw_undecided_rows(spark, d):
     return E.multiword_rows(*shifted(spark, d), D, (1024.0, 1024.0)).select("id", "undecided")
 
@@ -515,6 +595,225 @@ def mw_assign(spark, d):
     return E.multiword_rows(*shifted(spark, d), D, (1024.0, 1024.0)).select("id", "cid")
 
 
+# Fits ------------------------------------------------------------------------------------------
+_TRUE_FIT = _LLOYD.replace(f"WITH {PTS}", f"WITH {SHIFT}")
+PARAMS = C.Params(max_iter=3)
+
+
+def fitted(spark, d, scheme: str, params: C.Params = PARAMS, **more) -> C.Fit:
+    p, c = both(spark, d) if scheme in ("fp32", "rt") else shifted(spark, d)
+    return P.fit_scheme(p, c, scheme, params, D, **more)
+
+
+@query(f"{_TRUE_FIT} SELECT id, cid FROM near2")
+def lloyd_mixed(spark, d):
+    """Three iterations of the cascade: the labels of the exact fit."""
+    return fitted(spark, d, "(3)->(6)").assigned.select("id", "cid")
+
+
+@query(f"{_TRUE_FIT} SELECT id, cid FROM near2")
+def lloyd_cond6(spark, d):
+    return fitted(spark, d, "(6)").assigned.select("id", "cid")
+
+
+@query(f"{_TRUE_FIT} SELECT id, cid FROM near2")
+def lloyd_mw(spark, d):
+    return fitted(spark, d, "mw", scales=(1024.0, 1024.0)).assigned.select("id", "cid")
+
+
+def _low_steps(first: str, near: str) -> str:
+    """Three iterations of an assignment: near with @ for the iteration's number, from cen@ and pts."""
+    out = [first, "cen0 AS (SELECT * FROM cen)", near.replace("@", "0")]
+    for n in (1, 2):
+        out += [_step(n).split("\nnear")[0].rstrip(","), near.replace("@", str(n))]
+    return ", ".join(out)
+
+
+_RT_NEAR = f"""near@ AS (SELECT id, cid, x FROM (SELECT id, cid, x, CASE WHEN dl > {N.reliability(D)!r} * m THEN dl ELSE d2 END AS s FROM
+(SELECT id, cid, x, xn + cn AS m, xn + cn - 2 * {dot("h", "ch")} AS dl, {direct("x", "c")} AS d2 FROM hp, (SELECT cid, c, {dot("c", "c")} AS cn, list_transform(c, lambda v: {fp16_sql("v")}) AS ch FROM cen@))) QUALIFY row_number() OVER (PARTITION BY id ORDER BY s, cid) = 1)"""
+_RT_FIT = _low_steps(f"WITH {PTS}, {CEN}, hp AS (SELECT id, x, {dot('x', 'x')} AS xn, list_transform(x, lambda v: {fp16_sql('v')}) AS h FROM pts)", _RT_NEAR)
+_RAW_NEAR = f"""near@ AS (SELECT id, cid, x FROM (SELECT id, cid, x, cn - 2 * {dot("h", "ch")} AS s FROM hp, (SELECT cid, c, {dot("c", "c")} AS cn, list_transform(c, lambda v: {fp16_sql("v")}) AS ch FROM cen@)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY s, cid) = 1)"""
+_RAW_FIT = _low_steps(f"WITH {SHIFT}, {CEN}, hp AS (SELECT id, x, list_transform(x, lambda v: {fp16_sql('v')}) AS h FROM pts)", _RAW_NEAR)
+
+
+@query(f"{_RT_FIT} SELECT id, cid FROM near2")
+def lloyd_rt(spark, d):
+    return fitted(spark, d, "rt").assigned.select("id", "cid")
+
+
+@query(f"{_RAW_FIT} SELECT id, cid FROM near2")
+def lloyd_raw(spark, d):
+    return fitted(spark, d, "raw").assigned.select("id", "cid")
+
+
+def _theta_sql(theta: float) -> str:
+    return f"SELECT {theta!r}::DOUBLE AS theta, count(*) FILTER (WHERE dl <= {N.reliability(D, theta)!r} * m) AS rejected, count(*) AS tested FROM low"
+
+
+@query(f"{_RT} SELECT * FROM ({' UNION ALL '.join(_theta_sql(t) for t in (0.5, 1.0, 2.5, 5.0))})")
+def theta_sweep(spark, d):
+    out = None
+    for theta in (0.5, 1.0, 2.5, 5.0):
+        one = E.reliability_rows(*both(spark, d), D, theta).agg(F.sum(F.col("rejected").cast("long")).alias("rejected"), F.sum(F.col("tested").cast("long")).alias("tested")).select(F.lit(theta).alias("theta"), "rejected", "tested")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"{_BOUND} SELECT count(*) * 9 AS tested, sum(CASE WHEN n3 > 0 THEN n36 ELSE 0 END)::BIGINT AS priced, count(*) FILTER (WHERE n3 > 0) AS reference FROM left_")
+def mixed_work(spark, d):
+    """Counters of one iteration of the cascade."""
+    found = fitted(spark, d, "(3)->(6)", C.Params(max_iter=1)).work
+    return spark.createDataFrame([tuple(found[c] for c in E.MIXED_WORK)], ", ".join(f"{c} long" for c in E.MIXED_WORK))
+
+
+@query(f"{_BOUND} SELECT count(*) FILTER (WHERE bid <> truth.cid) AS label_diff, round(coalesce(sum(CASE WHEN bid <> truth.cid THEN a.s - b.s END), 0), 9) + 0.0 AS excess FROM truth JOIN left_ USING (id) JOIN exact a ON a.id = truth.id AND a.cid = bid JOIN exact b ON b.id = truth.id AND b.cid = truth.cid")
+def raw_excess(spark, d):
+    """What the labels of plain half precision cost."""
+    p, c = shifted(spark, d)
+    raw = E.mixed_step(p, c, D, C.Params(cond3=False, cond6=False)).select("id", "x", "cid")
+    return P.excess(raw, c).select("label_diff", (r("excess", 9) + F.lit(0.0)).alias("excess"))
+
+
+@query(f"{_TRUE_FIT}, mean1_ AS (SELECT cid, n, avg(x[n]) AS m FROM near0, range(1, 65) t(n) GROUP BY cid, n), inert AS (SELECT sum((x[n] - m.m) * (x[n] - m.m)) AS v FROM near0 JOIN mean1_ m USING (cid)) SELECT 'embeddings' AS dataset, count(*)::INTEGER AS n, 64 AS d, 10 AS k, '(3)+(6)' AS cond, 1 AS iters, count(*) * 10 AS hp_baseline, count(*) AS hp_reference, 0::BIGINT AS violations, 0::BIGINT AS label_diff, (SELECT round(v, 5) FROM inert) AS inertia, 0.0::DOUBLE AS rel_inertia FROM near0")
+def result_row(spark, d):
+    """What a run's row says of its work and its labels; times aside."""
+    row = P.result_row(*shifted(spark, d), "(3)+(6)", C.Params(max_iter=1), {"dataset": "embeddings"})
+    return P.result_table(spark, [row]).select("dataset", "n", "d", "k", "cond", "iters", "hp_baseline", "hp_reference", "violations", "label_diff", r("inertia", 5).alias("inertia"), r("rel_inertia", 9).alias("rel_inertia"))
+
+
+@query(f"{_BOUND}, prices AS (SELECT id, cid, {direct('x', 'c')} AS d2, {dot('x', 'x')} + cn - 2 * {dot('x', 'c')} AS e2, {dot('x', 'x')} + dt AS h2 FROM lows), rated AS (SELECT id, cid, d2, unnest(['expanded', 'half']) AS formula, unnest([e2, h2]) AS v FROM prices), firsts AS (SELECT id, formula, arg_min(cid, (d2, cid)) AS t, arg_min(cid, (v, cid)) AS f FROM rated GROUP BY ALL) SELECT formula, round(max(abs(v - d2) / greatest(d2, 1e-300)) FILTER (WHERE d2 > 0), 5) AS max_rel, round(avg(abs(v - d2) / greatest(d2, 1e-300)) FILTER (WHERE d2 > 0), 7) AS mean_rel, max(wrong) AS wrong FROM rated JOIN (SELECT formula, count(*) FILTER (WHERE t <> f) AS wrong FROM firsts GROUP BY formula) USING (formula) GROUP BY formula")
+def distance_accuracy(spark, d):
+    out = E.accuracy(*shifted(spark, d)).withColumn("max_rel", r("max_rel", 5)).withColumn("mean_rel", r("mean_rel", 7))
+    return out
+
+
+@query(f"WITH {PTS}, {CEN}, hp AS (SELECT id, list_transform(x, lambda v: {fp16_sql('v')}) AS h FROM pts), hc AS (SELECT cid, list_transform(c, lambda v: {fp16_sql('v')}) AS ch FROM cen) SELECT id, cid, list_reduce(list_prepend(0.0::DOUBLE, list_transform(h, lambda v, n: {fp16_sql('(v * ch[n])')})), lambda p, q: {fp16_sql('(p + q)')}) AS g FROM hp, hc")
+def half_accumulated(spark, d):
+    """Products whose every product and sum is rounded to half precision."""
+    p, c = both(spark, d)
+    rows, _ = E.scored(p, c, accum="fp16")
+    return rows.select("id", F.explode("ts").alias("t")).select("id", F.col("t.j").alias("cid"), "t.g")
+
+
+@query("SELECT macs, d, round(CASE WHEN e < 1 THEN e ELSE -1 END, 12) AS epsilon FROM (SELECT macs, d, (1 + o) * (1 + g / (1 - g)) - 1 AS e FROM (SELECT macs, d, (d + CASE macs WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 3 END) * pow(2.0, -24) AS g, CASE macs WHEN 1 THEN 2 * pow(2.0, -11) + pow(2.0, -22) WHEN 2 THEN pow(2.0, -11) + pow(2.0, -22) ELSE 3 * pow(2.0, -22) END AS o FROM (SELECT unnest([1, 2, 3]) AS macs), (SELECT unnest([32, 64, 512, 3072]) AS d)))")
+def multiword_bounds(spark, d):
+    rows = [(m, n, round(N.multiword_epsilon(n, m), 12)) for m in (1, 2, 3) for n in (32, 64, 512, 3072)]
+    return spark.createDataFrame(rows, "macs int, d int, epsilon double")
+
+
+@query("SELECT k, greatest(0, least(floor((31 - ceil(log2(k))) / 2), 7))::INTEGER AS bits, floor(2147483647 / pow(pow(2, greatest(1, least(floor((31 - ceil(log2(k))) / 2), 7))) - 1, 2))::BIGINT AS longest FROM (SELECT unnest([1, 64, 1000, 131072, 1000000, 536870912]) AS k)")
+def slice_limits(spark, d):
+    return spark.createDataFrame([(k, N.bits_per_slice(k), N.longest_inner(max(1, N.bits_per_slice(k)))) for k in (1, 64, 1000, 131072, 1000000, 536870912)], "k int, bits int, longest long")
+
+
+@query("SELECT n, CASE WHEN n <= 16 THEN n * n ELSE 0 END AS terms, CASE WHEN n <= 4 THEN n * (n + 1) // 2 ELSE 0 END AS half_terms, n * (n + 1) // 2 AS slice_terms FROM (SELECT unnest([1, 2, 3, 4, 5, 16, 17]) AS n)")
+def product_counts(spark, d):
+    return spark.createDataFrame([(n, N.term_count(n), N.half_term_count(n), N.slice_terms(n)) for n in (1, 2, 3, 4, 5, 16, 17)], "n int, terms int, half_terms int, slice_terms int")
+
+
+@query(f"WITH s AS ({_split_sql(bf16_sql, 3)}), t AS ({_split_sql(bf16_sql, 2)}) SELECT 3 AS words, count(*) FILTER (WHERE rest <> 0) AS inexact, round(max(abs(rest) / abs(b0 + b1 + b2 + rest)) FILTER (WHERE b0 <> 0), 9) + 0.0 AS rel FROM s UNION ALL SELECT 2, count(*) FILTER (WHERE rest <> 0), round(max(abs(rest) / abs(b0 + b1 + rest)) FILTER (WHERE b0 <> 0), 9) + 0.0 FROM t")
+def split_reconstruction(spark, d):
+    out = None
+    for words in (3, 2):
+        rows = events(spark, d).select(F.col("v").cast("float").cast("double").alias("v"))
+        back = rows.withColumn("back", V.total(N.words_of(F.col("v"), words, N.bf16)))
+        one = M.split_report(back, "v", "back").select(F.lit(words).alias("words"), "inexact", (r("rel", 9) + F.lit(0.0)).alias("rel"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _hash_sql(x: str) -> str:
+    wrap, big = "18446744073709551616::UHUGEINT", "::UHUGEINT"
+    out = f"((({x}){big} + {L.STEP}{big}) % {wrap})::UBIGINT"
+    for shift, by in ((30, L.FIRST), (27, L.SECOND)):
+        out = f"(SELECT (((xor(q, q >> {shift})){big} * {by}{big}) % {wrap})::UBIGINT FROM (SELECT {out} AS q))"
+    return f"(SELECT xor(q, q >> 31) FROM (SELECT {out} AS q))"
+
+
+def _unit_sql(h: str) -> str:
+    return f"(({h}) >> 11)::DOUBLE / 9007199254740992.0"
+
+
+_SEEDED = "xor(event_id::UBIGINT, 7::UBIGINT)"
+
+
+@query(f"SELECT event_id, (-1.0 + ({_unit_sql(_hash_sql(_SEEDED))}) * 2.0)::FLOAT::DOUBLE AS v FROM events")
+def fill_uniform(spark, d):
+    return table(spark, d, "events").select("event_id", L.uniform(F.col("event_id"), 7).alias("v"))
+
+
+@query(f"SELECT event_id, 2.0 * ({_unit_sql(_hash_sql(_SEEDED))}) - 1.0 AS v FROM events")
+def fill_double(spark, d):
+    return table(spark, d, "events").select("event_id", L.uniform_double(F.col("event_id"), 7).alias("v"))
+
+
+@query(f"SELECT event_id, round(sqrt(-2.0 * ln(greatest({_unit_sql('h')}, 1e-300))) * cos(2 * pi() * ({_unit_sql(_hash_sql(f'xor(h, {L.STEP}::UBIGINT)'))})), 6) + 0.0 AS v FROM (SELECT event_id, {_hash_sql(_SEEDED)} AS h FROM events)")
+def fill_normal(spark, d):
+    return table(spark, d, "events").select("event_id", (r(L.normal(F.col("event_id"), 7)) + F.lit(0.0)).alias("v"))
+
+
+@query(f"SELECT event_id, round(({_unit_sql(_hash_sql(_SEEDED))} - 0.5) * exp(0.5 * (2 * ({_unit_sql(_hash_sql(f'xor(((event_id::UHUGEINT * {L.WIDE_STRIDE}) % 18446744073709551616::UHUGEINT)::UBIGINT, {L.WIDE_SEED ^ 7}::UBIGINT)'))}) - 1) * 3.0), 6) + 0.0 AS v FROM events")
+def fill_wide(spark, d):
+    return table(spark, d, "events").select("event_id", (r(L.wide(F.col("event_id"), 7, 0.5)) + F.lit(0.0)).alias("v"))
+
+
+@query(f"WITH {PTS} SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS cid, round(x[1], 6) AS c0 FROM (SELECT * FROM pts ORDER BY md5(id::VARCHAR || ':' || '5'), id LIMIT 10)")
+def seeded_centroids(spark, d):
+    return C.seeded_centroids(points(spark, d), K, 5).select("cid", r(F.element_at("c", 1)).alias("c0"))
+
+
+@query(f"WITH {PTS}, {CEN} SELECT id, cid, round({dot('x', 'c')}, 12) + 0.0 AS hi FROM pts, cen")
+def double_double(spark, d):
+    p, c = both(spark, d)
+    rows = C.with_centroids(p, c).select("id", F.explode(F.transform("cs", lambda s: F.struct(s["cid"].alias("cid"), V.double_double_dot(F.col("x"), s["c"]).alias("p")))).alias("t"))
+    return rows.select("id", "t.cid", (r("t.p.hi", 12) + F.lit(0.0)).alias("hi"))
+
+
+def order_results(spark, d):
+    """Orders as rows of results: a ratio of each, under names such as runs have."""
+    rows = table(spark, d, "orders")
+    return rows.select(F.concat(F.lit("data_"), "o_orderpriority", F.lit(".bin")).alias("dataset"), F.concat(F.lit("rt-mp-k"), F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise((F.col("o_custkey") % 3).cast("string"))).alias("cond"), F.col("o_totalprice").alias("ms_total"), F.when(F.col("o_orderkey") % 11 != 0, F.lit(1000.0)).otherwise(F.lit(0.0)).alias("ms_total_fp32"))
+
+
+_RUNS = "SELECT o_orderpriority AS dataset, (o_custkey % 3)::DOUBLE AS kappa, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice / 1000 END AS ratio, o_totalprice AS ms_total FROM orders WHERE o_orderkey % 5 <> 0"
+
+
+@query(f"SELECT dataset, kappa, count(*) AS n, round(sum(ratio), 3) AS ratios FROM ({_RUNS}) GROUP BY ALL")
+def named_runs(spark, d):
+    return P.named_runs(order_results(spark, d), "rt-mp-k").groupBy("dataset", "kappa").agg(F.count("*").alias("n"), r(F.sum("ratio"), 3).alias("ratios"))
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (WHERE ratio > 1) AS slower, list_sort(list(ratio))[count(*) // 2 + 1] AS median, max(ratio) AS worst, max(ratio) FILTER (WHERE false) IS NULL AS worst_known, min(ratio) AS best FROM ({_RUNS}) WHERE ratio IS NOT NULL")
+def report_scalars(spark, d):
+    out = P.scalars(P.named_runs(order_results(spark, d), "rt-mp-k"))
+    return out.select("n", "slower", "median", "worst", F.col("worst_name").isNotNull().alias("worst_known"), "best")
+
+
+@query(f"SELECT dataset, round((max(ms_total) - min(ms_total)) / 1000.0, 6) AS spread FROM ({_RUNS}) GROUP BY dataset")
+def spread_report(spark, d):
+    runs_ = P.named_runs(order_results(spark, d), "rt-mp-k")
+    reference = runs_.select("dataset").distinct().withColumn("ref", F.lit(1000.0))
+    return P.spread_against(runs_, ["dataset"], "ms_total", reference).withColumn("spread", r("spread"))
+
+
+@query("SELECT l_shipmode_ AS dataset, round(median(l_extendedprice), 4) AS speedup, round(median(l_quantity), 4) AS pct_eliminated, round(median(l_tax), 4) AS rel_inertia, max(l_linenumber)::BIGINT AS violations, count(*) AS n FROM (SELECT l_returnflag AS l_shipmode_, * FROM lineitem) GROUP BY 1")
+def report_medians(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("dataset"), F.col("l_extendedprice").alias("speedup"), F.col("l_quantity").alias("pct_eliminated"), F.col("l_tax").alias("rel_inertia"), F.col("l_linenumber").cast("long").alias("violations"))
+    return P.medians(rows, ["dataset"]).select("dataset", *(r(c, 4).alias(c) for c in ("speedup", "pct_eliminated", "rel_inertia")), "violations", "n")
+
+
+@query("SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def manifest_lookup(spark, d):
+    manifest = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), "n_name")
+    return S.lookup(manifest, table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("id"))).select("c_custkey", "n_name")
+
+
+@query(f"WITH {PTS} SELECT id, round(CASE WHEN id % 3 = 0 THEN list_max(list_transform(x, lambda v: 3 * v / greatest(sqrt(9 * {dot('x', 'x')}), 1e-12))) ELSE 3 * list_max(x) END, 6) AS top FROM pts")
+def listed_normalise(spark, d):
+    rows = points(spark, d).withColumn("x", F.transform("x", lambda v: v * 3)).withColumn("dataset", F.concat(F.lit("d"), (F.col("id") % 3).cast("string")))
+    return S.normalised_where(rows, ["d0"]).select("id", r(F.array_max("x")).alias("top"))
+
+
 # Sources and tables of runs --------------------------------------------------------------------
 @query("SELECT l_orderkey * 8 + l_linenumber AS id, l_linenumber::DOUBLE AS label, l_quantity AS x1, l_tax AS x2, l_discount AS x3 FROM lineitem")
 def libsvm_parse(spark, d):
