@@ -2,12 +2,14 @@
 
 The windows of a benchmark's items are a hash set that goes to the tasks as a literal; every
 token window of every document is looked up in it by hash, hits are verified by their
-words, and what they cover is counted and can be removed. Nothing is shuffled. A benchmark
-whose windows exceed a bound is joined by hash instead.
+words, and what they cover is counted and can be removed. Nothing is shuffled. Of a benchmark
+whose windows exceed a bound the literal is a bitmap of their hashes, of bounded size: only positions that
+it marks leave their row, to be joined by their words.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,8 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: A set of windows of at most so many, and of so many characters, is sent as a literal.
 LITERAL_WINDOWS, LITERAL_CHARS = 100_000, 16 << 20
+#: Least and most bits of a bitmap of hashes; between these it has 16 for each window.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 #: Separate the parts of the literal table: buckets, entries, a window's words from its items. No word holds them.
 BUCKET, ENTRY, ITEMS = "\x02", "\x01", "\x03"
 #: Stands for the id of items without one.
@@ -73,13 +77,13 @@ def find_contamination(df: DataFrame, items: DataFrame, text_col: str = "text",
     """
     held = windows_of(items, item_id_col, item_text_col, window, unnamed)
     sizes = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("gram") + F.size("ids") * 20), F.lit(0)).alias("chars"), F.array_sort(F.collect_set("length")).alias("lengths")).first()
-    base = df.select(*(F.col(f"`{c}`") for c in without(df, OUTPUTS)), once(words_of(F.col(f"`{text_col}`"))).alias("__w"))
+    base = df.select(*(F.col(f"`{c}`") for c in without(df, OUTPUTS)), once(words_of(F.col(f"`{text_col}`"))).alias("__found_w"))
     if sizes.n <= literal_windows and sizes.chars <= LITERAL_CHARS:
         found = _by_literal(base, held, sizes)
     else:
-        found = _by_join(base, held, sizes.lengths)
-    kept = [F.col(f"`{c}`") for c in found.columns if not c.startswith("__")]
-    return found.select(*kept, F.size("__w").cast("long").alias("n_words"), _spans_covered(F.col("__spans")).alias("n_hit"), F.size("__ids").cast("long").alias("n_items"), F.filter("__ids", lambda i: i != UNNAMED).alias("item_ids"), F.col("__spans").alias("hit_spans"), (F.size("__spans") > 0).alias("contaminated"))
+        found = _by_join(base, held, sizes)
+    kept = [F.col(f"`{c}`") for c in without(df, OUTPUTS)]
+    return found.select(*kept, F.size("__found_w").cast("long").alias("n_words"), _spans_covered(F.col("__found_spans")).alias("n_hit"), F.size("__found_ids").cast("long").alias("n_items"), F.filter("__found_ids", lambda i: i != UNNAMED).alias("item_ids"), F.col("__found_spans").alias("hit_spans"), (F.size("__found_spans") > 0).alias("contaminated"))
 
 
 def _by_literal(base: DataFrame, held: DataFrame, sizes) -> DataFrame:
@@ -109,34 +113,51 @@ def _by_literal(base: DataFrame, held: DataFrame, sizes) -> DataFrame:
         return verify
 
     hits = F.array().cast("array<struct<at:int,length:int,ids:string>>")
-    w = F.col("__w")
+    w = F.col("__found_w")
     for length, known in sorted(hashes.items()):
         ids_in = ",".join(f"{h}L" if h != -(2**63) else "(-9223372036854775807L - 1L)" for h in known)
-        at = F.expr(f"filter(CASE WHEN size(__w) >= {length} THEN sequence(1, size(__w) - {length - 1}) ELSE array() END, i -> xxhash64(slice(__w, i, {length})) IN ({ids_in}))")
+        at = F.expr(f"filter(CASE WHEN size(__found_w) >= {length} THEN sequence(1, size(__found_w) - {length - 1}) ELSE array() END, i -> xxhash64(slice(__found_w, i, {length})) IN ({ids_in}))")
 
         hits = F.concat(hits, F.filter(F.transform(at, verifier(length)), lambda h: h["ids"].isNotNull()))
-    step = base.withColumn("__hits", once(F.array_sort(hits)))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform("__hits", lambda h: h["ids"])), lambda s: F.split(s, ",")))))
-    return step.withColumn("__ids", ids).withColumn("__spans", F.transform("__hits", lambda h: F.struct(h["at"].alias("at"), h["length"].alias("length")))).drop("__hits")
+    step = base.withColumn("__found_hits", once(F.array_sort(hits)))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform("__found_hits", lambda h: h["ids"])), lambda s: F.split(s, ",")))))
+    return step.withColumn("__found_ids", ids).withColumn("__found_spans", F.transform("__found_hits", lambda h: F.struct(h["at"].alias("at"), h["length"].alias("length")))).drop("__found_hits")
 
 
-def _by_join(base: DataFrame, held: DataFrame, lengths: list[int]) -> DataFrame:
-    """Windows as a table: documents' windows are exploded and joined by gram; hits alone are gathered, by row.
+def _bitmap(held: DataFrame, windows: int) -> tuple[Column, int]:
+    """The hashes of windows as a literal array of 64-bit words, and its bits: bounded, however many windows there are."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * windows).bit_length()))
+    at = F.pmod(F.xxhash64(F.split("gram", " ")), F.lit(bits))
+    marked = held.select(at.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("marks"))
+    words = [0] * (bits // 64)
+    for r in marked.collect():  # at most MOST_BITS / 64 rows
+        words[r.word] = r.marks
+    return F.from_json(F.lit(json.dumps(words)), "array<long>"), bits
+
+
+def _by_join(base: DataFrame, held: DataFrame, sizes) -> DataFrame:
+    """Windows as a table: positions whose hash the bitmap marks are exploded and joined by their words; hits alone are gathered, by row.
 
     Rows are numbered by monotonically_increasing_id over a table cut from its lineage, so that a task run again numbers them alike."""
     from .common import cut
 
-    numbered = cut(base.withColumn("__row", F.monotonically_increasing_id()))
+    numbered = cut(base.withColumn("__found_row", F.monotonically_increasing_id()))
+    words, bits = _bitmap(held, sizes.n)
     spots = None
-    for length in lengths:
-        at = F.when(F.size("__w") >= length, F.sequence(F.lit(1), F.size("__w") - length + 1)).otherwise(F.array().cast("array<int>"))
-        one = numbered.select("__row", "__w", F.explode(at).alias("at")).select("__row", "at", F.lit(length).alias("length"), F.concat_ws(" ", F.slice("__w", F.col("at"), F.lit(length))).alias("gram"))
+    for length in sizes.lengths:
+        every = F.when(F.size("__found_w") >= length, F.sequence(F.lit(1), F.size("__found_w") - length + 1)).otherwise(F.array().cast("array<int>"))
+
+        def marked(i: Column, length: int = length) -> Column:
+            return let(F.pmod(F.xxhash64(F.slice("__found_w", i, F.lit(length))), F.lit(bits)), lambda at: F.element_at(words, (F.shiftright(at, 6) + 1).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))) != 0)
+
+        at = F.filter(every, lambda i: marked(i))
+        one = numbered.select("__found_row", "__found_w", F.explode(at).alias("at")).select("__found_row", "at", F.lit(length).alias("length"), F.concat_ws(" ", F.slice("__found_w", F.col("at"), F.lit(length))).alias("gram"))
         spots = one if spots is None else spots.unionByName(one)
     hits = spots.join(held, ["length", "gram"])
-    spans = hits.groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("at", "length"))).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("__ids"))
+    spans = hits.groupBy("__found_row").agg(F.array_sort(F.collect_set(F.struct("at", "length"))).alias("__found_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("__found_ids"))
     none = F.array().cast("array<struct<at:int,length:int>>"), F.array().cast("array<string>")
-    joined = numbered.join(spans, "__row", "left")
-    return joined.withColumn("__spans", F.coalesce("__spans", none[0])).withColumn("__ids", F.coalesce("__ids", none[1])).drop("__row")
+    joined = numbered.join(spans, "__found_row", "left")
+    return joined.withColumn("__found_spans", F.coalesce("__found_spans", none[0])).withColumn("__found_ids", F.coalesce("__found_ids", none[1])).drop("__found_row")
 
 
 def remove_contamination(found: DataFrame, text_col: str = "text", mode: str = "documents") -> DataFrame:
