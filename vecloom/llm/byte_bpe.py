@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, shared_folder, tidy, with_computed, worker_store
+from .common import let, shared_folder, tidy, with_computed, without, worker_store
 
 #: Chunks, and words in them, that a worker remembers; beyond them it forgets all and starts anew.
 MAX_WORDS = 800_000
@@ -165,7 +165,6 @@ class Chunks(dict):
         import regex
 
         self.ranks, self.find, self.folded = ranks, regex.compile(pattern).findall, folded or {}
-        self.pieces = {b"%d" % i: piece for piece, i in ranks.items()}
         self.words: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
@@ -202,6 +201,19 @@ def encode_text(text: str, chunks: Chunks) -> bytes:
     return b",".join(ids)
 
 
+def piece_literal(ranks: dict[bytes, int]) -> Column:
+    """The pieces in order of their ids, as hexadecimal digits: a literal array, in which one is found at once."""
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    for piece, i in ranks.items():
+        pieces[i] = piece.hex()
+    return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+
+
+def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The joined pieces (binary) of ids (array<int>); an id beyond the last piece is an error. Spark joins their digits, in time that follows their number."""
+    return let(piece_literal(ranks), lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), "")))
+
+
 class ChunkCounts:
     """Counts of the chunks that encode_text takes texts apart into."""
 
@@ -244,16 +256,21 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     than WORD_BYTES bytes are merged with a heap, so a text without spaces takes time in
     proportion to n log n. df is read twice: its words are counted and folded in this call.
     """
-    return _encoded(df, ranks_path, pattern, text_col, digests=False)
+    ranks = read_ranks(ranks_path)
+    encoded = _encoded(df.select(*(F.col(f"`{c}`") for c in without(df, ["decoded"]))), ranks, pattern, text_col, digests=False)
+    return encoded.withColumn("decoded", decode_ids(F.col("token_ids"), ranks))
 
 
 def encode_digests(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """As encode_texts, but with n_tokens and the digests of ids and decoded bytes instead, so that neither leaves the worker."""
-    return _encoded(df, ranks_path, pattern, text_col, digests=True)
+    """As encode_texts, but with n_tokens and the digests of ids and decoded bytes instead."""
+    ranks = read_ranks(ranks_path)
+    names = ("n_tokens", "ids_sha256", "decoded_sha256")
+    encoded = _encoded(df.select(*(F.col(f"`{c}`") for c in without(df, names))), ranks, pattern, text_col, digests=True)
+    kept = [F.col(f"`{c}`") for c in without(df, [*names, "token_ids"])]
+    return encoded.select(*kept, "n_tokens", "ids_sha256", F.sha2(decode_ids(F.col("token_ids"), ranks), 256).alias("decoded_sha256"))
 
 
-def _encoded(df: DataFrame, ranks_path: str, pattern: str, text_col: str, digests: bool) -> DataFrame:
-    ranks = read_ranks(ranks_path)
+def _encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str, digests: bool) -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast((ranks, fold_vocabulary(df, ranks, pattern, text_col)))
     run = uuid.uuid4().hex
 
@@ -263,21 +280,14 @@ def _encoded(df: DataFrame, ranks_path: str, pattern: str, text_col: str, digest
             store.clear()
             store[run] = Chunks(held.value[0], pattern, held.value[1])
         chunks = store[run]
-        piece = chunks.pieces.__getitem__
 
         def kernel(texts):
-            rows = []
-            for value in texts:
-                joined = encode_text(value.as_py() or "", chunks)
-                ids = joined.split(b",") if joined else []
-                decoded = b"".join(map(piece, ids))
-                if digests:
-                    rows.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-                else:
-                    rows.append((np.array(ids, "S9").astype(np.int32) if ids else np.zeros(0, np.int32), decoded))
-            kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
-            return [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+            joined = [encode_text(value.as_py() or "", chunks) for value in texts]
+            counts = np.array([j.count(b",") + 1 if j else 0 for j in joined], np.int64)
+            flat = np.array(b",".join([j for j in joined if j]).split(b",") if counts.any() else [], "S10").astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat))
+            return [ids, pa.array(counts), pa.array([hashlib.sha256(j).hexdigest() for j in joined], pa.string())] if digests else [ids]
 
         return kernel
 
-    return with_computed(df, [text_col], "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>, decoded binary", make, "byte_bpe")
+    return with_computed(df, [text_col], "token_ids array<int>, n_tokens long, ids_sha256 string" if digests else "token_ids array<int>", make, "byte_bpe")
