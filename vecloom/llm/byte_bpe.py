@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, shared_folder, tidy, with_computed, without, worker_store
+from .common import let, remove, shared_folder, tidy, with_computed, without, worker_store
 
 #: Chunks, and words in them, that a worker remembers; beyond them it forgets all and starts anew.
 MAX_WORDS = 800_000
@@ -118,6 +118,7 @@ def fold_vocabulary(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_c
         least, room = row.k, room - row.n
     ids = fold_merges(F.col("word").cast("binary"), rank_literal(ranks))
     rows = counted.filter(F.col("k") >= least).select("word", F.array_join(ids.cast("array<string>"), ",").alias("ids")).collect()
+    remove(spark, folder)
     return {r.word: r.ids.encode() for r in rows}
 
 

@@ -118,6 +118,12 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder: its lineage ends there."""
     spark = df.sparkSession
