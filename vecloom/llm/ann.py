@@ -3,8 +3,8 @@
 Vectors become binary codes: signs of a learned rotation of their centred principal
 components, of which several rotations give CODE_BITS bits. A code is split into
 substrings, each with an index of its own. To find all codes within a Hamming radius r
-of a query, pigeonhole: of m substrings one differs in at most r // m bits, so probing
-every substring's index at that small radius retrieves them all. What is retrieved and within r
+of a query, pigeonhole: of m substrings one differs in at most r // m bits, some even in fewer, so probing
+every substring's index at its small radius retrieves them all. What is retrieved and within r
 is ranked by distance in double precision.
 
 Index shards are bounded; a task reads a shard's rows, builds its index once and lets all queries
@@ -94,17 +94,27 @@ class MultiIndex:
         self.order = [np.argsort(codes[:, j], kind="stable") for j in range(self.parts)]
         self.starts = [np.searchsorted(codes[o, j], np.arange((1 << SUB_BITS) + 1)) for j, o in enumerate(self.order)]
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose codes differ from this one in at most radius bits: all of them."""
-        masks = probe_masks(radius // self.parts)
+    def retrieved(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows that probing finds, all rows whose codes differ from this one in at most radius bits among them.
+
+        Of radius = parts * small + rest, either one of the first rest + 1 substrings differs in at most small bits, or one
+        of the others in fewer: else there would be more than radius differences."""
+        small, rest = divmod(radius, self.parts)
         seen = np.zeros(len(self.codes), bool)
         for j in range(self.parts):
-            keys = masks ^ code[j]
+            near = small if j <= rest else small - 1
+            if near < 0:
+                break
+            keys = probe_masks(near) ^ code[j]
             first, last = self.starts[j][keys], self.starts[j][keys.astype(np.int64) + 1]
             full = last > first
             for a, b in zip(first[full].tolist(), last[full].tolist()):
                 seen[self.order[j][a:b]] = True
-        found = np.flatnonzero(seen)
+        return np.flatnonzero(seen)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows whose codes differ from this one in at most radius bits: all of them."""
+        found = self.retrieved(code, radius)
         return found[bits_of(self.codes[found] ^ code) <= radius]
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import let, remove, shared_folder, tidy, with_computed, without, worker_store
 
 #: Chunks, and words in them, that a worker remembers; beyond them it forgets all and starts anew.
-MAX_WORDS = 800_000
+MAX_WORDS = 400_000
 #: Distinct chunks, and characters of chunks that are whole texts, that a worker counts before it hands them on.
 COUNTED, COUNTED_CHARS = 300_000, 10_000_000
 #: Above all ranks.
