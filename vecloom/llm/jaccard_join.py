@@ -40,7 +40,7 @@ TILE, ROWS, BLOCK = 2_048, 32, 512
 #: Words of sketches that are compared at once, about.
 WORDS = 1 << 19
 #: Nearest pairs of two components that a tile gives in the rounds before the last; those rounds.
-FEW, ROUNDS = 4, 2
+FEW, ROUNDS = 4, 1
 #: Members of one signature that a task holds; a larger group is handed on in parts.
 HELD = 2_000_000
 #: Pairs of one class that a task verifies; with more they are dealt to several.

@@ -17,8 +17,10 @@ hashes, then the 8 bytes of MAGIC.
 
 from __future__ import annotations
 
+import array
 import re
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -60,6 +62,14 @@ def pack_ids(ids: np.ndarray) -> bytes:
     return b"\x00" + ids.astype("<u2").tobytes()
 
 
+def packed(ids: list[int]) -> bytes:
+    """ids as little-endian u32."""
+    held = array.array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
 def unpack_ids(value: bytes) -> np.ndarray:
     return np.frombuffer(value, "<u4" if value[0] else "<u2", offset=1).astype("<u4")
 
@@ -222,18 +232,25 @@ class Words(dict):
     def learn(self) -> None:
         """Encodes what was missing. Words of lower-case Latin letters, composed as they are, are
         their own normal form and one pre-token: they go straight to the library's model."""
-        cores = {c: core for c in set(self.pending) if (core := c.rstrip(".,")) and core != c and core[-1].isalpha() and not FOREIGN.search(core[-1])}
-        new = set(self.pending) - cores.keys() | set(cores.values()) | {c[len(core) :] for c, core in cores.items()}
-        new -= self.keys()
+        new = set(self.pending)
         self.pending = []
-        if self.direct:
-            tokenize, chars = self.tokenizer.model.tokenize, self.byte_chars
-            for c in [c for c in new if c.isalpha() and c == c.lower() and (c.isascii() or not FOREIGN.search(c))]:
-                self[c] = np.array([t.id for t in tokenize(c if c.isascii() else c.encode().decode("latin-1").translate(chars))], "<u4").tobytes()
-                new.discard(c)
-        rest = list(new)
+        cores = {c: core for c in new if c[-1:] in (".", ",") and (core := c.rstrip(".,")) and core[-1].isalpha() and not FOREIGN.search(core[-1])}
+        if cores:
+            new.difference_update(cores)
+            new.update(cores.values(), (c[len(core) :] for c, core in cores.items()))
+            new -= self.keys()
+        rest, tokenize, chars = [], self.tokenizer.model.tokenize, self.byte_chars
+        for c in new:
+            if not (self.direct and c.isalpha()):
+                rest.append(c)
+            elif c.isascii() and c.islower():
+                self[c] = packed([t.id for t in tokenize(c)])
+            elif c == c.lower() and not FOREIGN.search(c):
+                self[c] = packed([t.id for t in tokenize(c.encode().decode("latin-1").translate(chars))])
+            else:
+                rest.append(c)
         for chunk, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self[chunk] = np.array(e.ids, "<u4").tobytes()
+            self[chunk] = packed(e.ids)
         for chunk, core in cores.items():
             self[chunk] = self[core] + self[chunk[len(core) :]]
 
@@ -255,10 +272,16 @@ class Words(dict):
         parts = [s and list(map(get, s)) for s in split]
         if self.pending:
             self.learn()
-            parts = [s and [get(w) if p is None else p for p, w in zip(found, s)] for found, s in zip(parts, split)]
+            parts = [list(map(get, s)) if p and None in p else p for p, s in zip(parts, split)]
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(p) for t, p in zip(texts, parts)]
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of df's size, or, where it has none, the bytes of its first column."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else df.agg(F.sum(F.octet_length(F.col(f"`{df.columns[0]}`")))).first()[0] or 0
+
+
 def write_shards(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, key_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Encodes each whole text, appends end_id, and writes ids to shards in ascending key order.
 
@@ -272,7 +295,7 @@ def write_shards(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, k
     with open(tokenizer_path, encoding="utf-8") as file:
         held = spark.sparkContext.broadcast(file.read())
     if not shards:
-        size = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+        size = estimated_bytes(df.select(F.col(f"`{text_col}`")))
         shards = max(1, -(-size // SHARD_BYTES), min(-(-size // LEAST_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = df.select(F.col(f"`{key_col}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
     dealt = rows.repartitionByRange(shards, "k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"), "t")
