@@ -9,8 +9,8 @@ order is number order; a row without one has the empty key, which comes first. A
 key before (1 byte), rest length (1 byte), value length (u32), rest of the key, value;
 the first entry of a block shares nothing. A value is the ids as little-endian u16, or
 as u32 where the first bit of the value's header byte is set. Blocks are compressed with
-zlib. The sparse index has a row for each block: first key (8 bytes), offset (u64), stored
-size (u32), entries (u32), ids before it in the shard (u64). The footer has, as little-
+Zstandard. The sparse index has a row for each block: first key (8 bytes), offset (u64), stored
+size, size and entries (u32 each), ids before it in the shard (u64). The footer has, as little-
 endian u64: entries, ids, index offset, blocks, filter offset, filter bits, filter
 hashes, then the 8 bytes of MAGIC.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import tidy, worker_store
 
 MAGIC = b"VLSST\x00\x00\x01"
-FOOTER, INDEX, ENTRY = "<7Q8s", "<8sQIIQ", "<BBI"
+FOOTER, INDEX, ENTRY = "<7Q8s", "<8sQIIIQ", "<BBI"
 #: A block is closed when its entries reach so many bytes.
 BLOCK_BYTES = 64 << 10
 #: Bits of the Bloom filter for each entry, and its hashes.
@@ -111,8 +111,9 @@ class Writer:
 
     def flush(self) -> None:
         if self.block:
-            stored = zlib.compress(b"".join(self.block), 1)
-            self.index.append(struct.pack(INDEX, self.first, self.offset, len(stored), self.entries, self.before))
+            raw = b"".join(self.block)
+            stored = pa.compress(raw, codec="zstd", asbytes=True)
+            self.index.append(struct.pack(INDEX, self.first, self.offset, len(stored), len(raw), self.entries, self.before))
             self.put(stored)
             self.block, self.size, self.entries, self.before = [], 0, 0, self.ids
 
@@ -147,7 +148,7 @@ class Reader:
         return self.source.read(size)
 
     def block(self, row: tuple) -> Iterator[tuple[int | None, np.ndarray]]:
-        data, at, key = zlib.decompress(self.part(row[1], row[2])), 0, b""
+        data, at, key = pa.decompress(self.part(row[1], row[2]), decompressed_size=row[3], codec="zstd", asbytes=True), 0, b""
         while at < len(data):
             shared, rest, size = struct.unpack_from(ENTRY, data, at)
             at += struct.calcsize(ENTRY)
@@ -210,7 +211,6 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.pending: list[str] = []
         vocabulary = self.tokenizer.get_vocab()
         #: Characters that byte-level pre-tokenisation gives bytes: printable ones stand for themselves, the others follow 255 in order.
         self.byte_chars = {}
@@ -226,14 +226,9 @@ class Words(dict):
     def model_ids(self, word: str) -> list:
         return self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_chars))
 
-    def __missing__(self, chunk: str) -> None:
-        self.pending.append(chunk)
-
-    def learn(self) -> None:
-        """Encodes what was missing. Words of lower-case Latin letters, composed as they are, are
+    def learn(self, new: set[str]) -> None:
+        """Encodes chunks that are new. Words of lower-case Latin letters, composed as they are, are
         their own normal form and one pre-token: they go straight to the library's model."""
-        new = set(self.pending)
-        self.pending = []
         cores = {c: core for c in new if c[-1:] in (".", ",") and (core := c.rstrip(".,")) and core[-1].isalpha() and not FOREIGN.search(core[-1])}
         if cores:
             new.difference_update(cores)
@@ -268,11 +263,15 @@ class Words(dict):
         if len(self) > MAX_WORDS:
             self.clear()
         split = [None if any(s in t for s in self.special) else lowered(t).replace("\n", " ").split(" ") for t in texts]
-        get = self.__getitem__
+        get = self.get
         parts = [s and list(map(get, s)) for s in split]
-        if self.pending:
-            self.learn()
-            parts = [list(map(get, s)) if p and None in p else p for p, s in zip(parts, split)]
+        gaps = [[i for i, ids in enumerate(p) if ids is None] if p else () for p in parts]
+        new = {s[i] for s, missing in zip(split, gaps) for i in missing}
+        if new:
+            self.learn(new)
+            for p, s, missing in zip(parts, split, gaps):
+                for i in missing:
+                    p[i] = self[s[i]]
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(p) for t, p in zip(texts, parts)]
 
 
