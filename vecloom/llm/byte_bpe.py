@@ -117,9 +117,11 @@ def fold_vocabulary(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_c
             break
         least, room = row.k, room - row.n
     ids = fold_merges(F.col("word").cast("binary"), rank_literal(ranks))
-    rows = counted.filter(F.col("k") >= least).select("word", F.array_join(ids.cast("array<string>"), ",").alias("ids")).collect()
+    folded = counted.filter(F.col("k") >= least).select("word", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+    # By the plan's own rows: a SQL execution would print the plan, with the literal's megabytes, into each of its events on the driver.
+    rows = folded.rdd.map(tuple).collect()
     remove(spark, folder)
-    return {r.word: r.ids.encode() for r in rows}
+    return {word: ids.encode() for word, ids in rows}
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
