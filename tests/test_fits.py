@@ -139,3 +139,12 @@ def test_fills(spark):
         assert r.u == float(np.float32(-2.0 + (plain(9 ^ r.id) >> 11) / 2.0**53 * 5.0))
     assert max(abs(r.e) for r in rows) > 1e3 and min(abs(r.e) for r in rows) < 1e-3
     assert abs(np.mean([r.n for r in rows])) < 0.2 and 0.85 < np.std([r.n for r in rows]) < 1.15
+
+
+def test_values_that_are_not_finite(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = spark.createDataFrame([(0, [1.0, -3.0, inf]), (1, [nan, -inf]), (2, []), (3, [0.0])], "i int, x array<double>")
+    got = {r.i: (r.m, r.s, r.e) for r in rows.select("i", V.max_abs(F.col("x")).alias("m"), N.autoscale(V.max_abs(F.col("x"))).alias("s"), M.row_exponent(F.col("x")).alias("e")).collect()}
+    assert got == {0: (3.0, 1024.0, 2), 1: (None, 1.0, None), 2: (None, 1.0, None), 3: (0.0, 1.0, None)}
+    words = spark.createDataFrame([(65520.0,), (-inf,), (1e-9,), (1.0,)], "v double").select("v", N.words_of(F.col("v"), 2, N.fp16).alias("w"), N.word_class(N.fp16(F.col("v")), F.col("v") - N.fp16(F.col("v"))).alias("c")).collect()
+    assert [r.c for r in words] == ["overflow", "overflow", "subnormal", "ok"]

@@ -51,5 +51,10 @@ def speedups(results: DataFrame, shape: list[str], method: str, cost: str, basel
     return results.filter(F.col(method) != baseline).join(base, shape).select(*shape, method, (F.col("base") / F.col(cost)).alias("speedup"))
 
 
+def least_of_repeats(results: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Of each configuration's repeats, which may be interleaved with others', the least value, and their number."""
+    return results.groupBy(*keys).agg(F.min(value).alias("least"), F.count("*").alias("repeats"))
+
+
 def upsert(manifest: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return manifest.join(rows, key, "left_anti").unionByName(rows).orderBy(key)

@@ -210,7 +210,13 @@ def contingency(spark, d):
     return C.contingency(C.assign(*both(spark, d)).select("id", F.col("cid").alias("la")), truth)
 
 
-@query()
+_GREEDY = f"""WITH RECURSIVE {PTS}, {CEN}, {PAIR}, {NEAR}, cells AS (SELECT la, lb, n, row_number() OVER (ORDER BY n DESC, la, lb) AS at FROM (SELECT cid AS la, label AS lb, count(*) AS n FROM near JOIN embeddings ON vec_id = id GROUP BY ALL)),
+walk AS (SELECT 0::BIGINT AS at, []::INTEGER[] AS used_a, []::INTEGER[] AS used_b, 0::BIGINT AS matched
+UNION ALL SELECT c.at, CASE WHEN hit THEN list_append(used_a, la) ELSE used_a END, CASE WHEN hit THEN list_append(used_b, lb) ELSE used_b END, matched + CASE WHEN hit THEN n ELSE 0 END
+FROM (SELECT w.*, c.la, c.lb, c.n, c.at AS next_at, NOT list_contains(w.used_a, c.la) AND NOT list_contains(w.used_b, c.lb) AS hit FROM walk w JOIN cells c ON c.at = w.at + 1) q JOIN cells c ON c.at = q.next_at)"""
+
+
+@query(f"{_GREEDY.replace('CASE WHEN hit THEN list_append(used_a, la)', 'CASE WHEN hit THEN list_append(used_a, q.la)').replace('list_append(used_b, lb)', 'list_append(used_b, q.lb)').replace('THEN n ELSE 0', 'THEN q.n ELSE 0')} SELECT max(matched) / (SELECT count(*) FROM near)::DOUBLE AS agreement FROM walk")
 def label_agreement(spark, d):
     return spark.createDataFrame([(C.agreement(contingency(spark, d)),)], "agreement double")
 
@@ -494,6 +500,44 @@ def gemm_ozaki_zero_rows(spark, d):
     return shown(M.folded(M.slice_products(M.sliced(a, COUNT, BITS), F.broadcast(M.sliced(b, COUNT, BITS)), COUNT), BITS))
 
 
+def _norms_sql(products: str, values: str) -> str:
+    """Errors of values (i, j, terms, v) that products make, against the exact product."""
+    return f"({products}, full_ AS ({PRODUCT}), pre AS ({values}) SELECT terms::INTEGER AS terms, round(sqrt(sum((p.v - f.v) ** 2) / sum(f.v * f.v)), 8) + 0.0 AS rel_frob, round(max(abs(p.v - f.v)) / max(abs(f.v)), 8) + 0.0 AS rel_max FROM pre p JOIN full_ f USING (i, j) GROUP BY terms)"
+
+
+def _some_terms(counts: list[int], unscale: str = "1") -> str:
+    return f"SELECT i, j, terms, sum(v) * {unscale} AS v FROM prod, (SELECT unnest({counts}) AS terms) WHERE pos < terms GROUP BY ALL"
+
+
+_ERRORS = " UNION ALL ".join(
+    f"SELECT '{name}' AS scheme, * FROM {norms}"
+    for name, norms in (
+        ("bf16", _norms_sql(_BF16, _some_terms([1, 3, 6, 9]))),
+        ("fp16", _norms_sql(f"WITH {AB}, {_planes_sql(fp16_sql, 2, '1024.0')}", _some_terms([1, 3], "(1 / 1048576.0)"))),
+        ("slices", _norms_sql(f"WITH {AB}, {_SLICES}", f"SELECT i, j, terms, sum(v * w * pow(2.0, sa.e + sb.e - (sa.p + sb.p + 2) * {BITS})) AS v FROM sa JOIN sb USING (l), (SELECT unnest([2, 3, 4]) AS terms) WHERE sa.p + sb.p < terms GROUP BY i, j, terms")),
+    )
+)
+
+
+@query(_ERRORS)
+def error_table(spark, d):
+    """Errors of all schemes by the terms, or slices, that they take, against pairs of doubles."""
+    a, b = sides(spark, d)
+    x = F.col("x")
+    exact = M.each_pair(a, b, lambda t: F.struct(V.double_double_dot(x, t["y"])["hi"].alias("v")))
+    halves = M.worded(a, "x", 2, N.fp16, 1024.0), M.worded(b, "y", 2, N.fp16, 1024.0)
+    bins = M.slice_rows(*sliced_sides((a, b)), COUNT)
+    out = None
+    for scheme, found in (
+        ("bf16", M.prefix_rows(*bf16_sides(spark, d), 3, [1, 3, 6, 9])),
+        ("fp16", M.prefix_rows(*halves, 2, [1, 3], 1 / 1048576.0)),
+        *(("slices", M.folded(bins.filter(F.col("bin") < n), BITS).withColumn("terms", F.lit(n))) for n in (2, 3, 4)),
+    ):
+        one = M.error_norms(found, exact, "terms").select(F.lit(scheme).alias("scheme"), "terms", (r("rel_frob", 8) + F.lit(0.0)).alias("rel_frob"), (r("rel_max", 8) + F.lit(0.0)).alias("rel_max"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT (row_number() OVER (ORDER BY i + j, i) - 1)::INTEGER AS pos, i::INTEGER AS i, j::INTEGER AS j FROM range(3) a(i), range(3) b(j)")
 def term_schedule(spark, d):
     return spark.createDataFrame([(n, p, q) for n, (p, q) in enumerate(N.terms(3))], "pos int, i int, j int")
@@ -870,6 +914,17 @@ def blob_points(spark, d):
     return S.blobs(spark, 2000, 8, 4)
 
 
+@query("SELECT i AS id, (i * 4 // 2000)::INTEGER AS label, 8 AS width, true AS near FROM range(2000) t(i)")
+def blob_labels(spark, d):
+    """Points' blobs, and whether all lie as far from a centre in the box as normal values do."""
+    return S.blobs(spark, 2000, 8, 4).select("id", "label", F.size("x").alias("width"), (V.max_abs(F.col("x")) < 10.0 + 6.5).alias("near"))
+
+
+@query("SELECT l_suppkey, l_returnflag, min(l_extendedprice) AS least, count(*) AS repeats FROM lineitem GROUP BY ALL")
+def least_of_repeats(spark, d):
+    return R.least_of_repeats(table(spark, d, "lineitem"), ["l_suppkey", "l_returnflag"], "l_extendedprice")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
