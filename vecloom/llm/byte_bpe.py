@@ -33,7 +33,7 @@ COUNTED, COUNTED_CHARS = 300_000, 10_000_000
 NEVER = 1 << 60
 #: Words that are folded and broadcast: the most frequent ones of at most so many bytes. With ids of up to 6 digits that is at most 50 MB.
 VOCABULARY, WORD_BYTES = 200_000, 32
-#: Slots of the literal rank map: a literal map is searched from its beginning, so each slot is a map of its own, with about one piece.
+#: Slots of the literal rank map: a literal map is searched from its beginning, so it is an array of slots, each with about one piece.
 SLOTS = 1 << 16
 
 
@@ -43,11 +43,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as array<map<string, int>>: a piece is in the slot that its CRC names, under its hexadecimal digits. The optimizer folds it to a literal."""
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+    """The ranks as array<string>: a piece is in the slot that its CRC names, as ;digits=rank; with hexadecimal digits.
+    A split literal, which the optimizer folds to one; strings are a fifth of what maps would take in a task's code."""
+    slots: list[list[str]] = [[] for _ in range(SLOTS)]
     for piece, rank in ranks.items():
-        slots[zlib.crc32(piece) % SLOTS][piece.hex().upper()] = rank
-    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
+        slots[zlib.crc32(piece) % SLOTS].append(f"{piece.hex().upper()}={rank}")
+    return F.split(F.lit("|".join(f";{';'.join(slot)};" if slot else "" for slot in slots)), r"\|")
 
 
 def fold_merges(word: Column, ranks: Column) -> Column:
@@ -56,8 +57,11 @@ def fold_merges(word: Column, ranks: Column) -> Column:
 
 
 def _folded(word: Column, slots: Column) -> Column:
+    def rank_in(slot: Column, mark: Column) -> Column:
+        return F.when(F.instr(slot, mark) > 0, F.substring_index(F.call_function("substring_index", slot, mark, F.lit(-1)), ";", 1).cast("int"))
+
     def ranks_of(pieces: Column) -> Column:
-        return F.transform(pieces, lambda p: F.element_at(F.element_at(slots, (F.crc32(p) % SLOTS + 1).cast("int")), F.hex(p)))
+        return F.transform(pieces, lambda p: let(F.element_at(slots, (F.crc32(p) % SLOTS + 1).cast("int")), lambda slot: F.when(slot != "", let(F.concat(F.lit(";"), F.hex(p), F.lit("=")), lambda mark: rank_in(slot, mark)))))
 
     def merge_at(pieces: Column, pairs: Column, at: Column) -> Column:
         return F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(F.element_at(pairs, at)), F.slice(pieces, at + 2, F.size(pieces)))
