@@ -9,10 +9,11 @@ either way.
 
 from __future__ import annotations
 
+import array
 import base64
-import hashlib
 import heapq
 import json
+import sys
 import uuid
 import zlib
 from collections import Counter
@@ -165,8 +166,16 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
+def packed(ids: list[int]) -> bytes:
+    """ids as little-endian 32-bit integers."""
+    held = array.array("i", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
 class Chunks(dict):
-    """Comma-joined decimal ids of chunks: a space and what follows it up to the next space."""
+    """Packed ids of chunks: a space and what follows it up to the next space."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, folded: dict[str, bytes] | None = None):
         import regex
@@ -176,7 +185,7 @@ class Chunks(dict):
 
     def word(self, word: str) -> bytes:
         if (ids := self.folded.get(word) or self.words.get(word)) is None:
-            ids = b",".join([b"%d" % i for i in merge_word(word.encode(), self.ranks)])
+            ids = packed(merge_word(word.encode(), self.ranks))
             if len(word) < 256:
                 if len(self.words) > MAX_WORDS:
                     self.words.clear()
@@ -184,7 +193,7 @@ class Chunks(dict):
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = b",".join([self.word(w) for w in self.find(chunk)])
+        ids = b"".join([self.word(w) for w in self.find(chunk)])
         if len(chunk) < 256:
             if len(self) > MAX_WORDS:
                 self.clear()
@@ -205,7 +214,7 @@ def encode_text(text: str, chunks: Chunks) -> bytes:
     ids = [chunks[" " + c] for c in rest]
     if first:
         ids.insert(0, chunks[first])
-    return b",".join(ids)
+    return b"".join(ids)
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
@@ -264,7 +273,7 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     proportion to n log n. df is read twice: its words are counted and folded in this call.
     """
     ranks = read_ranks(ranks_path)
-    encoded = _encoded(df.select(*(F.col(f"`{c}`") for c in without(df, ["decoded"]))), ranks, pattern, text_col, digests=False)
+    encoded = _encoded(df.select(*(F.col(f"`{c}`") for c in without(df, ["decoded"]))), ranks, pattern, text_col)
     return encoded.withColumn("decoded", decode_ids(F.col("token_ids"), ranks))
 
 
@@ -272,13 +281,16 @@ def encode_digests(df: DataFrame, ranks_path: str, pattern: str, text_col: str =
     """As encode_texts, but with n_tokens and the digests of ids and decoded bytes instead."""
     ranks = read_ranks(ranks_path)
     names = ("n_tokens", "ids_sha256", "decoded_sha256")
-    encoded = _encoded(df.select(*(F.col(f"`{c}`") for c in without(df, names))), ranks, pattern, text_col, digests=True)
+    encoded = _encoded(df.select(*(F.col(f"`{c}`") for c in without(df, names))), ranks, pattern, text_col)
     kept = [F.col(f"`{c}`") for c in without(df, [*names, "token_ids"])]
-    return encoded.select(*kept, "n_tokens", "ids_sha256", F.sha2(decode_ids(F.col("token_ids"), ranks), 256).alias("decoded_sha256"))
+    ids = F.col("token_ids")
+    written = F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)
+    return encoded.select(*kept, F.size(ids).cast("long").alias("n_tokens"), written.alias("ids_sha256"), F.sha2(decode_ids(ids, ranks), 256).alias("decoded_sha256"))
 
 
-def _encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str, digests: bool) -> DataFrame:
-    held = df.sparkSession.sparkContext.broadcast((ranks, fold_vocabulary(df, ranks, pattern, text_col)))
+def _encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str) -> DataFrame:
+    folded = {word: packed(list(map(int, ids.split(b",")))) for word, ids in fold_vocabulary(df, ranks, pattern, text_col).items()}
+    held = df.sparkSession.sparkContext.broadcast((ranks, folded))
     run = uuid.uuid4().hex
 
     def make():
@@ -290,11 +302,9 @@ def _encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
 
         def kernel(texts):
             joined = [encode_text(value.as_py() or "", chunks) for value in texts]
-            counts = np.array([j.count(b",") + 1 if j else 0 for j in joined], np.int64)
-            flat = np.array(b",".join([j for j in joined if j]).split(b",") if counts.any() else [], "S10").astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat))
-            return [ids, pa.array(counts), pa.array([hashlib.sha256(j).hexdigest() for j in joined], pa.string())] if digests else [ids]
+            ends = np.cumsum([0, *map(len, joined)]) // 4
+            return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(joined), "<i4").astype(np.int32, copy=False)))]
 
         return kernel
 
-    return with_computed(df, [text_col], "token_ids array<int>, n_tokens long, ids_sha256 string" if digests else "token_ids array<int>", make, "byte_bpe")
+    return with_computed(df, [text_col], "token_ids array<int>", make, "byte_bpe")

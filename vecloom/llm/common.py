@@ -71,8 +71,13 @@ def tidy(run: Callable, name: str = "") -> Callable:
     return tidied
 
 
-def with_computed(df: DataFrame, inputs: list[str], outputs: str, make_kernel: Callable[[], Callable], name: str = "") -> DataFrame:
-    """df with added columns that an Arrow kernel computes from the inputs.
+def column(of: str | Column) -> Column:
+    """A column by its name, whatever characters that has, or as it is."""
+    return of if isinstance(of, Column) else F.col(f"`{of}`")
+
+
+def with_computed(df: DataFrame, inputs: list[str | Column], outputs: str, make_kernel: Callable[[], Callable], name: str = "") -> DataFrame:
+    """df with added columns that an Arrow kernel computes from the inputs (names or columns).
 
     make_kernel() runs once a task and returns a function from one Arrow array per
     input to one per output field. Columns of df that clash with an output's name
@@ -97,7 +102,7 @@ def with_computed(df: DataFrame, inputs: list[str], outputs: str, make_kernel: C
     while out in (c.lower() for c in df.columns):
         out += "_"
     udf = F.arrow_udf(tidy(computed, name), added).asNondeterministic()
-    return df.withColumn(out, udf(*(F.col(f"`{c}`") for c in inputs))).select(*(F.col(f"`{c}`") for c in keep), *(F.col(out)[c].alias(c) for c in names))
+    return df.withColumn(out, udf(*map(column, inputs))).select(*(F.col(f"`{c}`") for c in keep), *(F.col(out)[c].alias(c) for c in names))
 
 
 def shared_folder(spark: SparkSession) -> str:

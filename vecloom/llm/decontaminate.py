@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, without
+from .common import ascii_lower, column, let, without
 
 #: Words in a window; an item of fewer has one window of all its words.
 WINDOW = 10
@@ -64,7 +64,7 @@ def _spans_covered(spans: Column) -> Column:
     return F.aggregate(spans, start, add, lambda acc: acc["n"])
 
 
-def find_contamination(df: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literal_windows: int = LITERAL_WINDOWS, unnamed: bool = False) -> DataFrame:
+def find_contamination(df: DataFrame, items: DataFrame, text_col: str | Column = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, literal_windows: int = LITERAL_WINDOWS, unnamed: bool = False) -> DataFrame:
     """df with n_words, n_hit (words inside any occurrence of a window), n_items, item_ids
     (string ids of items with occurring windows, sorted), hit_spans (array of struct at
     (word number from 1), length) and contaminated (n_hit > 0).
@@ -77,7 +77,7 @@ def find_contamination(df: DataFrame, items: DataFrame, text_col: str = "text",
     """
     held = windows_of(items, item_id_col, item_text_col, window, unnamed)
     sizes = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("gram") + F.size("ids") * 20), F.lit(0)).alias("chars"), F.array_sort(F.collect_set("length")).alias("lengths")).first()
-    base = df.select(*(F.col(f"`{c}`") for c in without(df, OUTPUTS)), once(words_of(F.col(f"`{text_col}`"))).alias("__found_w"))
+    base = df.select(*(F.col(f"`{c}`") for c in without(df, OUTPUTS)), once(words_of(column(text_col))).alias("__found_w"))
     if sizes.n <= literal_windows and sizes.chars <= LITERAL_CHARS:
         found = _by_literal(base, held, sizes)
     else:

@@ -255,7 +255,7 @@ def sample_languages(df: DataFrame, trained: Column, text_col: str = "text", lan
     return {lang: " ".join(parts) for lang, parts in texts.items()}
 
 
-def identify(df: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
+def identify(df: DataFrame, samples: dict[str, str], text_col: str | Column = "text") -> DataFrame:
     """df with lang_pred, score (0 to 1; 1: no other language comes near) and phrase_rate (phrases for each symbol).
 
     Text that is null, empty or without a letter: `und`, score 0, rate 1. Ties go to the

@@ -152,7 +152,7 @@ def train(df: DataFrame, labels: DataFrame, trained: Column, text_col: str = "te
     return network.fit([r.t for r in found], y, np.array([share[int(k)] for k in y]))
 
 
-def score_quality(df: DataFrame, network: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score_quality(df: DataFrame, network: Network, text_col: str | Column = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with score (0 to 1; higher: label 1 is likelier) and predicted (1 from the threshold on).
 
     Null counts as the empty text; that has a score too. Every byte of a text counts, however long it
