@@ -18,6 +18,11 @@ from vecloom.llm.queries import remainder
 MIN_CHARS, MAX_PHRASE_RATE = 20, 0.5
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as one column, row, beside which no operator's columns can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier gives label 0.
 
@@ -25,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     text. Every row is judged by its own text, so rows that share a doc_id, or have none, go or stay each for itself, and repeated rows alike.
     An empty table stays empty; without labels of both kinds nothing is learned and the share of label 1 decides for all."""
     network = quality.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
-    found = quality.score_quality(docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), network)
+    found = quality.score_quality(packed(docs), network, F.col("row.text"))
     return found.filter("predicted = 1").select("row.*")
 
 
@@ -36,8 +41,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     whole text; rows that share a doc_id or have none are kept or dropped each for itself. An empty table stays empty; with no
     labelled text at all no language is known, and every document is dropped."""
     samples = language_id.sample_languages(docs, remainder("doc_id", 3) != 1)
-    found = language_id.identify(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), samples)
-    strange = (F.length("text") >= MIN_CHARS) & (F.col("phrase_rate") > MAX_PHRASE_RATE)
+    found = language_id.identify(packed(docs), samples, F.col("row.text"))
+    strange = (F.length("row.text") >= MIN_CHARS) & (F.col("phrase_rate") > MAX_PHRASE_RATE)
     return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & ~strange).select("row.*")
 
 
@@ -54,7 +59,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Null and empty texts hold none and stay, as do repeated rows and rows without a doc_id that hold none. An empty table, or an empty
     benchmark, drops nothing."""
-    found = decontaminate.find_contamination(docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), table(spark, sf_dir, "benchmark"), unnamed=True)
+    found = decontaminate.find_contamination(packed(docs), table(spark, sf_dir, "benchmark"), F.col("row.text"), unnamed=True)
     return decontaminate.remove_contamination(found).select("row.*")
 
 
