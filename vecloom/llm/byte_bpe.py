@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import let, remove, shared_folder, tidy, with_computed, without, worker_store
 
 #: Chunks, and words in them, that a worker remembers; beyond them it forgets all and starts anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
 #: Distinct chunks, and characters of chunks that are whole texts, that a worker counts before it hands them on.
 COUNTED, COUNTED_CHARS = 300_000, 10_000_000
 #: Above all ranks.
@@ -193,7 +193,11 @@ class Chunks(dict):
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = b"".join([self.word(w) for w in self.find(chunk)])
+        found = self.find(chunk)
+        if len(found) == 1:  # the chunk is a word, and remembered as a chunk
+            ids = self.folded.get(chunk) or self.words.get(chunk) or packed(merge_word(chunk.encode(), self.ranks))
+        else:
+            ids = b"".join([self.word(w) for w in found])
         if len(chunk) < 256:
             if len(self) > MAX_WORDS:
                 self.clear()
