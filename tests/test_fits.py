@@ -148,3 +148,12 @@ def test_values_that_are_not_finite(spark):
     assert got == {0: (3.0, 1024.0, 2), 1: (None, 1.0, None), 2: (None, 1.0, None), 3: (0.0, 1.0, None)}
     words = spark.createDataFrame([(65520.0,), (-inf,), (1e-9,), (1.0,)], "v double").select("v", N.words_of(F.col("v"), 2, N.fp16).alias("w"), N.word_class(N.fp16(F.col("v")), F.col("v") - N.fp16(F.col("v"))).alias("c")).collect()
     assert [r.c for r in words] == ["overflow", "overflow", "subnormal", "ok"]
+
+
+def test_a_subsample_is_the_same_by_either_way(spark, monkeypatch):
+    points = spark.range(3000).select("id", F.array(F.col("id").cast("double")).alias("x"))
+    for m in (0, 1, 700, 2999, 3000, 5000):
+        monkeypatch.setattr(C, "SORTED", 100_000)
+        want = [r.id for r in C.subsample(points, m).collect()]
+        monkeypatch.setattr(C, "SORTED", -1)
+        assert [r.id for r in C.subsample(points, m).collect()] == want and len(want) == min(m, 3000)

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from vecloom.functions import vectors as V
 
 #: Values of all centroids that one constant may hold; with more they are dealt in blocks of so many.
 BLOCK_VALUES = 1_000_000
+#: Rows that a sort with a limit gathers in one place.
+SORTED = 100_000
 
 
 @dataclass(frozen=True)
@@ -69,8 +72,25 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def subsample(points: DataFrame, m: int) -> DataFrame:
-    """Exactly m rows (all, if fewer): those of least md5 of their id, by id."""
-    return points.orderBy(F.md5(F.col("id").cast("string")), "id").limit(m).orderBy("id")
+    """Exactly m rows (all, if fewer): those of least md5 of their id, by id.
+
+    Up to SORTED rows by one sort with a limit. More by two passes: rows are counted by the first 16 bits of the hash, whole counts
+    are taken as they are, and only rows of the count that m falls into are sorted."""
+    rank = F.md5(F.col("id").cast("string"))
+    if m <= SORTED:
+        return points.orderBy(rank, "id").limit(m).orderBy("id")
+    bits = F.conv(F.substring(rank, 1, 4), 16, 10).cast("int")
+    counts = {r.b: r.n for r in points.groupBy(bits.alias("b")).agg(F.count("*").alias("n")).collect()}  # at most 65,536 rows
+    taken, edge = 0, -1
+    for b in sorted(counts):
+        if taken + counts[b] > m:
+            edge = b
+            break
+        taken += counts[b]
+    if edge < 0:
+        return points.orderBy("id")
+    last = points.filter(bits == edge).orderBy(rank, "id").limit(m - taken)
+    return points.filter(bits < edge).unionByName(last).orderBy("id")
 
 
 def with_centroids(points: DataFrame, centroids: DataFrame, *extra: Column) -> DataFrame:
@@ -171,6 +191,9 @@ def fit(points: DataFrame, centroids: DataFrame, params: Params, step: Callable[
     stay. An iteration is one pass over the points: sums and counters are taken in the same job. Only the k
     centroids come to the driver, so no iteration's plan holds the one before."""
     spark = points.sparkSession
+    again = params.max_iter > 1 and not points.is_cached
+    if again:  # read once; what doesn't fit in memory is on the executors' disks, and lost parts are read again
+        points = points.select("id", "x").persist(StorageLevel.MEMORY_AND_DISK)
     work = dict.fromkeys(counters, 0)
     held = {r.cid: np.array(r.c) for r in centroids.select("cid", "c").collect()}
     for done in range(1, params.max_iter + 1):
@@ -186,6 +209,8 @@ def fit(points: DataFrame, centroids: DataFrame, params: Params, step: Callable[
         centroids = spark.createDataFrame([(cid, c.tolist()) for cid, c in sorted(held.items())], "cid int, c array<double>")
         if params.tol > 0 and moved2 < params.tol**2:
             break
+    if again:
+        points.unpersist()
     return Fit(assigned, centroids, done, work)
 
 

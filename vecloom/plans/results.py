@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import numerics as N
+from vecloom.functions import vectors as V
 from vecloom.operators import clustering as C
 from vecloom.operators import exclusion as E
 from vecloom.sources.vectors import uri
@@ -58,18 +59,27 @@ def compare_fits(a: C.Fit, b: C.Fit) -> dict[str, float]:
 
 def attribution(points: DataFrame, centroids: DataFrame, d: int) -> DataFrame:
     """One row: candidates tested, excluded by each test, by both, by either, and nearest centroids among what is excluded (0, or a bound is wrong)."""
-    rows = E.survivors(points, centroids, d, N.epsilon(d)).select("id", F.col("best.j").alias("j"), (F.size("ts") - 1).alias("n"), *(F.transform(s, lambda t: t["j"]).alias(s) for s in ("s3", "s6", "s36")))
-    truth = C.assign(points, centroids).select("id", F.col("cid").alias("nearest"))
+    cs = E.constants(points, centroids)
+    rows = E.survivors(points, centroids, d, N.epsilon(d))
+    nearest = F.array_min(F.transform(cs, lambda s, j: F.struct((s["n2"] - 2 * V.dot(F.col("x"), s["c"])).alias("dist"), j.alias("j"))))["j"]
+    rows = rows.select(F.col("best.j").alias("j"), (F.size("ts") - 1).alias("n"), nearest.alias("nearest"), *(F.transform(s, lambda t: t["j"]).alias(s) for s in ("s3", "s6", "s36")))
     lost = (F.col("nearest") != F.col("j")) & ~F.array_contains("s36", F.col("nearest"))
     n3, n6, n36 = (F.col("n") - F.size(s) for s in ("s3", "s6", "s36"))
-    return rows.join(truth, "id").agg(F.sum("n").alias("tested"), F.sum(n3).alias("by3"), F.sum(n6).alias("by6"), F.sum(n3 + n6 - n36).alias("both"), F.sum(n36).alias("either"), F.count_if(lost).alias("violations"))
+    return rows.agg(F.sum("n").alias("tested"), F.sum(n3).alias("by3"), F.sum(n6).alias("by6"), F.sum(n3 + n6 - n36).alias("both"), F.sum(n36).alias("either"), F.count_if(lost).alias("violations"))
 
 
 def excess(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     """One row: rows whose label isn't the nearest centroid's, and by how much their scores exceed it in all. assigned: id, x, cid of all points."""
-    near = C.assign(assigned.select("id", "x"), centroids).select("id", F.col("cid").alias("best"), F.col("dist").alias("least"))
-    own = assigned.select("id", "x", "cid").join(F.broadcast(centroids), "cid").select("id", "cid", (C.V.norm2(F.col("c")) - 2 * C.V.dot(F.col("x"), F.col("c"))).alias("own"))
-    return own.join(near, "id").agg(F.count_if(F.col("cid") != F.col("best")).alias("label_diff"), F.sum(F.when(F.col("cid") != F.col("best"), F.col("own") - F.col("least")).otherwise(0.0)).alias("excess"))
+    cs = E.constants(assigned, centroids)
+
+    def score(s):
+        return s["n2"] - 2 * V.dot(F.col("x"), s["c"])
+
+    best = F.array_min(F.transform(cs, lambda s: F.struct(score(s).alias("dist"), s["cid"].alias("cid"))))
+    own = F.array_min(F.transform(F.filter(cs, lambda s: s["cid"] == F.col("cid")), score))
+    rows = assigned.select("cid", best.alias("best"), own.alias("own"))
+    wrong = F.col("cid") != F.col("best.cid")
+    return rows.agg(F.count_if(wrong).alias("label_diff"), F.sum(F.when(wrong, F.col("own") - F.col("best.dist")).otherwise(0.0)).alias("excess"))
 
 
 def result_row(points: DataFrame, centroids: DataFrame, scheme: str, params: C.Params, about: dict) -> dict:

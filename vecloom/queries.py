@@ -608,10 +608,7 @@ def excl_attribution(spark, d):
 
 @query(f"{_BOUND} SELECT count(*) AS violations FROM tests JOIN truth USING (id, cid) WHERE x3 OR x6")
 def excl_violations(spark, d):
-    p, c = shifted(spark, d)
-    rows = E.survivors(p, c, D, N.epsilon(D)).select("id", F.col("cid").alias("b"), F.transform("s36", lambda t: t["j"]).alias("left"))  # a centroid's number is its place
-    truth = C.assign(p, c).select("id", "cid")
-    return rows.join(truth, "id").agg(F.count_if((F.col("cid") != F.col("b")) & ~F.array_contains("left", F.col("cid"))).alias("violations"))
+    return P.attribution(*shifted(spark, d), D).select("violations")
 
 
 _RT = f"""WITH {PTS}, {CEN}, hp AS (SELECT id, x, {dot("x", "x")} AS xn, list_transform(x, lambda v: {fp16_sql("v")}) AS h FROM pts), hc AS (SELECT cid, c, {dot("c", "c")} AS cn, list_transform(c, lambda v: {fp16_sql("v")}) AS ch FROM cen),
