@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from vecloom.functions.numerics import let
+
 #: Dense values, 4 bytes each, beyond which sparse text is refused: 60 GB.
 DENSE_VALUES = 15_000_000_000
 #: Rows of a raw file that one task reads, and of one batch.
@@ -29,7 +31,7 @@ def parse_libsvm(lines: DataFrame, dimension: int | None = None, most: int = DEN
     clean = lines.select("id", F.trim(F.regexp_replace("value", r"#.*$", "")).alias("t")).filter("t <> ''")
     label = F.regexp_extract("t", r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?", 0)
     tokens = F.filter(F.split("t", r"\s+"), lambda s: s.rlike(r"^[0-9]+:[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"))
-    pairs = F.transform(tokens, lambda s: F.struct(F.split(s, ":")[0].cast("int").alias("k"), F.split(s, ":")[1].cast("double").alias("v")))
+    pairs = F.transform(tokens, lambda s: F.struct(F.substring_index(s, ":", 1).cast("int").alias("k"), F.substring_index(s, ":", -1).cast("double").alias("v")))
     rows = clean.select("id", label.try_cast("double").alias("label"), F.filter(pairs, lambda p: p["k"] > 0).alias("pairs"))
     if dimension is None:
         found = rows.agg(F.max(F.array_max(F.transform("pairs", lambda p: p["k"]))).alias("d"), F.count("*").alias("n")).first()
@@ -39,7 +41,12 @@ def parse_libsvm(lines: DataFrame, dimension: int | None = None, most: int = DEN
     if not dimension:
         return rows.select("id", "label", F.array().cast("array<double>").alias("x"))
     ordered = F.array_sort(F.transform("pairs", lambda p, i: F.struct(p["k"].alias("k"), (-i).alias("at"), p["v"].alias("v"))))  # of equal indices the last comes first
-    kept = F.filter(F.transform(ordered, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), F.when(i > 0, F.try_element_at(ordered, i)["k"]).alias("before"))), lambda p: p["before"].isNull() | (p["before"] != p["k"]))
+
+    def lasts(sorted_):
+        marked = F.transform(sorted_, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), F.when(i > 0, F.try_element_at(sorted_, i)["k"]).alias("before")))
+        return F.filter(marked, lambda p: p["before"].isNull() | (p["before"] != p["k"]))
+
+    kept = let(ordered, lasts)
 
     def add(acc, p):
         gap = F.array_repeat(F.lit(0.0), p["k"] - 1 - F.size(acc))
