@@ -54,6 +54,26 @@ def test_theta_and_macs_are_heeded(spark, blobs):
     assert len(one) == 400
 
 
+@pytest.mark.parametrize("macs", [1, 2, 3])
+def test_multiword_labels_are_exact_where_words_cannot_tell(spark, macs):
+    """Points 1e-9 to either side of the plane between two centroids; a label that is wrong would move both in the next iteration."""
+    rng = np.random.default_rng(6)
+    c = rng.uniform(0.2, 1.0, size=(2, 6))
+    across = c[1] - c[0]
+    off = rng.uniform(-0.1, 0.1, size=(40, 6))
+    off -= np.outer(off @ across / (across @ across), across)
+    x = c.mean(axis=0) + off + np.outer(np.where(np.arange(40) % 2, 1e-9, -1e-9), across)
+    points = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate([*c, *x])], "id long, x array<double>")
+    first = C.initial_centroids(points, 2)
+    rows = E.multiword_rows(points, first, 6, (1024.0, 1024.0), C.Params(max_macs=macs)).orderBy("id").collect()
+    assert [r.cid for r in rows] == [0, 1] + [0, 1] * 20
+    assert [r.undecided for r in rows] == [False] * 2 + [True] * 40 and [r.priced for r in rows] == [0] * 2 + [1] * 40
+    found = P.fit_scheme(points, first, "mw", C.Params(max_iter=3, max_macs=macs), 6, scales=(1024.0, 1024.0))
+    labels, centres = plain_fit(points, first, 3)
+    assert [r.cid for r in found.assigned.orderBy("id").collect()] == labels
+    assert np.allclose([r.c for r in found.centroids.orderBy("cid").collect()], centres, rtol=1e-12)
+
+
 def test_models_that_do_not_hold_are_refused(spark, blobs):
     with pytest.raises(ValueError):
         N.reliability(2046)

@@ -17,10 +17,11 @@ from vecloom.functions import vectors as V
 
 from .clustering import Params, centroid_blocks
 
-#: Counters of mixed_step and of multiword_step: candidates tested, left by the tests, reference entries, rows left undecided.
+#: Counters of mixed_step and of multiword_step: candidates tested, left by the tests, reference entries, rows left undecided, candidates
+#: that a multiword step leaves after all its products and prices in double.
 MIXED_WORK = ("tested", "priced", "reference")
 RELIABLE_WORK = ("tested", "rejected")
-MULTIWORD_WORK = ("tested", "undecided", "left")
+MULTIWORD_WORK = ("tested", "undecided", "left", "priced")
 
 
 def half(x: Column) -> Column:
@@ -192,7 +193,9 @@ def multiword_rows(points: DataFrame, centroids: DataFrame, d: int, scales: tupl
     undecided as many products as max_macs allows, of all candidates (the dense plan) or of those left (the narrow one).
 
     The narrow plan prices only what the tests left, the incumbent among it; both give the same nearest, as what the
-    tests drop can't be. The bound after one product decides which rows are open. Words of the centroids are constants."""
+    tests drop can't be. The bound after one product decides which rows are open. The products' own bound then drops what
+    can't be nearest, and what that leaves is priced in double with the new incumbent: words alone can't tell nearly equal
+    distances apart, whose labels would move all later centroids. Words of the centroids are constants."""
     factor, gfac = bounds_of(d, N.multiword_epsilon(d, 1))
     words = [_word(F.col("c"), scales[1], q).alias(f"h{q}") for q in range(2)]
     cs = constants(points, centroids, *words)
@@ -213,17 +216,25 @@ def multiword_rows(points: DataFrame, centroids: DataFrame, d: int, scales: tupl
 
     rows = rows.withColumn("left", F.when(F.size("s3") == 0, F.col("s3")).otherwise(sixth(at(cs, best["j"]))))
 
-    def price(t: Column) -> Column:
-        def exact(s: Column) -> Column:
+    open_ = F.size("left") > 0
+    finer, _ = bounds_of(d, N.multiword_epsilon(d, params.max_macs))
+
+    def refine(t: Column) -> Column:
+        def add(s: Column) -> Column:
             more = [V.dot(F.col(f"w{p}"), s[f"h{q}"]) for p, q in N.terms(2, params.max_macs)[1:]]
-            extra = sum(more[1:], more[0]) * unscale if more else F.lit(0.0)
-            return F.struct((t["dt"] - 2 * extra).alias("dist"), s["cid"].alias("cid"))
+            whole = t["g"] + sum(more[1:], more[0]) * unscale if more else t["g"]
+            return N.let(whole, lambda g: F.struct((s["n2"] - 2 * g).alias("dt"), t["j"].alias("j"), g.alias("g")))
 
-        return N.let(at(cs, t["j"]), exact)
+        return N.let(at(cs, t["j"]), add)
 
-    open_ = F.size("left") > 0
-    again = F.array_min(F.transform(F.concat(F.array("best"), F.col("left")), price))["cid"]
-    return rows.select("id", "x", F.when(open_, again).otherwise(at(cs, best["j"])["cid"]).alias("cid"), open_.alias("undecided"), (F.size("ts") - 1).alias("tested"), F.size("left").alias("left"))
+    def close(t: Column) -> Column:
+        return (t["j"] != F.col("first.j")) & (F.isnan(t["dt"]) | ~excluded_3(t, F.col("first"), finer))
+
+    fine = F.transform(F.concat(F.array("best"), F.col("left")), refine)
+    rows = rows.withColumn("fine", F.when(open_, fine).otherwise(F.array("best"))).withColumn("first", F.array_min("fine"))
+    counts = (open_.alias("undecided"), (F.size("ts") - 1).alias("tested"), F.size("left").alias("open"))
+    rows = rows.select("id", "x", F.col("first.j").alias("j"), F.transform(F.filter("fine", close), lambda t: t["j"]).alias("left"), *counts)
+    return priced_again(rows, cs).select("id", "x", "cid", "undecided", "tested", F.col("open").alias("left"), F.size("left").alias("priced"))
 
 
 def accuracy(points: DataFrame, centroids: DataFrame) -> DataFrame:
