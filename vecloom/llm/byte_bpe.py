@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import let, remove, shared_folder, tidy, with_computed, without, worker_store
 
 #: Chunks, and words in them, that a worker remembers; beyond them it forgets all and starts anew.
-MAX_WORDS = 600_000
+MAX_WORDS = 150_000
 #: Distinct chunks, and characters of chunks that are whole texts, that a worker counts before it hands them on.
-COUNTED, COUNTED_CHARS = 300_000, 10_000_000
+COUNTED, COUNTED_CHARS = 150_000, 10_000_000
 #: Above all ranks.
 NEVER = 1 << 60
 #: Words that are folded and broadcast: the most frequent ones of at most so many bytes. With ids of up to 6 digits that is at most 50 MB.

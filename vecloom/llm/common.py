@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -82,11 +81,11 @@ def with_computed(df: DataFrame, inputs: list[str | Column], outputs: str, make_
     make_kernel() runs once a task and returns a function from one Arrow array per
     input to one per output field. Columns of df that clash with an output's name
     are replaced. Only the inputs go to Python, and only what is computed comes back; it is computed
-    once, whatever is filtered later. Kernels work on STEP rows at a time. name: of the worker's store that the kernel uses.
+    once, whatever is filtered later. Kernels work on STEP rows at a time, and what they give is handed on at once. name: of the worker's store that the kernel uses.
     """
     added = T._parse_datatype_string(outputs)
     keep = without(df, added.names)
-    names, kind = added.names, to_arrow_type(added)
+    names = added.names
     one = len(inputs) == 1
 
     def computed(batches):
@@ -94,8 +93,8 @@ def with_computed(df: DataFrame, inputs: list[str | Column], outputs: str, make_
         for batch in batches:
             columns = (batch,) if one else batch
             kernel = kernel or make_kernel()
-            parts = [pa.StructArray.from_arrays(kernel(*(c.slice(at, STEP) for c in columns)), names=names) for at in range(0, len(columns[0]), STEP)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+            for at in range(0, len(columns[0]), STEP):
+                yield pa.StructArray.from_arrays(kernel(*(c.slice(at, STEP) for c in columns)), names=names)
 
     computed.__annotations__ = {"batches": Iterator[pa.Array] if one else Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     out = "__computed"
