@@ -17,7 +17,7 @@ import sys
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import let, remove, shared_folder, tidy, with_computed, without, worker_store
 
-#: Chunks, and words in them, that a worker remembers; beyond them it forgets all and starts anew.
-MAX_WORDS = 150_000
+#: Chunks that a worker remembers: beyond half as many it forgets those that it has not met since the last time.
+MAX_CHUNKS = 250_000
+#: Bytes of a word up to which words are merged side by side; new chunks, and their characters, that a worker lets wait for that.
+SIDE_BYTES, WAITING, WAITING_CHARS = 64, 16_384, 1_000_000
 #: Distinct chunks, and characters of chunks that are whole texts, that a worker counts before it hands them on.
 COUNTED, COUNTED_CHARS = 150_000, 10_000_000
-#: Above all ranks.
-NEVER = 1 << 60
+#: Above all ranks, and above all in 32 bits.
+NEVER, NONE = 1 << 60, 2**31 - 1
 #: Words that are folded and broadcast: the most frequent ones of at most so many bytes. With ids of up to 6 digits that is at most 50 MB.
 VOCABULARY, WORD_BYTES = 200_000, 32
 #: Slots of the literal rank map: a literal map is searched from its beginning, so it is an array of slots, each with about one piece.
@@ -174,51 +176,194 @@ def packed(ids: list[int]) -> bytes:
     return held.tobytes()
 
 
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of pieces that are pieces when joined, as sorted numbers of the two ranks, and the ranks of what they give."""
+    found = [(a << 32 | b, r) for p, r in ranks.items() for i in range(1, len(p)) if (a := ranks.get(p[:i])) is not None and (b := ranks.get(p[i:])) is not None]
+    pairs, merged = np.array([*sorted(found), (NEVER, NONE)], np.int64).T
+    return pairs.copy(), merged.astype(np.int32)
+
+
+class Pairs:
+    """Merges many words side by side, with the pairs of pair_table."""
+
+    def __init__(self, ranks: dict[bytes, int], table: tuple[np.ndarray, np.ndarray] | None = None):
+        self.ranks = ranks
+        #: Else pieces can't be told by their ranks, and words are merged one by one.
+        self.named = all(bytes([i]) in ranks for i in range(256)) and len(set(ranks.values())) == len(ranks)
+        self.pairs, self.merged = table or pair_table(ranks)
+        self.single = np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int32)
+        self.singles = self.of(self.single.repeat(256), np.tile(self.single, 256)).reshape(256, 256)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of the pieces a + b, NONE where there is no such piece."""
+        pairs = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.pairs, pairs)
+        return np.where(self.pairs[at] == pairs, self.merged[at], np.int32(NONE))
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of the words, as merge_word has them."""
+        out: list[bytes] = [b""] * len(words)
+        long: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            if word in self.ranks or len(word) > SIDE_BYTES or not self.named:
+                out[i] = packed(merge_word(word, self.ranks))
+            else:
+                long.setdefault(len(word), []).append(i)
+        # From the longest on: a merge makes all of them a piece shorter, and the words of so many bytes join them.
+        which, pieces, found = np.empty(0, np.int64), np.empty((0, 0), np.int32), np.empty((0, 0), np.int32)
+        for width in range(max(long, default=0), 0, -1):
+            if joining := long.get(width):
+                raw = np.frombuffer(b"".join([words[i] for i in joining]), np.uint8).reshape(-1, width)
+                which = np.append(which, joining)
+                pieces = np.concatenate([pieces.reshape(-1, width), self.single[raw]])
+                found = np.concatenate([found.reshape(-1, width - 1), self.singles[raw[:, :-1], raw[:, 1:]]])
+            done = found.min(axis=1, initial=NONE) == NONE
+            ids = pieces[done].astype("<i4").tobytes()
+            for k, i in enumerate(which[done].tolist()):
+                out[i] = ids[k * 4 * width : (k + 1) * 4 * width]
+            which, pieces, found = which[~done], *self._merge_least(pieces[~done], found[~done])
+        return out
+
+    def _merge_least(self, pieces: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges the pair of lowest rank, the leftmost of equals, in each row."""
+        n, width = pieces.shape
+        if not n:
+            return pieces[:, 1:], found[:, 1:]
+        rows, at = np.arange(n), found.argmin(axis=1)
+        pieces[rows, at] = found[rows, at]
+        kept = np.ones((n, width), bool)
+        kept[rows, at + 1] = False
+        pieces = pieces[kept].reshape(n, width - 1)
+        kept = np.ones((n, width - 1), bool)
+        kept[rows, at] = False
+        found = found[kept].reshape(n, width - 2)
+        for left, here in ((at - 1, at > 0), (at, at < width - 2)):
+            r, i = rows[here], left[here]
+            found[r, i] = self.of(pieces[r, i], pieces[r, i + 1])
+        return pieces, found
+
+
+def key_of(chunk: str) -> str:
+    """What a chunk or word is kept by: itself without the space that it begins with, or behind a space if it begins with none. Of a key, it gives the chunk."""
+    return chunk[1:] if chunk[:1] == " " else " " + chunk
+
+
+def portions(keys: Iterable[str]) -> Iterator[list[str]]:
+    """keys, by WAITING of them or WAITING_CHARS characters."""
+    some: list[str] = []
+    chars = 0
+    for key in keys:
+        some.append(key)
+        chars += len(key)
+        if len(some) >= WAITING or chars >= WAITING_CHARS:
+            yield some
+            some, chars = [], 0
+    yield some
+
+
+def words_of(keys: list[str], find: Callable[[str], list[str]]) -> tuple[list[int], list[str], list[int]]:
+    """An order of keys of chunks, the words of all these chunks in that order, and where each chunk's words end.
+
+    Chunks that begin with their only space next to none are matched in one text, in which each space begins a chunk."""
+    joined = [i for i, key in enumerate(keys) if key and not key[0].isspace() and not key[-1].isspace()]
+    words = find(" " + " ".join([keys[i] for i in joined])) if joined else []
+    ends = [i for i, word in enumerate(words) if word[:1] == " "][1:]
+    ends += [len(words)] if joined else []
+    if len(ends) != len(joined):  # a pattern of another kind
+        joined, words, ends = [], [], []
+    if len(joined) < len(keys):
+        apart = set(joined)
+        apart = [i for i in range(len(keys)) if i not in apart]
+        joined += apart
+        for i in apart:
+            words += find(key_of(keys[i]))
+            ends.append(len(words))
+    return joined, words, ends
+
+
 class Chunks(dict):
-    """Packed ids of chunks: a space and what follows it up to the next space."""
+    """Packed ids of chunks, by key_of: a space and what follows it up to the next space. What a new chunk gives is empty until the next call of settle."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, folded: dict[str, bytes] | None = None):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, folded: dict[str, bytes] | None = None, table: tuple[np.ndarray, np.ndarray] | None = None):
         import regex
 
-        self.ranks, self.find, self.folded = ranks, regex.compile(pattern).findall, folded or {}
-        self.words: dict[str, bytes] = {}
+        self.find, self.folded, self.pairs = regex.compile(pattern).findall, folded or {}, Pairs(ranks, table)
+        self.words: dict[str, bytes] = {}  # the chunks of before
+        self.new: dict[str, bytearray] = {}
+        self.chars = 0
 
-    def word(self, word: str) -> bytes:
-        if (ids := self.folded.get(word) or self.words.get(word)) is None:
-            ids = packed(merge_word(word.encode(), self.ranks))
-            if len(word) < 256:
-                if len(self.words) > MAX_WORDS:
-                    self.words.clear()
-                self.words[word] = ids
+    def __missing__(self, key: str) -> bytes | bytearray:
+        ids = self.words.get(key)
+        if ids is not None or (ids := self.folded.get(key)) is not None:
+            self.remember(key, ids)
+        elif (ids := self.new.get(key)) is None:
+            ids = self.new[key] = bytearray()
+            self.chars += len(key)
         return ids
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.find(chunk)
-        if len(found) == 1:  # the chunk is a word, and remembered as a chunk
-            ids = self.folded.get(chunk) or self.words.get(chunk) or packed(merge_word(chunk.encode(), self.ranks))
-        else:
-            ids = b"".join([self.word(w) for w in found])
-        if len(chunk) < 256:
-            if len(self) > MAX_WORDS:
+    def remember(self, key: str, ids: bytes) -> None:
+        if len(key) < 256:
+            if len(self) >= MAX_CHUNKS // 2:
+                self.words = self.copy()
                 self.clear()
-            self[chunk] = ids
-        return ids
+            self[key] = ids
+
+    def settle(self) -> None:
+        """Fills in what new chunks gave. Their words that are in no table yet are merged side by side."""
+        keys, holes = list(self.new), list(self.new.values())
+        order, words, ends = words_of(keys, self.find)
+        met = dict.fromkeys(words)
+        for word in met:
+            met[word] = self.folded.get(key_of(word))
+        unknown = [w for w, ids in met.items() if ids is None]
+        for at in range(0, len(unknown), WAITING):
+            some = unknown[at : at + WAITING]
+            met.update(zip(some, self.pairs.merge([w.encode() for w in some])))
+        ids, start = [met[w] for w in words], 0
+        for i, end in zip(order, ends):
+            whole = ids[start] if end - start == 1 else b"".join(ids[start:end])
+            holes[i] += whole
+            self.remember(keys[i], whole)
+            start = end
+        self.new, self.chars = {}, 0
+
 
+#: White space: before a space, the pattern's matches may cross a cut at that space.
+WHITE = tuple(chr(c) for c in range(0x3001) if chr(c).isspace())
 
-#: White space before a space: the pattern's matches may then cross a cut at that space.
-CROSSING = tuple(chr(c) + " " for c in range(0x3001) if chr(c).isspace())
+
+def crossing(text: str) -> bool:
+    """Whether white space is before a space. One character is found much faster than two, and most are in no text."""
+    return any([c + " " in text for c in WHITE if c in text])
 
 
 def encode_text(text: str, chunks: Chunks) -> bytes:
-    if not text:
-        return b""
-    if any(c in text for c in CROSSING):
-        return chunks[text] if len(text) < 256 else chunks.__missing__(text)
-    first, *rest = text.split(" ")
-    ids = [chunks[" " + c] for c in rest]
-    if first:
-        ids.insert(0, chunks[first])
-    return b"".join(ids)
+    return encode_all([text], chunks)[0]
+
+
+def encode_all(texts: Iterable[str], chunks: Chunks) -> list[bytes]:
+    """Packed ids of each text."""
+    out: list[bytes] = []
+    parts: list[list[bytes | bytearray]] = []
+    held = 0
+
+    def settle() -> None:
+        chunks.settle()
+        out.extend(map(b"".join, parts))
+        parts.clear()
+
+    for text in texts:
+        if crossing(text):
+            parts.append([chunks[" " + text]])
+        else:
+            first, *rest = text.split(" ")
+            parts.append([chunks[" " + first], *map(chunks.__getitem__, rest)])
+        held += len(parts[-1])
+        if len(chunks.new) > WAITING or max(chunks.chars, held) > WAITING_CHARS:
+            settle()
+            held = 0
+    settle()
+    return out
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
@@ -245,7 +390,7 @@ class ChunkCounts:
     def add(self, text: str) -> None:
         if not text:
             return
-        if any(c in text for c in CROSSING):
+        if crossing(text):
             self.others[text] += 1
             self.chars += len(text)
             return
@@ -257,12 +402,16 @@ class ChunkCounts:
 
     def words(self, find: Callable[[str], list[str]]) -> pa.RecordBatch:
         """(word, n) of the words of at most WORD_BYTES bytes."""
-        words: Counter[str] = Counter()
-        for space, counts in ((" ", self.spaced), ("", self.others)):
-            for chunk, n in counts.items():
-                if n:
-                    for word in find(space + chunk):
-                        words[word] += n
+        words: dict[str, int] = {}
+        for counts, space in ((self.spaced, ""), (self.others, " ")):
+            for some in portions(chunk for chunk, n in counts.items() if n):
+                order, found, ends = words_of([space + chunk for chunk in some] if space else some, find)
+                start = 0
+                for i, end in zip(order, ends):
+                    n = counts[some[i]]
+                    for word in found[start:end]:
+                        words[word] = words.get(word, 0) + n
+                    start = end
         kept = [w for w in words if len(w) <= WORD_BYTES and len(w.encode()) <= WORD_BYTES]
         return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([words[w] for w in kept], pa.int64())], names=["word", "n"])
 
@@ -293,19 +442,23 @@ def encode_digests(df: DataFrame, ranks_path: str, pattern: str, text_col: str =
 
 
 def _encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str) -> DataFrame:
-    folded = {word: packed(list(map(int, ids.split(b",")))) for word, ids in fold_vocabulary(df, ranks, pattern, text_col).items()}
-    held = df.sparkSession.sparkContext.broadcast((ranks, folded))
+    import regex
+
+    find = regex.compile(pattern).findall
+    vocabulary = fold_vocabulary(df, ranks, pattern, text_col)
+    folded = {key_of(word): packed(list(map(int, ids.split(b",")))) for word, ids in vocabulary.items() if find(word) == [word]}
+    held = df.sparkSession.sparkContext.broadcast((ranks, folded, pair_table(ranks)))
     run = uuid.uuid4().hex
 
     def make():
         store = worker_store("byte_bpe")
         if run not in store:
             store.clear()
-            store[run] = Chunks(held.value[0], pattern, held.value[1])
+            store[run] = Chunks(held.value[0], pattern, *held.value[1:])
         chunks = store[run]
 
         def kernel(texts):
-            joined = [encode_text(value.as_py() or "", chunks) for value in texts]
+            joined = encode_all((value.as_py() or "" for value in texts), chunks)
             ends = np.cumsum([0, *map(len, joined)]) // 4
             return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(joined), "<i4").astype(np.int32, copy=False)))]
 
